@@ -36,11 +36,11 @@ _TREE = _NODES + """ t as (select n.id, n.id as root, 0 as depth, n.id as path f
 """
 
 SQL = {
-    "p4_found": _NODES + """ up as (select id, parent as at, 1 as steps from n where parent is not null
-   union all select up.id, n.parent, steps + 1 from up join n on n.id = up.at where n.parent is not null and up.at <> up.id and steps < 400),
- loops as (select distinct id from up where at = id),
+    "p4_found": _NODES + """ up as (select id, parent as up_to, 1 as steps from n where parent is not null
+   union all select up.id, n.parent, up.steps + 1 from up join n on n.id = up.up_to where n.parent is not null and up.up_to <> up.id and up.steps < 400),
+ loops as (select distinct id from up where up_to = id),
  ends as (select up.id, max(case when n.id is null then 1 else 0 end) as missing, max(case when n.id is not null and n.parent is null then 1 else 0 end) as top
-   from up left join n on n.id = up.at group by up.id)
+   from up left join n on n.id = up.up_to group by up.id)
  select e.id as concept_id, case when l.id is not null then 'cycle' when missing = 1 then 'orphan' else 'below_cycle' end as state
  from ends e left join loops l on l.id = e.id where l.id is not null or top = 0""",
     "p4_nested_sets": _TREE + """, size as (select ancestor_id, count(*) as below from pairs group by 1),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like :func:`cut`, for wide rows: a compressed table in the shared checkpoint folder, read back."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        cut(spark.range(1))
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def key_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS):
     """A fixed-size membership filter over ``keys[key]``; false positives only, never a false negative.
 

@@ -8,7 +8,7 @@ similarity of t lie within (1 - t) / (1 + t) of the sum of their sizes.
 The range join runs over a grid whose coordinates are units of count, in one order for all texts: segments with few
 bits over the whole collection first. Vectors within the distance share so many units that some ``LEVELS`` of the first
 few units of each are the same; those combinations are the cells, and vectors meet in a cell. Inside a cell a coarse
-16-coordinate vector, packed in one number, bounds the distance again; what is left is verified exactly, on the words.
+32-coordinate vector, packed in one number, bounds the distance again; what is left is verified exactly, on the words.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.runtime import cut, shuffle_partitions
+from scriptorium.runtime import cut, shuffle_partitions, stored
 
 #: Segments of the fingerprint. Their totals are the only collection statistic that reaches the driver.
 SEGMENTS = 1 << 16
@@ -33,11 +33,11 @@ WORD_BREAK = "[\\s\\u001C-\\u001F\\u0085\\p{Z}]+"
 
 
 def word_sets(df: DataFrame, id: str, text: str, least: int) -> DataFrame:
-    """(id, class, words): the distinct words of each text with at least ``least`` of them, sorted; texts with the same
-    set of words have the same class."""
+    """(id, class, words): the distinct words of each text with at least ``least`` of them, sorted and joined by a blank,
+    which no word holds; texts with the same set of words have the same class."""
     rows = df.select(F.col(id).alias("id"), F.array_sort(F.array_distinct(F.filter(F.split(F.col(text), WORD_BREAK), lambda w: w != ""))).alias("words"))
     rows = rows.filter(F.col("id").isNotNull() & (F.size("words") >= least))
-    return rows.select("id", F.md5(F.array_join("words", " ")).alias("class"), "words")
+    return rows.select("id", F.array_join("words", " ").alias("words")).withColumn("class", F.md5("words"))
 
 
 def prefix_sizes(n: np.ndarray, num: int, den: int, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,19 +57,18 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def coarse(segments: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """The 16-coordinate vectors as numbers of 16 times 4 bits; a coordinate stops at 15, which keeps the bound."""
-    at = _mix(segments + 1) & np.uint64(15)
-    counts = np.minimum(np.bincount(rows * 16 + at.astype(np.int64), minlength=16 * n).reshape(n, 16), 15).astype(np.uint64)
-    return (counts << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64)
+    """The 32-coordinate vectors as numbers of 32 times 2 bits; a coordinate stops at 3, which keeps the bound."""
+    at = _mix(segments + 1) & np.uint64(31)
+    counts = np.minimum(np.bincount(rows * 32 + at.astype(np.int64), minlength=32 * n).reshape(n, 32), 3).astype(np.uint64)
+    return (counts << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(1, dtype=np.uint64)
 
 
-_LOW = np.uint64(0x0F0F0F0F0F0F0F0F)
+_LOW = np.uint64(0x0303030303030303)
 
 
 def _bytes(packed: np.ndarray) -> np.ndarray:
-    both = np.empty((len(packed), 2), np.uint64)
-    both[:, 0], both[:, 1] = packed & _LOW, (packed >> np.uint64(4)) & _LOW
-    return both.view(np.int8)
+    four = np.stack([(packed >> np.uint64(s)) & _LOW for s in (0, 2, 4, 6)], 1)
+    return four.view(np.int8)
 
 
 def cells(segments: np.ndarray, sizes: np.ndarray, rank: np.ndarray, num: int, den: int):
@@ -130,9 +129,9 @@ def _within_reach(a, b, size, vectors, num, den):
 
 
 def similar_pairs(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, shared): pairs a < b of rows of ``classes`` (id long, words array) with |A ∩ B| / |A ∪ B| >= num / den."""
+    """(a, b, shared): pairs a < b of rows of ``classes`` (id long, words joined by blanks) with |A ∩ B| / |A ∪ B| >= num / den."""
     spark = classes.sparkSession
-    sized = classes.select("id", F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(SEGMENTS)).cast("int")).alias("segments"))
+    sized = classes.select("id", F.transform(F.split("words", " "), lambda w: F.pmod(F.xxhash64(w), F.lit(SEGMENTS)).cast("int")).alias("segments"))
     totals = np.zeros(SEGMENTS, np.int64)
     for s, n in sized.select(F.explode("segments").alias("s")).groupBy("s").count().collect():  # at most SEGMENTS rows
         totals[s] = n
@@ -171,7 +170,7 @@ def similar_pairs(classes: DataFrame, num: int, den: int) -> DataFrame:
         text = np.concatenate([(g[4] >> 1).astype(np.int64) + b for g, b in zip(got, base)])
         flag = np.concatenate([(g[4] & 1).astype(bool) for g in got])
         del got
-        vectors, size = _bytes(sketch).reshape(-1, 16), size.astype(np.int64)
+        vectors, size = _bytes(sketch), size.astype(np.int64)
         # In a cell the texts that may be found come first; the others only probe.
         o = np.lexsort((~flag, key))
         key, text, flag = key[o], text[o], flag[o]
@@ -230,6 +229,7 @@ def similar_pairs(classes: DataFrame, num: int, den: int) -> DataFrame:
     return (
         candidates.join(words_a, F.col("a") == F.col("ia"))
         .join(words_b, F.col("b") == F.col("ib"))
+        .select("a", "b", F.split("wa", " ").alias("wa"), F.split("wb", " ").alias("wb"))
         .withColumn("shared", F.size(F.array_intersect("wa", "wb")))
         .filter(F.col("shared") * den >= (F.size("wa") + F.size("wb") - F.col("shared")) * num)
         .select("a", "b", "shared")
@@ -256,7 +256,7 @@ def _large(start: int, end: int, found: int):
 def _classes(df: DataFrame, id: str, text: str, least: int) -> tuple[DataFrame, DataFrame]:
     """Members (id, rep) and representatives (id, words) of the texts with the same words; rep is the least id."""
     rows = word_sets(df, id, text, least)
-    best = cut(rows.groupBy("class").agg(F.min("id").alias("id"), F.first("words").alias("words")))
+    best = stored(rows.groupBy("class").agg(F.min("id").alias("id"), F.first("words").alias("words")))
     return rows.select(F.col("id").alias("member"), F.col("class").alias("c")).distinct(), best
 
 

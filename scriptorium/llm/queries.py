@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import bpe, lookalikes, mixing, neardup, outranking, terms
+from pyspark.sql import functions as F
+
+from scriptorium.llm import bpe, languages, lookalikes, mixing, neardup, outranking, terms
 from scriptorium.sources.tables import table
 
 
@@ -38,7 +40,16 @@ def p9_shares(spark, d):
     return mixing.reached_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_counts, p5_found, p8_ids, p9_mixture, p9_shares)}
+def p10_found(spark, d):
+    return languages.corrected_labels(table(spark, d, "documents"))
+
+
+def p10_stretches(spark, d):
+    """Every document with its stretches, one row each."""
+    return languages.stretches(table(spark, d, "documents")).select("doc_id", "told", "main", "mixed", F.explode("parts").alias("p")).select("doc_id", "told", "main", "mixed", "p.*")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_counts, p5_found, p8_ids, p9_mixture, p9_shares, p10_found, p10_stretches)}
 
 _TERMS = """with t as (select candidate_id, element_id, greatest(coalesce(frequency, 0), 0) as n,
   trim(regexp_replace(regexp_replace(label, '[\\x{064B}-\\x{065F}\\x{0670}\\x{0640}\\x{200B}-\\x{200F}\\x{2060}\\x{FEFF}]', '', 'g'),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.bpe import token_counts
+from scriptorium.runtime import cut
 
 
 def source_key(c: Column) -> Column:
@@ -85,7 +86,8 @@ def mixture(documents: DataFrame, mix: DataFrame, seed: int = 17, total: float |
     sized = token_counts(documents, {"doc_id": F.col("doc_id"), "source": source_key(F.col("source"))}, path=path)
     wanted = _targets(mix)
     listed = [s for s, _, _ in wanted]
-    sized = sized.filter(F.col("source").isin(listed)) if listed else sized.filter(F.lit(False))
+    # Counted once; the narrow rows are read again for the sizes, for the sort's sample and for the drawing.
+    sized = cut(sized.filter(F.col("source").isin(listed)) if listed else sized.filter(F.lit(False)))
     sizes = {r[0]: int(r[1] or 0) for r in sized.groupBy("source").agg(F.sum("tokens")).collect()}  # listed sources only
     steps = {s: distribution(*of) for s, of in plan(sizes, wanted, total).items()}
     # A uniform number of 53 bits from the id alone.

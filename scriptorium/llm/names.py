@@ -188,7 +188,7 @@ def alike(a: str, b: str, known: frozenset) -> int | None:
         return None
     if a.endswith(".") or b.endswith(".") or len(a) == 1 or len(b) == 1:
         x, y = (f.rstrip(".") for f in (a, b))
-        return 1 if x[:1] == y[:1] or _latin(x) and {x[:1], y[:1]} == {"o", "w"} or _latin(x) and skeleton(x)[:1] == skeleton(y)[:1] else -1
+        return 1 if x[:1] == y[:1] or _latin(x) and {x[:1], y[:1]} in ({"o", "w"}, {"e", "i"}, {"c", "s"}, {"o", "u"}) or _latin(x) and skeleton(x)[:1] == skeleton(y)[:1] else -1
     if _latin(a):
         x, y = skeleton(a), skeleton(b)
         if x == y:
@@ -214,9 +214,10 @@ def part_agrees(a: list[str], b: list[str], known: frozenset) -> int:
 
 
 def years_agree(a: list[int], b: list[int]) -> int:
+    """Years typed one off, in either direction, may be two apart."""
     if not a or not b:
         return 0
-    return 1 if any(abs(x - y) <= 1 for x in a for y in b) else -1
+    return 1 if any(abs(x - y) <= 2 for x in a for y in b) else -1
 
 
 def same_person(a: dict, b: dict, known: frozenset) -> int:
@@ -227,10 +228,14 @@ def same_person(a: dict, b: dict, known: frozenset) -> int:
     s = {p: part_agrees(a[p], b[p], known) for p in PARTS}
     against = [p for p in PARTS if s[p] < 0]
     if against:
-        # One badly typed given name is forgiven where family name, kunya, year and another given name agree.
+        # One badly typed given name is forgiven where the family name and two of kunya, year and both others agree.
         names = [p for p in PARTS[:3] if s[p] > 0]
-        typed = len(against) == 1 and against[0] in PARTS[:3] and s["nisba"] > 0 and s["kunya"] > 0 and year > 0 and names
-        return 1 if typed and any(lcs_ratio(x, y) >= 0.5 and not (x in known and y in known) for x in a[against[0]] for y in b[against[0]]) else -1
+        backed = (s["kunya"] > 0) + (year > 0) + (len(names) > 1)
+        if len(against) > 1 or against[0] not in PARTS[:3] or s["nisba"] <= 0 or not names or backed < 2:
+            return -1
+        close = [(lcs_ratio(x, y), x in known and y in known) for x in a[against[0]] for y in b[against[0]]]
+        sure = len(names) > 1 and s["kunya"] > 0
+        return 1 if any(r >= 0.5 and not both or r >= RATIO and sure for r, both in close) else -1
     if s["nisba"] > 0:
         enough = s["own"] > 0 and (s["father"] > 0 or s["kunya"] > 0 or s["byname"] > 0 and year > 0) or year > 0 and (s["kunya"] > 0 or s["byname"] > 0 and s["kunya"] == 0)
     else:
@@ -250,7 +255,7 @@ def block_keys(e: dict) -> list[tuple[str, int]]:
     """(key, level) of an entry: endings of family names, then refined once, then twice."""
     keys: dict[str, int] = {}
     ends = {p: {x for f in e[p] if (x := _suffix(f, LONG_SUFFIX if p == "nisba" else SHORT_SUFFIX))} for p in PARTS}
-    years = {str(y + k) for y in e["years"] for k in (0, 1)}
+    years = {str(y + k) for y in e["years"] for k in (0, 1, 2)}
     for n in ends["nisba"]:
         keys[f"n|{n}"] = 1
         for tag, values in (("o", ends["own"]), ("k", ends["kunya"]), ("b", ends["byname"]), ("y", years)):

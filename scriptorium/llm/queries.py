@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, languages, lookalikes, mixing, names, neardup, outranking, terms
+from scriptorium.llm import bpe, languages, lookalikes, mixing, names, neardup, outranking, pagetext, terms
 from scriptorium.sources.tables import table
 
 
@@ -28,6 +28,14 @@ def p5_found(spark, d):
     return outranking.best_items(table(spark, d, "rerank_results"), table(spark, d, "signal_scores"))
 
 
+def p6_found(spark, d):
+    return pagetext.noise_kinds(table(spark, d, "page_elements"), table(spark, d, "books"))
+
+
+def p6_display(spark, d):
+    return pagetext.display_texts(table(spark, d, "page_elements"), table(spark, d, "books"))
+
+
 def p7_found(spark, d):
     return names.person_pairs(table(spark, d, "narrators"))
 
@@ -53,7 +61,7 @@ def p10_stretches(spark, d):
     return languages.stretches(table(spark, d, "documents")).select("doc_id", "told", "main", "mixed", F.explode("parts").alias("p")).select("doc_id", "told", "main", "mixed", "p.*")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_counts, p5_found, p7_found, p8_ids, p9_mixture, p9_shares, p10_found, p10_stretches)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_counts, p5_found, p6_found, p6_display, p7_found, p8_ids, p9_mixture, p9_shares, p10_found, p10_stretches)}
 
 _TERMS = """with t as (select candidate_id, element_id, greatest(coalesce(frequency, 0), 0) as n,
   trim(regexp_replace(regexp_replace(label, '[\\x{064B}-\\x{065F}\\x{0670}\\x{0640}\\x{200B}-\\x{200F}\\x{2060}\\x{FEFF}]', '', 'g'),

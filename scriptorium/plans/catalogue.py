@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scriptorium.plans import hierarchy_queries
+from scriptorium.plans import corpus_queries, hierarchy_queries, search_queries
 
-FAMILIES = [hierarchy_queries]
+FAMILIES = [hierarchy_queries, corpus_queries, search_queries]
 
 QUERIES = {name: f for family in FAMILIES for name, f in family.QUERIES.items()}
 SQL = {name: text for family in FAMILIES for name, text in family.SQL.items()}

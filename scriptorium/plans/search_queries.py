@@ -139,8 +139,6 @@ _W = lambda x: f"list_filter(regexp_split_to_array(coalesce({x}, ''), {duck.cls(
 _LETT = lambda x: f"regexp_replace({x}, '[^\\x{{0621}}-\\x{{064A}}]', '', 'g')"
 _FRAG = lambda x: f"(regexp_matches({x}, {_AR}) and length({_LETT(x)}) <= 2 and {_LETT(x)} not in ({', '.join(duck.q(w) for w in ranking.SHORT_WORDS)}))"
 _LONE = "(" + ", ".join(duck.q(w) for w in ranking.LONE_PUNCTUATION) + ")"
-# RE2 has no lookahead, so the space after a mark is found piece by piece: the piece must be one or two letters.
-_CLEAN = "replace(text_raw, 'ـ', '')"
 _TRIM = lambda x: f"regexp_replace(coalesce({x}, ''), {duck.cls('^' + arabic.SPACES + '|' + arabic.SPACES + '$')}, '', 'g')"
 _BOIL = " + ".join(f"(case when contains(s, {duck.q(p)}) then {len(p.split())} else 0 end)" for p in ranking.BOILERPLATE)
 _SIGNALS = f"""sg as (select *, {_W('text_normalized')} as t, {_TRIM('text_normalized')} as s from {{0}}),
@@ -166,4 +164,32 @@ SQL = {
  b as (select *, row_number() over (partition by query_id order by original_score desc, element_id) as pb from l), a as (select *, row_number() over (partition by query_id order by pb > 20, case when pb <= 20 then -coalesce(cross_score, -1e300) else pb end, element_id) as pa from b)
  select query_id, element_id, cast(pb as int) as place_before, cast(pa as int) as place_after, cast(pb - pa as int) as moved from a""",
 }
-_JOINED = f"""cl as (select *, (select string_agg(case when i > 1 and regexp_matches(x[i - 1], '[\\x{{0621}}-\\x{{064A}}][\\x{{064B}}-\\x{{0652}}\\x{{0670}}]$') and regexp_matches(x[i], '^[\\x{{0621}}-\\x{{064A}}]{{1,2}}($|[^\\x{{0621}}-\\x{{064A}}])') then x[i] else ' ' || x[i] end, '' order by i) from (select {_W(_CLEAN)} as x), unnest(range(1, len(x) + 1)) r(i)) as clean from e)"""
+# RE2 has no lookahead: what follows the piece is taken along and put back.
+_CLEAN = "regexp_replace(replace(coalesce(text_raw, ''), 'ـ', ''), '([\\x{0621}-\\x{064A}][\\x{064B}-\\x{0652}\\x{0670}])\\s+([\\x{0621}-\\x{064A}]{1,2})(\\s|$|[^\\x{0621}-\\x{064A}])', '\\1\\2\\3', 'g')"
+_OCR = f"""c0 as (select element_id, coalesce(text_raw, '') as raw, text_normalized, {_CLEAN} as clean from e),
+ c1 as (select *, {_W('clean')} as t, length(raw) - length(replace(raw, 'ـ', '')) as tatweel from c0),
+ c2 as (select *, list_transform(list_filter(t, lambda w: regexp_matches(w, {_AR})), lambda w: length({_LETT('w')})) as sizes from c1),
+ c3 as (select *, len(t) as n, list_sum(sizes) as s1, list_sum(list_transform(sizes, lambda x: x * x)) as s2, len(sizes) as m from c2),
+ c4 as (select element_id, text_normalized, case when length(raw) = 0 or n = 0 then 0.0 else round(greatest(0.0, 1 - least(1.0, tatweel / length(raw) * 0.7 + len(list_filter(t, lambda w: {_FRAG('w')})) / n * 1.4
+   + len(list_filter(range(2, n), lambda i: t[i] in {_LONE} and ({_FRAG('t[i - 1]')} or {_FRAG('t[i + 1]')}) and regexp_matches(t[i - 1], {_AR}) and regexp_matches(t[i + 1], {_AR}))) / n * 2.2
+   + least(1.0, len(regexp_extract_all(clean, 'االله|ا\\sالله')) / n * 4) * 1.2 + len(list_filter(t, lambda w: w in {_LONE})) / n * 0.45
+   + case when m >= 4 then least(1.0, (s2 / m - (s1 / m) * (s1 / m)) / 12) else 0 end * 0.25)), 4) end as quality from c3),
+ ocr as (select element_id as oe, case when regexp_matches(text_normalized, '[.\\x{{2024}}\\x{{2026}}]{{4,}}|(\\.\\s){{4,}}') or regexp_matches(text_normalized, '[0-9\\x{{0660}}-\\x{{0669}}\\x{{06F0}}-\\x{{06F9}}\\s.\\x{{0640}}-]{{12,}}$') then least(quality, 0.15) else quality end as ocr_quality from c4)"""
+_SIG = _OCR + ", " + _SIGNALS.replace("{0}", "e") + """, sx as (select sig.*, ocr_quality, round(len(list_filter(qw, lambda w: list_contains(t, w))) / len(qw), 4) as coverage,
+  case when len(t) > 0 then round(least(1.0, len(list_filter(t, lambda w: list_contains(qw, w))) / len(t) / 0.25), 4) else 0.0 end as density from sig join ocr on element_id = oe),
+ sz as (select *, round(coverage * 0.008 + completeness * 0.004 + density * 0.002 + length_prior * 0.008 + informativeness * 0.006 - (1 - ocr_quality) * 0.010, 8) as graded from sx)"""
+SQL["element_signals"] = f"{_E}, {_SIG} select element_id, ocr_quality, coverage, completeness, density, length_prior, informativeness, graded from sz"
+_LB = "case element_type " + " ".join(f"when '{k}' then {v}" for k, v in ranking.LAYOUT_BONUS.items()) + " else 0.0 end"
+_PHRASES = [ASKED, *[" ".join(ASKED.split()[i : i + m]) for m in (2, 3, 4) for i in range(len(ASKED.split()) - m + 1)]][:4]
+_RERANK = f"case when contains(text_normalized, query) then 0.010 else 0 end + least(0.012, " + " + ".join(f"case when contains(text_normalized, {duck.search_form(duck.q(p))}) then 0.004 else 0 end" for p in _PHRASES) + ")"
+_RANK = f"""{_POST}, {_FTS}, {_GRAMS}, {_FUZZY}, hh as (select query_id, 'fts' as source, place, element_id from fts where place <= 200 union all select query_id, 'fuzzy', place, element_id from fuz where place <= 200),
+ rr as (select *, row_number() over (partition by query_id, source order by place, element_id) as rank from hh), ff as (select query_id, element_id as fe, sum((case source when 'fts' then 1.0::double else 0.7::double end) / (60 + rank)) as rrf, count(*) as engines from rr group by all),
+ {_SIG}, j as (select ff.query_id, sz.*, rrf, engines, query, len({_W('text_raw')}) as n from ff join sz on fe = element_id join q using (query_id)),
+ b as (select *, rrf + graded + (case when text_normalized = query then 0.030 when contains(text_normalized, query) then 0.012 else 0 end) + least(6, len(list_intersect(list_distinct(t), list_distinct(string_split(query, ' '))))) * 0.002 + least(engines, 3) * 0.004
+   + (case when contains(text_raw, {duck.q(ASKED)}) then 0.020 else 0 end) + {_LB} as base, {_RERANK} as again from j),
+ sc as (select *, round(greatest(0.0, base - case when n < 3 then base * 0.5 * (1 - greatest(0.1, n / 3)) else 0 end), 8) as score from b),
+ pl as (select *, round(score + again, 8) as reranked, row_number() over (partition by query_id, page_id order by score desc, n desc, coalesce(page_number, 0) desc, element_id) > 3 as deferred from sc),
+ fp as (select *, row_number() over (partition by query_id order by reranked desc, n desc, coalesce(page_number, 0) desc, element_id) as final_place from pl)"""
+_E1 = f"{_E}, {_ONE}"
+SQL["ranked_hits"] = f"{_E1}, {_RANK} select query_id, element_id, round(score, 6) as score, round(reranked, 6) as reranked, deferred from fp where final_place <= 50"
+SQL["pruned_hits"] = f"{_E1}, {_RANK}, rt as (select *, case when max(score) over (partition by query_id) > 0 then score / max(score) over (partition by query_id) else 0 end as ratio from fp where final_place <= 1000), ks as (select *, ratio >= 0.08 and not (coverage = 0 and ratio < 0.70) as passes from rt) select query_id, element_id, round(ratio, 4) as ratio, case when bool_or(passes) over (partition by query_id) then passes else row_number() over (partition by query_id order by score desc, element_id) <= 10 end as kept from ks"

@@ -59,7 +59,7 @@ def _concepts(spark, rows=CONCEPTS):
 def test_states_of_nodes(spark):
     got = {(r.concept_id, r.state) for r in hierarchy.lost_nodes(_concepts(spark)).collect()}
     assert got == {("o", "orphan"), ("p", "orphan"), ("s", "cycle"), ("c1", "cycle"), ("c2", "cycle"), ("t", "below_cycle")}
-    assert hierarchy.lost_nodes(_concepts(spark, []) if False else _concepts(spark).limit(0)).count() == 0
+    assert hierarchy.lost_nodes(_concepts(spark).limit(0)).count() == 0
 
 
 def test_nested_sets_of_random_forest(spark):
@@ -166,7 +166,7 @@ def test_stream_windows_and_upsert(spark, tmp_path):
     query = stream.tumbling(s, "1 minute", late="1 hour").writeStream.outputMode("complete").format("memory").queryName("win").start()
     query.processAllAvailable()
     query.stop()
-    assert {(r.start.second, r.n) for r in spark.table("win").collect()} == {(0, 80), (0, 20)} or sum(r.n for r in spark.table("win").collect()) == 100
+    assert sorted(r.n for r in spark.table("win").collect()) == [30, 70]
     up = stream.keep_latest(s, str(tmp_path / "table"), str(tmp_path / "ck")).start()
     up.processAllAvailable()
     up.stop()

@@ -192,4 +192,4 @@ _RANK = f"""{_POST}, {_FTS}, {_GRAMS}, {_FUZZY}, hh as (select query_id, 'fts' a
  fp as (select *, row_number() over (partition by query_id order by reranked desc, n desc, coalesce(page_number, 0) desc, element_id) as final_place from pl)"""
 _E1 = f"{_E}, {_ONE}"
 SQL["ranked_hits"] = f"{_E1}, {_RANK} select query_id, element_id, round(score, 6) as score, round(reranked, 6) as reranked, deferred from fp where final_place <= 50"
-SQL["pruned_hits"] = f"{_E1}, {_RANK}, rt as (select *, case when max(score) over (partition by query_id) > 0 then score / max(score) over (partition by query_id) else 0 end as ratio from fp where final_place <= 1000), ks as (select *, ratio >= 0.08 and not (coverage = 0 and ratio < 0.70) as passes from rt) select query_id, element_id, round(ratio, 4) as ratio, case when bool_or(passes) over (partition by query_id) then passes else row_number() over (partition by query_id order by score desc, element_id) <= 10 end as kept from ks"
+SQL["pruned_hits"] = f"{_E1}, {_RANK}, rt as (select *, case when max(score) over (partition by query_id) > 0 then score / max(score) over (partition by query_id) else 0 end as ratio from fp where final_place <= 1000), ks as (select *, ratio >= 0.08 and not (coverage = 0 and ratio < 0.70) as passes from rt) select query_id, element_id, round(round(ratio, 6), 4) as ratio, case when bool_or(passes) over (partition by query_id) then passes else row_number() over (partition by query_id order by score desc, element_id) <= 10 end as kept from ks"

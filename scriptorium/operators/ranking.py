@@ -64,11 +64,16 @@ def is_fragment(c: Column) -> Column:
     return c.rlike(_ARABIC) & (F.length(letters(c)) <= 2) & ~letters(c).isin(SHORT_WORDS)
 
 
-def ocr_quality(text: Column) -> Column:
-    """1 for sound text, less for tatweel, fragments, punctuation inside words, misread letters and irregular lengths."""
+def without_stretch(text: Column) -> Column:
+    """A text without tatweel, and with letters torn off behind a mark put back."""
+    bare = F.replace(F.coalesce(text, F.lit("")), F.lit("ـ"), F.lit(""))
+    return F.regexp_replace(bare, "([\\u0621-\\u064A][\\u064B-\\u0652\\u0670])\\s+([\\u0621-\\u064A]{1,2})(?=\\s|$|[^\\u0621-\\u064A])", "$1$2")
+
+
+def ocr_quality(text: Column, clean: Column, t: Column) -> Column:
+    """1 for sound text, less for tatweel, fragments, punctuation inside words, misread letters and irregular lengths.
+    ``clean`` is the text without stretch, ``t`` its words."""
     raw = F.coalesce(text, F.lit(""))
-    clean = F.regexp_replace(F.replace(raw, F.lit("ـ"), F.lit("")), "([\\u0621-\\u064A][\\u064B-\\u0652\\u0670])\\s+([\\u0621-\\u064A]{1,2})(?=\\s|$|[^\\u0621-\\u064A])", "$1$2")
-    t = words(clean)
     n = F.size(t)
     tatweel = (F.length(raw) - F.length(F.replace(raw, F.lit("ـ"), F.lit("")))) / F.length(raw)
     fragments = F.size(F.filter(t, is_fragment)) / n
@@ -130,9 +135,13 @@ def is_index_line(text: Column) -> Column:
 
 def signals(rows: DataFrame, query: Column, raw: str, normal: str) -> DataFrame:
     """``rows`` with the six graded signals and their weighted sum; ``query`` is an array of words."""
-    t = words(F.col(normal))
-    quality = ocr_quality(F.col(raw))
-    out = rows.select(
+    # Words are made once, each list in a projection of its own.
+    one = lambda df, name, c: df.select("*", F.explode(F.array(c)).alias(name))
+    staged = one(one(one(rows, "__t", words(F.col(normal))), "__clean", without_stretch(F.col(raw))), "__words", words(F.col("__clean")))
+    t = F.col("__t")
+    staged = one(staged, "__quality", ocr_quality(F.col(raw), F.col("__clean"), F.col("__words")))
+    quality = F.col("__quality")
+    out = staged.select(
         *rows.columns,
         F.when(is_index_line(F.col(normal)), F.least(quality, F.lit(0.15))).otherwise(quality).alias("ocr_quality"),
         coverage(query, t).alias("coverage"), completeness(F.col(normal)).alias("completeness"), density(query, t).alias("density"),

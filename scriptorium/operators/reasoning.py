@@ -140,6 +140,17 @@ def strip_particles(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, f"^(?:(?:{lead}) *)+", ""), f"(?:(?:{tail})[ .،:؛]*)+$", "")
 
 
+def _rarest(rows: DataFrame, words: str, frequency: DataFrame) -> DataFrame:
+    """``rows`` once for each of the rarest words (column rare, all in rarest) by which names with 0.6 of their words in common meet."""
+    keys = [c for c in rows.columns if c != words]
+    x = rows.select("*", F.explode(words).alias("w")).join(frequency, F.col("w") == F.col("fw"), "left")
+    # A name has few words: the list is as long as the name.
+    per = x.groupBy(*keys, words).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("o"), "w"))).alias("l"))
+    n = F.size(words)
+    first = F.slice("l", 1, F.greatest(n - F.greatest(F.lit(2), F.ceil(n * 0.6 - 1e-9).cast("int")) + 1, F.lit(0)))
+    return per.select(*keys, words, F.transform(first, lambda r: r["w"]).alias("rarest")).select(*keys, words, "rarest", F.explode("rarest").alias("rare"))
+
+
 def resolve_names(names: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """(name, resolution, id, confidence): names against (id, form, canonical) forms.
 
@@ -150,11 +161,15 @@ def resolve_names(names: DataFrame, gazetteer: DataFrame) -> DataFrame:
     asked = names.select("name").distinct().withColumn("nk", arabic.match_key(strip_particles(F.col("name"))))
     held = forms.groupBy("key").agg(F.count("*").alias("ids"), F.min("id").alias("one"), F.max("main").alias("main"))
     direct = asked.join(held, F.col("nk") == F.col("key"), "left")
-    word_rows = forms.select("id", F.col("key").alias("fk"), F.explode(F.array_distinct(F.split("key", " "))).alias("w"), F.size(F.array_distinct(F.split("key", " "))).alias("fn"))
-    open_names = direct.filter("ids is null and nk <> ''").select("name", F.explode(F.array_distinct(F.split("nk", " "))).alias("nw"), F.size(F.array_distinct(F.split("nk", " "))).alias("nn"))
-    # A word too common to tell anyone apart still counts, but only beside a rarer one: candidates meet on words held
-    # by few forms, and the whole sets are compared after that.
-    met = open_names.join(word_rows, F.col("nw") == F.col("w")).groupBy("name", "id", "fk", "nn", "fn").agg(F.count("*").alias("shared")).filter("shared >= 2")
+    # At least 0.6 of the longer name's words, and two, are common: so the rarest words of both, as many as may be missing
+    # and one more, have one in common. Common words like "son" are in nobody's rarest, and never meet.
+    open_names = direct.filter("ids is null and nk <> ''").select("name", F.array_distinct(F.split("nk", " ")).alias("nws"))
+    frequency = forms.select(F.explode(F.array_distinct(F.split("key", " "))).alias("fw")).groupBy("fw").agg(F.count("*").alias("often"))
+    rare_form = _rarest(forms.select("id", F.col("key").alias("fk"), F.array_distinct(F.split("key", " ")).alias("fws")), "fws", frequency)
+    rare_name = _rarest(open_names, "nws", frequency).select("name", "nws", F.col("rarest").alias("rarest2"), F.col("rare").alias("rare2"))
+    # A pair counts where it meets first, so pairs need no shuffle to become distinct.
+    pairs = rare_name.join(rare_form, F.col("rare2") == F.col("rare")).filter(F.element_at(F.array_intersect("rarest2", "rarest"), 1) == F.col("rare"))
+    met = pairs.select("name", "id", "fk", F.size("nws").alias("nn"), F.size("fws").alias("fn"), F.size(F.array_intersect("nws", "fws")).alias("shared")).filter("shared >= 2")
     best = met.withColumn("score", F.round(F.col("shared") / F.greatest("nn", "fn"), 4)).filter("score >= 0.6")
     best = best.groupBy(F.col("name").alias("bn")).agg(F.max_by(F.struct("id", "score"), F.struct("score", F.reverse(F.col("id")), F.col("id"))).alias("b"))
     j = direct.join(best, F.col("name") == F.col("bn"), "left")

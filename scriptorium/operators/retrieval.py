@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import arabic
+from scriptorium.runtime import shuffle_partitions
 
 
 def postings(elements: DataFrame, id: str, form: str) -> DataFrame:
@@ -76,11 +77,16 @@ def word_similarity(index: DataFrame, queries: DataFrame, id: str = "element_id"
     return index.join(q, F.col("gram") == F.col("qg")).groupBy("query_id", id, "asked").agg((F.count("*") / F.max("asked")).alias("share")).select("query_id", id, F.round("share", 6).alias("share"))
 
 
-def nearest_vectors(vectors: DataFrame, queries: DataFrame, id: str, k: int = 10) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, queries: DataFrame, id: str, k: int = 10, block: int = 512) -> DataFrame:
     """(query_id, id, similarity, place): the ``k`` nearest by cosine of each query vector, exact, similarity above 0.
 
-    A stated query set against all rows: the queries (query_id, vector) are cut into blocks that every row's partition
-    meets in turn, and only the best of each block and task reach the shuffle."""
+    A stated query set against all rows: the queries (query_id, vector) are cut into blocks of about ``block``, the
+    rows into salted parts, and every block meets every part in an equi-join, so no side is broadcast and no task holds
+    more than a part and a block."""
+    blocks, parts = max(1, -(-queries.count() // block)), shuffle_partitions(vectors.sparkSession)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), id)
-    scored = vectors.join(F.broadcast(queries), F.lit(True)).select("query_id", id, F.round(arabic.cosine(F.col("embedding"), F.col("vector")), 6).alias("similarity"))
+    q = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("qp"))
+    v = vectors.select(id, "embedding", F.pmod(F.xxhash64(id), F.lit(parts)).cast("int").alias("vp"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("vb"))
+    met = v.join(q, (F.col("vb") == F.col("qb")) & (F.col("vp") == F.col("qp")))
+    scored = met.select("query_id", id, F.round(arabic.cosine(F.col("embedding"), F.col("vector")), 6).alias("similarity"))
     return scored.filter("similarity > 0").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)

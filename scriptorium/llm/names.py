@@ -1,9 +1,9 @@
 """Variant spellings of names typed by people: entries of one person linked.
 
 Each entry is read into the parts of its name (own, father's, grandfather's, kunya, by-name, nisba) from the canonical
-name and all aliases, in Arabic or Latin script. Entries meet when a part has the same ending (suffix blocking); an
-ending too common to compare all its entries is refined by endings of other parts or the year of death, and only then
-dropped. Pairs are compared part by part by the ratio of their longest common subsequence; a part that is present and
+name and all aliases, in Arabic or Latin script. Entries meet when a part has the same ending (suffix blocking). No
+ending is dropped, however common: two dated entries of one ending meet only where their years can agree, as other
+years rule a pair out; all other pairs are compared, those of common endings in salted blocks. Pairs are compared part by part by the ratio of their longest common subsequence; a part that is present and
 different rules a pair out, and what is left must agree in enough parts. Pairs are closed to groups at the end.
 """
 
@@ -22,8 +22,8 @@ from scriptorium.runtime import cut
 
 #: Endings shorter than this are not indexed, for family names and for other parts.
 LONG_SUFFIX, SHORT_SUFFIX = 4, 3
-#: An ending with more entries than this is refined; at the finest refinement all its entries are compared.
-COMMON = 64
+#: The entries of an ending with more than this are compared in blocks of pairs of about BLOCK entries.
+COMMON, BLOCK = 64, 512
 #: Least ratio of the longest common subsequence for two forms of one part.
 RATIO = 0.75
 PARTS = ("own", "father", "grandfather", "kunya", "byname", "nisba")
@@ -251,36 +251,54 @@ def _suffix(form: str, n: int) -> str | None:
     return s[-n:]
 
 
-def block_keys(e: dict) -> list[tuple[str, int]]:
-    """(key, level) of an entry: endings of family names, then refined once, then twice."""
-    keys: dict[str, int] = {}
+def block_keys(e: dict) -> list[tuple[str, bool]]:
+    """(key, loose) of an entry: endings of family names with the year, and of given names with another part.
+
+    Under a loose key, the ending of a family name alone, only pairs with an undated entry need comparing: dated ones
+    whose years agree share the key with the year."""
+    keys: dict[str, bool] = {}
     ends = {p: {x for f in e[p] if (x := _suffix(f, LONG_SUFFIX if p == "nisba" else SHORT_SUFFIX))} for p in PARTS}
     years = {str(y + k) for y in e["years"] for k in (0, 1, 2)}
     for n in ends["nisba"]:
-        keys[f"n|{n}"] = 1
-        for tag, values in (("o", ends["own"]), ("k", ends["kunya"]), ("b", ends["byname"]), ("y", years)):
-            for v in values:
-                keys[f"n{tag}|{n}|{v}"] = 2
-        for o in ends["own"]:
-            for tag, values in (("f", ends["father"]), ("k", ends["kunya"]), ("y", years)):
-                for v in values:
-                    keys[f"no{tag}|{n}|{o}|{v}"] = 3
+        keys[f"n|{n}"] = True
         for y in years:
-            for tag, values in (("k", ends["kunya"]), ("b", ends["byname"])):
-                for v in values:
-                    keys[f"ny{tag}|{n}|{y}|{v}"] = 3
+            keys[f"ny|{n}|{y}"] = False
     for o in ends["own"]:
         for f in ends["father"]:
             for tag, values in (("g", ends["grandfather"]), ("k", ends["kunya"]), ("y", years)):
                 for v in values:
-                    keys[f"of{tag}|{o}|{f}|{v}"] = 2
-            for k in ends["kunya"]:
-                for tag, values in (("g", ends["grandfather"]), ("y", years)):
-                    for v in values:
-                        keys[f"ofk{tag}|{o}|{f}|{k}|{v}"] = 3
+                    keys[f"of{tag}|{o}|{f}|{v}"] = False
     return list(keys.items())
 
 
+def block_pairs(left: list[dict], right: list[dict] | None, loose: bool, known: frozenset) -> list[tuple[str, str]]:
+    """(sig, sig) of the same persons between two lists of entries, or within one.
+
+    An undated pair that is accepted agrees in two of own name, father's and kunya, so pairs that don't are passed over."""
+    kept: dict = {}
+
+    def agree(a: list[str], b: list[str]) -> bool:
+        if not a or not b:
+            return False
+        key = tuple(a), tuple(b)
+        if key not in kept:
+            kept[key] = part_agrees(a, b, known) > 0
+        return kept[key]
+
+    out = []
+    for i, x in enumerate(left):
+        for y in left[i + 1 :] if right is None else right:
+            if not x["years"] or not y["years"]:
+                own, father = agree(x["own"], y["own"]), agree(x["father"], y["father"])
+                if not (own and father or (own or father) and agree(x["kunya"], y["kunya"])):
+                    continue
+            elif loose:
+                continue
+            if same_person(x, y, known) == 1:
+                out.append((min(x["sig"], y["sig"]), max(x["sig"], y["sig"])))
+    return out
+
+
 _FORMS = ", ".join(f"{p} array<string>" for p in PARTS)
 
 
@@ -318,15 +336,16 @@ def person_pairs(df: DataFrame) -> DataFrame:
     def index(batches):
         for batch in batches:
             rows = zip(batch.column("sig").to_pylist(), *[batch.column(c).to_pylist() for c in columns])
-            out = [(s, k, level) for s, *v in rows for k, level in block_keys(dict(zip(columns, v)))]
-            sig, key, level = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.string()), pa.array(key, pa.string()), pa.array(level, pa.int32())], ["sig", "key", "level"])
+            out = [(s, k, loose, not v[-1]) for s, *v in rows for k, loose in block_keys(dict(zip(columns, v)))]
+            sig, key, loose, undated = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.string()), pa.array(key, pa.string()), pa.array(loose, pa.bool_()), pa.array(undated, pa.bool_())], ["sig", "key", "loose", "undated"])
 
-    keys = cut(kinds.mapInArrow(index, "sig string, key string, level int").withColumn("k", F.xxhash64("key")).select("sig", "k", "level"))
-    sizes = keys.groupBy(F.col("k").alias("kk"), F.col("level").alias("l")).count().filter(((F.col("l") == 3) | (F.col("count") <= COMMON)) & (F.col("count") > 1))
-    blocks = keys.join(sizes.select("kk"), F.col("k") == F.col("kk"), "left_semi").select("sig", "k")
-    other = blocks.select(F.col("sig").alias("other"), F.col("k").alias("k2"))
-    met = blocks.join(other, (F.col("k") == F.col("k2")) & (F.col("sig") < F.col("other"))).select("sig", "other").distinct()
+    keys = cut(kinds.mapInArrow(index, "sig string, key string, loose boolean, undated boolean").withColumn("k", F.xxhash64("key")).select("sig", "k", "loose", "undated"))
+    sizes = cut(keys.groupBy(F.col("k").alias("kk"), F.col("loose").alias("l")).agg(F.count("*").alias("n"), F.max("undated").alias("any")).filter("n > 1 and (any or not l)"))
+    blocks = keys.join(sizes.filter(F.col("n") <= COMMON).select("kk", "l"), (F.col("k") == F.col("kk")) & (F.col("loose") == F.col("l")), "left_semi")
+    other = blocks.select(F.col("sig").alias("other"), F.col("k").alias("k2"), F.col("loose").alias("l2"), F.col("undated").alias("u2"))
+    meets = ~F.col("loose") | F.col("undated") | F.col("u2")
+    met = blocks.join(other, (F.col("k") == F.col("k2")) & (F.col("loose") == F.col("l2")) & (F.col("sig") < F.col("other")) & meets).select("sig", "other").distinct()
 
     def judged(pairs: DataFrame, left: str, right: str) -> DataFrame:
         a = kinds.select(*[F.col(c).alias(f"a_{c}") for c in ("sig", *columns)])
@@ -341,7 +360,19 @@ def person_pairs(df: DataFrame) -> DataFrame:
 
         return both.mapInArrow(judge, "x string, y string, verdict int")
 
-    linked = cut(judged(met, "sig", "other").filter("verdict = 1").select("x", "y"))
+    def meet(block: pa.Table) -> pa.Table:
+        rows = block.to_pylist()
+        low, high = rows[0]["low"], rows[0]["high"]
+        left, right = [r for r in rows if r["salt"] == low], None if low == high else [r for r in rows if r["salt"] == high]
+        x, y = zip(*found) if (found := block_pairs(left, right, rows[0]["loose"], known.value)) else ((), ())
+        return pa.table({"x": pa.array(x, pa.string()), "y": pa.array(y, pa.string())})
+
+    # A common ending's entries are salted into parts, and every part meets every part.
+    large = sizes.filter(F.col("n") > COMMON).select("kk", "l", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    salted = keys.join(large, (F.col("k") == F.col("kk")) & (F.col("loose") == F.col("l"))).select("sig", "k", "loose", "parts", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("salt"))
+    salted = salted.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("sig", "k", "loose", "salt", F.least("salt", "met").alias("low"), F.greatest("salt", "met").alias("high"))
+    parted = salted.join(kinds.withColumnRenamed("sig", "s"), F.col("sig") == F.col("s")).drop("s").groupBy("k", "loose", "low", "high").applyInArrow(meet, "x string, y string")
+    linked = cut(judged(met, "sig", "other").filter("verdict = 1").select("x", "y").unionByName(parted).distinct())
     groups = connected_components(linked, "x", "y")
     member = groups.select("component", F.col("node").alias("sig"))
     inner = member.join(member.select(F.col("component").alias("c2"), F.col("sig").alias("other")), (F.col("component") == F.col("c2")) & (F.col("sig") < F.col("other"))).select("sig", "other")

@@ -238,19 +238,35 @@ class Editor:
     def score(self, feats: list[str], op: str) -> float:
         return sum(w.get(op, 0.0) for f in feats if (w := self.weights.get(f)))
 
-    def proposals(self, word: str, most: int = 6, floor: float = 0.0) -> list[tuple[str, float]]:
-        """Words one edit away, the best first, with the editor's margin over keeping."""
-        found: dict[str, float] = {}
-        for i in range(len(word) + 1):
-            feats = self.features(word, i) if i < len(word) else None
-            options = [e for e in self.by_first.get(word[i : i + 1], ()) if word.startswith(e[0], i)] if feats else []
-            keep = self.score(feats, "keep") if options else 0.0
+    def steps(self, word: str, floor: float = 0.0):
+        """(word made, margin over keeping, place, characters replaced, characters written) of every edit above the floor."""
+        for i in range(len(word)):
+            options = [e for e in self.by_first.get(word[i : i + 1], ()) if word.startswith(e[0], i)]
+            if not options:
+                continue
+            feats = self.features(word, i)
+            keep = self.score(feats, "keep")
             for a, b in options:
                 s = self.score(feats, f"{a}>{b}") - keep
                 made = word[:i] + b + word[i + len(a) :]
-                if s > floor and made and s > found.get(made, -9e9):
-                    found[made] = s
-        return sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most]
+                if s > floor and made:
+                    yield made, s, i, len(a), len(b)
+
+    def proposals(self, word: str, floor: float = 0.0) -> list[tuple[str, float]]:
+        """All words one edit away, the best first, with the editor's margin over keeping."""
+        found: dict[str, float] = {}
+        for made, s, *_ in self.steps(word, floor):
+            found[made] = max(s, found.get(made, s))
+        return sorted(found.items(), key=lambda x: (-x[1], x[0]))
+
+    def double_proposals(self, word: str, floor: float = 0.0) -> list[tuple[str, float]]:
+        """All words two edits at two places away, the second judged beside the first."""
+        found: dict[str, float] = {}
+        for first, s, i, _, b in self.steps(word, floor):
+            for made, t, j, a, _ in self.steps(first, floor):
+                if made != word and (j + a <= i or j >= i + b):
+                    found[made] = max(s + t, found.get(made, s + t))
+        return sorted(found.items(), key=lambda x: (-x[1], x[0]))
 
 
 def operations(word: str, edit: tuple[int, str, str] | None) -> list[tuple[int, str]]:
@@ -359,9 +375,9 @@ def corrections(counts: DataFrame) -> DataFrame:
     """(word, right): misread words and what they should be.
 
     ``counts`` are the words of the whole collection. The editor, fitted on a bounded sample of them (the FIT_WORDS
-    most frequent words and as many of all by hash), proposes edits for every word; a proposal stands if the
-    collection holds it TIMES as often as the word, and LEAST times at all; of several the one with the greatest margin
-    plus logarithm of its frequency.
+    most frequent words and as many of all by hash), proposes every edit above keeping for every word; a proposal stands
+    if the collection holds it TIMES as often as the word, and LEAST times at all; of several the one with the greatest
+    margin plus logarithm of its frequency. Two edits at two places count for words that no single edit explains.
     """
     sized = counts.filter(F.length("word").between(2, 40) & ~F.col("word").rlike("^[\\p{N}]"))
     frequent = [tuple(r) for r in sized.filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(FIT_WORDS).collect()]
@@ -372,17 +388,19 @@ def corrections(counts: DataFrame) -> DataFrame:
     def propose(batches):
         e = Editor(*editor.value)
         for batch in batches:
-            out = [(w, n, p, s) for w, n in zip(*[c.to_pylist() for c in batch.columns]) for p, s in e.proposals(w)]
-            cols = list(zip(*out)) if out else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.float64())], ["word", "n", "proposal", "margin"])
+            pairs = list(zip(*[c.to_pylist() for c in batch.columns]))
+            out = [(w, n, p, s, single) for w, n in pairs for single, found in ((True, e.proposals(w)), (False, e.double_proposals(w))) for p, s in found]
+            cols = list(zip(*out)) if out else [(), (), (), (), ()]
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["word", "n", "proposal", "margin", "single"])
 
-    judged = counts.filter(F.length("word").between(2, 40)).select("word", "n").mapInArrow(propose, "word string, n long, proposal string, margin double")
+    judged = counts.filter(F.length("word").between(2, 40)).select("word", "n").mapInArrow(propose, "word string, n long, proposal string, margin double, single boolean")
     held = counts.select(F.col("word").alias("right"), F.col("n").alias("m")).filter(F.col("m") >= LEAST)
     return (
         judged.join(held, F.col("proposal") == F.col("right"))
         .filter(F.col("m") >= TIMES * F.col("n"))
         .groupBy("word")
-        .agg(F.max_by("right", F.struct((F.col("margin") + F.log("m")).alias("s"), "right")).alias("right"))
+        .agg(F.max_by("right", F.struct("single", (F.col("margin") + F.log("m")).alias("s"), "right")).alias("right"))
     )
 
 

@@ -212,6 +212,23 @@ def test_editor_learns_the_recognisers_edits():
     assert not pagetext.train_editor([], []).edits
 
 
+def test_every_proposal_is_asked_for():
+    # Eight edits above keeping; the collection may hold only the last.
+    e = pagetext.Editor({"b": {f"{c}>{c.upper()}": 9.0 - k for k, c in enumerate("abcdefgh")}}, [(c, c.upper()) for c in "abcdefgh"])
+    assert [p for p, _ in e.proposals("abcdefgh")][-1] == "abcdefgH" and len(e.proposals("abcdefgh")) == 8
+
+
+def test_two_misread_places_are_repaired(spark):
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abdghiklmnoprstu") for _ in range(7)) for _ in range(300)})
+    frequent = [w[:1] + "e" + w[2:5] + "e" + w[6:] for w in words]
+    once, twice = {w.replace("e", "c", 1): w for w in frequent[:150]}, {w.replace("e", "c"): w for w in frequent[200:240]}
+    rows = [(w, 400) for w in frequent] + [(w, 2) for w in once] + [(w, 1) for w in twice]
+    got = {r.word: r.right for r in pagetext.corrections(spark.createDataFrame(rows, "word string, n long")).collect()}
+    assert sum(got.get(w) == right for w, right in twice.items()) >= 0.8 * len(twice)
+    assert set(got) <= {*once, *twice}
+
+
 def test_folding_is_the_same_on_both_sides(spark):
     texts = ["Ｆull ﬁne", "أحکام ﻓﻲ", "ذکَر", "Sīnān", "ﻻ ا", "plain", ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string")

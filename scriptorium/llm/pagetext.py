@@ -340,7 +340,7 @@ def train_editor(frequent: list[tuple[str, int]], rare: list[tuple[str, int]], e
     for w, c, e in pairs:
         if (e[1], e[2]) in edits and (w not in chosen or noisy[e[1], e[2]] * count[c] > chosen[w][0]):
             chosen[w] = (noisy[e[1], e[2]] * count[c], e)
-    examples = [(w, operations(w, e)) for w, (_, e) in sorted(chosen.items())][:6000]
+    examples = [(w, operations(w, e)) for w, (_, e) in sorted(chosen.items())]
     examples += [(w, operations(w, None)) for w, _ in frequent[: max(2000, len(examples) // 2)]]
     weights: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
     total: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))

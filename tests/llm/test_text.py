@@ -212,6 +212,21 @@ def test_editor_learns_the_recognisers_edits():
     assert not pagetext.train_editor([], []).edits
 
 
+def test_late_words_give_examples_too():
+    rng = random.Random(9)
+    letters = "abdhiklmnoprstu"
+    make = lambda first, inner: first + "".join(rng.choice(letters) for _ in range(3)) + inner + "".join(rng.choice(letters) for _ in range(4))
+    early = sorted({make("a", "e") for _ in range(6500)})
+    late, own = sorted({make("z", "fa") for _ in range(200)}), sorted({make("z", "qo") for _ in range(200)})
+    frequent = [(w, 400) for w in own + late + early]
+    rare = [(w.replace("e", "c"), 2) for w in early] + [(w.replace("f", "q"), 2) for w in late[:150]]
+    e = pagetext.train_editor(frequent, rare, epochs=1)
+    hits = sum(w in [p for p, _ in e.proposals(w.replace("f", "q"))] for w in late[150:])
+    assert hits >= 0.8 * len(late[150:])
+    # A q before an a stands in the late misread words only.
+    assert "nqa" in e.weights
+
+
 def test_every_proposal_is_asked_for():
     # Eight edits above keeping; the collection may hold only the last.
     e = pagetext.Editor({"b": {f"{c}>{c.upper()}": 9.0 - k for k, c in enumerate("abcdefgh")}}, [(c, c.upper()) for c in "abcdefgh"])

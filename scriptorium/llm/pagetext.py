@@ -414,6 +414,16 @@ _DIVIDED = f"([\\p{{L}}\\p{{M}}\\p{{N}}]+)([{MARKS_AT_END}])[ \\t\\p{{Z}}]*\\n[
 _OPEN_END = f"([\\p{{L}}\\p{{M}}\\p{{N}}]+)([{MARKS_AT_END}])[ \\t\\p{{Z}}]*$"
 
 
+def crossings(rows: DataFrame) -> DataFrame:
+    """(element_id, next_id, mark, left, right): last words with a mark, and the first word of the page's next element."""
+    ends = rows.filter(F.col("text_raw").rlike(_OPEN_END)).select(
+        F.col("element_id").alias("e"), F.col("page_id").alias("pg"), (F.col("element_order") + 1).alias("next"),
+        F.regexp_extract("text_raw", _OPEN_END, 2).alias("mark"), F.regexp_extract("text_raw", _OPEN_END, 1).alias("left"),
+    )
+    begins = rows.select(F.col("element_id").alias("next_id"), "page_id", "element_order", F.regexp_extract("text_raw", "^[\\s\\p{Z}]*([\\p{L}\\p{M}\\p{N}]+)", 1).alias("right")).filter("right <> ''")
+    return ends.join(begins, (F.col("pg") == F.col("page_id")) & (F.col("next") == F.col("element_order"))).select(F.col("e").alias("element_id"), "next_id", "mark", "left", "right")
+
+
 def divisions(rows: DataFrame) -> DataFrame:
     """(element_id, mark, left, right) of the words that may be divided, over a line end or to the page's next element."""
     x = F.lit(_DIVIDED)
@@ -421,12 +431,7 @@ def divisions(rows: DataFrame) -> DataFrame:
         "element_id",
         F.explode(F.arrays_zip(*[F.regexp_extract_all("text_raw", x, F.lit(i)).alias(c) for i, c in ((2, "mark"), (1, "left"), (3, "right"))])).alias("d"),
     ).select("element_id", "d.mark", "d.left", "d.right")
-    ends = rows.filter(F.col("text_raw").rlike(_OPEN_END)).select(
-        F.col("element_id").alias("e"), F.col("page_id").alias("pg"), (F.col("element_order") + 1).alias("next"),
-        F.regexp_extract("text_raw", _OPEN_END, 2).alias("mark"), F.regexp_extract("text_raw", _OPEN_END, 1).alias("left"),
-    )
-    begins = rows.select("page_id", "element_order", F.regexp_extract("text_raw", "^[\\s\\p{Z}]*([\\p{L}\\p{M}\\p{N}]+)", 1).alias("right")).filter("right <> ''")
-    across = ends.join(begins, (F.col("pg") == F.col("page_id")) & (F.col("next") == F.col("element_order"))).select(F.col("e").alias("element_id"), "mark", "left", "right")
+    across = crossings(rows).drop("next_id")
     cut_off = inside.unionByName(across).distinct()
     return cut_off.select("element_id", "mark", folded(F.col("left")).alias("left"), folded(F.col("right")).alias("right")).filter("left <> '' and right <> ''").distinct()
 
@@ -544,10 +549,17 @@ def repaired_text(text: str, header: bool, skip: list[int], joins: set[tuple[str
 
 def display_texts(df: DataFrame, books: DataFrame) -> DataFrame:
     """(element_id, text_display): every element's text repaired; null where the raw text is null, empty where only
-    furniture is left. An element delivered twice comes once; the second half of a word divided to the next element
-    stays there, and the mark of the first half stays with it."""
+    furniture or the rest of a divided word is left. An element delivered twice comes once; the second half of a word
+    divided to the page's next element is moved to its first half, with the punctuation that follows it."""
     rows, headers, numbers, broken, wrong, body = _noise(df, books)
-    bad = misread_words(body, wrong, broken).groupBy(F.col("element_id").alias("me")).agg(F.collect_set(F.struct("word", "right")).alias("fixes"))
+    pairs = broken.select(F.col("element_id").alias("pe"), F.col("left").alias("pl"), F.col("right").alias("pr"))
+    over = crossings(rows).select("element_id", "next_id", folded(F.col("left")).alias("left"), folded(F.col("right")).alias("right"))
+    over = over.join(pairs, (F.col("element_id") == F.col("pe")) & (F.col("left") == F.col("pl")) & (F.col("right") == F.col("pr")), "left_semi")
+    # Where several elements have one place, one goes with one.
+    over = over.groupBy("element_id", "left").agg(F.min(F.struct("next_id", "right")).alias("n")).groupBy("n").agg(F.min(F.struct("element_id", "left")).alias("e"))
+    over = cut(over.select("e.element_id", "e.left", "n.next_id", "n.right"))
+    halves = broken.unionByName(over.select(F.col("next_id").alias("element_id"), F.col("right").alias("left"), "right"))
+    bad = misread_words(body, wrong, halves).groupBy(F.col("element_id").alias("me")).agg(F.collect_set(F.struct("word", "right")).alias("fixes"))
     split = broken.groupBy(F.col("element_id").alias("de")).agg(F.collect_set(F.struct("left", "right")).alias("joins"))
 
     def repair(texts: pd.Series, header: pd.Series, skip: pd.Series, joins: pd.Series, fixes: pd.Series) -> pd.Series:
@@ -560,6 +572,33 @@ def display_texts(df: DataFrame, books: DataFrame) -> DataFrame:
 
     run = F.pandas_udf(repair, "string")
     once = body.dropDuplicates(["element_id"]).join(bad, F.col("element_id") == F.col("me"), "left").join(split, F.col("element_id") == F.col("de"), "left")
-    done = once.select("element_id", run("text_raw", F.col("he").isNotNull(), "skip", "joins", "fixes").alias("text_display"))
+    done = stored(once.select("element_id", run("text_raw", F.col("he").isNotNull(), "skip", "joins", "fixes").alias("text_display")))
+    moved = carried(done, over)
     ids = df.select("element_id").filter("element_id is not null").distinct()
-    return ids.join(done.withColumnRenamed("element_id", "i"), F.col("element_id") == F.col("i"), "left").select("element_id", "text_display")
+    told = ids.join(done.withColumnRenamed("element_id", "i"), F.col("element_id") == F.col("i"), "left").join(moved, F.col("element_id") == F.col("m"), "left")
+    return told.select("element_id", F.coalesce("text_moved", "text_display").alias("text_display"))
+
+
+def carried(done: DataFrame, over: DataFrame) -> DataFrame:
+    """(m, text_moved): the texts that words divided to the next element change, at both of their ends.
+
+    ``done`` has (element_id, text_display) after repair. A word is moved where both texts still have their half at
+    their end and start, so nothing is taken from a text without coming into the other; an element that is nothing but
+    the middle of a word divided twice stays."""
+    asked = over.select(F.explode(F.array("element_id", "next_id")).alias("element_id"))
+    texts = cut(done.filter(key_filter(asked, "element_id")(F.col("element_id"))))
+    last, first = f"([\\p{{L}}\\p{{M}}\\p{{N}}]+)[{MARKS_AT_END}]$", "^([\\p{L}\\p{M}\\p{N}]+)"
+    a = texts.select(F.col("element_id").alias("ia"), F.col("text_display").alias("ta"))
+    b = texts.select(F.col("element_id").alias("ib"), F.col("text_display").alias("tb"))
+    met = over.join(a, F.col("element_id") == F.col("ia")).join(b, F.col("next_id") == F.col("ib"))
+    met = met.filter(F.endswith(folded(F.regexp_extract("ta", last, 1)), F.col("left")) & F.startswith(folded(F.regexp_extract("tb", first, 1)), F.col("right")))
+    twice = over.select(F.col("element_id").alias("o"))
+    middle = met.filter(~F.col("tb").rlike("\\s")).join(twice, F.col("next_id") == F.col("o"), "left_semi").select(F.col("next_id").alias("o"))
+    met = met.join(middle, F.col("next_id") == F.col("o"), "left_anti")
+    met = cut(met.select("element_id", "next_id", F.regexp_extract("tb", "^(\\S+)", 1).alias("half")))
+    tails = met.select(F.col("element_id").alias("m"), F.col("half").alias("tail"), F.lit(None).cast("string").alias("head"))
+    heads = met.select(F.col("next_id").alias("m"), F.lit(None).cast("string").alias("tail"), F.col("half").alias("head"))
+    change = tails.unionByName(heads).groupBy("m").agg(F.max("tail").alias("tail"), F.max("head").alias("head"))
+    x = texts.join(change, F.col("element_id") == F.col("m"))
+    rest = F.when(F.col("head").isNull(), F.col("text_display")).otherwise(F.ltrim(F.expr("substring(text_display, length(head) + 1)")))
+    return x.select("m", F.when(F.col("tail").isNull(), rest).otherwise(F.concat(F.regexp_replace(rest, f"[{MARKS_AT_END}]$", ""), F.col("tail"))).alias("text_moved"))

@@ -198,6 +198,19 @@ def test_display_text(spark):
     assert got == {1: "", 3: "", 17: "chapters witness self-restraint", 23: "gardens library [4711] volume", 9002: "loose volume", 9003: None, 9004: ""}
 
 
+def test_words_divided_to_the_next_element_are_joined(spark):
+    pages, books = _pages(spark)
+    got = {r.element_id: r.text_display for r in pagetext.display_texts(pages, books).filter("element_id in (20, 9001)").collect()}
+    assert got == {20: "self-restraint market narrator", 9001: "chapters"}
+
+
+def test_halves_move_whole_or_not_at_all(spark):
+    done = [(1, "one wit-"), (2, "ness, two nar-"), (3, "rator"), (4, "a mar-"), (5, "other ket"), (6, "x vo-"), (7, "lu-"), (8, "me y")]
+    over = [(1, "wit", 2, "ness"), (2, "nar", 3, "rator"), (4, "mar", 5, "ket"), (6, "vo", 7, "lu"), (7, "lu", 8, "me")]
+    moved = pagetext.carried(spark.createDataFrame(done, "element_id long, text_display string"), spark.createDataFrame(over, "element_id long, left string, next_id long, right string"))
+    assert {r.m: r.text_moved for r in moved.collect()} == {1: "one witness,", 2: "two narrator", 3: "", 7: "lume", 8: "y"}
+
+
 def test_editor_learns_the_recognisers_edits():
     rng = random.Random(2)
     letters = "abdeghiklmnoprstu"

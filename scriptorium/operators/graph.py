@@ -84,14 +84,18 @@ def expanded_terms(concepts: DataFrame, ids: DataFrame, levels: int = 5, most: i
 
 
 def concepts_in_texts(concepts: DataFrame, texts: DataFrame) -> DataFrame:
-    """(text_id, id): concepts whose label, as whole words, a text (text_id, text) holds.
-
-    Labels of m words meet the m-word sequences of the texts in an equi-join, not every text every label."""
-    labels = concepts.select("id", arabic.match_key(F.col("label")).alias("key")).filter("key <> ''").distinct()
+    """(text_id, id): concepts whose label or a synonym, as whole words, a text (text_id, text) holds.
+
+    Terms of m words meet the m-word sequences of the texts in an equi-join, not every text every term; sequences are
+    made for every length that occurs among the terms."""
+    synonyms = F.coalesce("synonyms", F.array().cast("array<string>")) if "synonyms" in concepts.columns else F.array().cast("array<string>")
+    terms = F.explode(F.concat(F.array("label"), synonyms))
+    labels = concepts.select("id", terms.alias("term")).select("id", arabic.match_key(F.col("term")).alias("key")).filter("key <> ''").distinct()
+    lengths = sorted(r[0] for r in labels.select(F.size(F.split("key", " ")).alias("m")).distinct().collect())
     split = texts.select("text_id", F.explode(F.array(F.split(arabic.match_key(F.col("text")), " "))).alias("words"))
     words = F.col("words")
     def grams(n):
         return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    found = split.select("text_id", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("g"))
+    found = split.select("text_id", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *[grams(m) for m in lengths]))).alias("g"))
     return found.join(labels, F.col("g") == F.col("key")).select("text_id", "id").distinct()

@@ -146,6 +146,13 @@ def test_concepts_in_texts(spark):
     assert {tuple(r) for r in graph.concepts_in_texts(c, t).collect()} == {(1, "c1"), (1, "c2")}
 
 
+def test_synonyms_and_long_terms_are_found(spark):
+    c = spark.createDataFrame([("c1", "prayer", ["the five daily acts of worship"]), ("c2", "a term of six long words", None)], "id string, label string, synonyms array<string>")
+    t = spark.createDataFrame([(1, "of the five daily acts of worship"), (2, "here a term of six long words stands"), (3, "daily acts")], "text_id long, text string")
+    assert {tuple(r) for r in graph.concepts_in_texts(c, t).collect()} == {(1, "c1"), (2, "c2")}
+    assert graph.concepts_in_texts(c.limit(0), t).count() == 0
+
+
 def test_current_elements_take_the_latest(spark):
     rows = [(1, "x", "2020-01-01"), (1, "y", "2021-01-01"), (1, "y", "2021-01-01"), (2, "z", None)]
     df = spark.createDataFrame(rows, "element_id int, element_type string, updated_at string").withColumn("updated_at", F.to_timestamp("updated_at"))

@@ -26,10 +26,18 @@ LEADING = "من في عن مع عند بعد قبل بين حتي حتى لدي
 TRAILING = "عن و ثم في من بن ابن ، قال عنه عنها عنهم".split()
 
 
-def current_elements(df: DataFrame) -> DataFrame:
-    """One row per element: the latest version (a null time is the earliest)."""
-    last = df.groupBy("element_id").agg(F.max_by(F.struct(*[c for c in df.columns if c != "element_id"]), F.coalesce("updated_at", F.to_timestamp(F.lit("0001-01-01")))).alias("r"))
-    return last.select("element_id", "r.*")
+def current_elements(df: DataFrame, *columns: str) -> DataFrame:
+    """(element_id, columns): one row per element, the latest version (a null time is the earliest; of versions of one
+    time the one with the greater values, so the result doesn't depend on the rows' order).
+
+    Only the columns named are read and shuffled, besides the key and the time; all, where none is named. Without any
+    text among them the rows are fixed-width or short, and the aggregation is partial before the shuffle.
+    """
+    kept = [c for c in (columns or df.columns) if c != "element_id"]
+    if not kept:
+        return df.select("element_id").distinct()
+    last = df.groupBy("element_id").agg(F.max(F.struct(F.coalesce("updated_at", F.to_timestamp(F.lit("0001-01-01"))).alias("__at"), *kept)).alias("r"))
+    return last.select("element_id", *[F.col("r")[c].alias(c) for c in kept])
 
 
 def lines(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -123,6 +131,21 @@ def suggested_phrases(phrases: DataFrame, query: str, k: int = 10, floor: float
     return phrases.withColumn("score", F.round(score, 6)).filter(F.col("score") >= floor).orderBy(F.desc("score"), F.desc("frequency"), "phrase").limit(k)
 
 
+def phrase_match(texts: DataFrame, id: str, text: str, phrase: str) -> DataFrame:
+    """(id, score, matched, total, coverage): how well each text matches a phrase: the mean over the phrase's words of
+    the weight of the best matching word. The strengths of a text's words are computed where the text lies and their
+    maxima taken before any shuffle; a text without words scores 0 on an empty word."""
+    asked = phrase.split()
+    words = texts.select(id, F.explode(F.array_distinct(F.split(arabic.collapse(F.col(text)), " "))).alias("w"))
+    best = words.groupBy(id).agg(*[F.max(arabic.strength_weight(arabic.match_strength(F.lit(q), F.col("w")))).alias(f"b{i}") for i, q in enumerate(asked)])
+    weights = [F.col(f"b{i}") for i in range(len(asked))]
+    matched = sum(((w > 0).cast("bigint") for w in weights), F.lit(0).cast("bigint"))
+    return best.select(
+        id, F.round(sum(weights, F.lit(0.0)) / max(len(asked), 1), 4).alias("score"), matched.alias("matched"), F.lit(len(asked)).alias("total"),
+        F.round(matched / max(len(asked), 1), 4).alias("coverage"),
+    )
+
+
 def entity_kind(label: Column) -> Column:
     """Kind of an entity label after its function words are trimmed: person, book, other, or rejected."""
     words = F.filter(F.split(arabic.match_key(label), " "), lambda w: w != "")

@@ -40,11 +40,20 @@ def check(name: str, severity: str, value: DataFrame) -> DataFrame:
     return value.select(F.lit(name).alias("check"), F.lit(severity).alias("severity"), F.col(value.columns[0]).cast("double").alias("value"))
 
 
-def scorecard(checks: list[DataFrame]) -> DataFrame:
+def checks(row: DataFrame, told: dict[str, tuple[str, str]]) -> DataFrame:
+    """Audit rows from the columns of one aggregated row: ``told`` has each column's check and severity."""
+    made = [F.struct(F.lit(name).alias("check"), F.lit(severity).alias("severity"), F.col(c).cast("double").alias("value")) for c, (name, severity) in told.items()]
+    return row.select(F.explode(F.array(*made)).alias("c")).select("c.*")
+
+
+def scorecard(parts: list[DataFrame]) -> DataFrame:
     """All audit rows and one more, the score: 100 less 5 for each failed check and 1 for each warning."""
-    rows = reduce(DataFrame.unionByName, checks)
-    score = rows.agg(F.greatest(F.lit(0.0), 100.0 - 5 * F.sum(((F.col("severity") == "fail") & (F.col("value") > 0)).cast("int")) - F.sum(((F.col("severity") == "warning") & (F.col("value") > 0)).cast("int"))).alias("v"))
-    return rows.unionByName(check("score", "info", score))
+    rows = reduce(DataFrame.unionByName, parts)
+    failed = F.sum(((F.col("severity") == "fail") & (F.col("value") > 0)).cast("int"))
+    warned = F.sum(((F.col("severity") == "warning") & (F.col("value") > 0)).cast("int"))
+    # The rows are as many as there are checks: one list, so that no check is computed twice.
+    whole = rows.agg(F.collect_list(F.struct("check", "severity", "value")).alias("all"), F.greatest(F.lit(0.0), 100.0 - 5 * failed - warned).alias("score"))
+    return whole.select(F.explode(F.array_append("all", F.struct(F.lit("score").alias("check"), F.lit("info").alias("severity"), F.col("score").cast("double").alias("value")))).alias("c")).select("c.*")
 
 
 def budget_trips(events: DataFrame, group: str, order: list[str], amount: str, limit: float) -> DataFrame:

@@ -15,18 +15,18 @@ FORMS = [
 ]
 
 
-def _elements(spark, d):
-    return corpus.current_elements(table(spark, d, "page_elements"))
+def _elements(spark, d, *columns):
+    return corpus.current_elements(table(spark, d, "page_elements"), *columns)
 
 
 def _words(spark, d):
     """(element_id, tokens) of the normalised text of each element."""
-    e = _elements(spark, d).filter("text_normalized is not null")
+    e = _elements(spark, d, "text_normalized").filter("text_normalized is not null")
     return e.select("element_id", F.filter(F.split("text_normalized", " "), lambda w: w.rlike("[\\p{L}\\p{N}]")).alias("tokens"))
 
 
 def element_lines(spark, d):
-    return corpus.lines(_elements(spark, d), "element_id", "text_raw")
+    return corpus.lines(_elements(spark, d, "text_raw"), "element_id", "text_raw")
 
 
 def document_chunks(spark, d):
@@ -34,11 +34,11 @@ def document_chunks(spark, d):
 
 
 def search_forms(spark, d):
-    return _elements(spark, d).filter("text_raw is not null").select("element_id", arabic.search_form(F.col("text_raw")).alias("form"))
+    return _elements(spark, d, "text_raw").filter("text_raw is not null").select("element_id", arabic.search_form(F.col("text_raw")).alias("form"))
 
 
 def retrieval_forms(spark, d):
-    e = _elements(spark, d).filter("text_raw is not null")
+    e = _elements(spark, d, "text_raw").filter("text_raw is not null")
     return e.select("element_id", arabic.canonical_form(F.col("text_raw")).alias("canonical"), arabic.retrieval_form(F.col("text_raw")).alias("retrieval"), arabic.diacritic_ratio(F.col("text_raw")).alias("ratio"))
 
 
@@ -69,27 +69,24 @@ def word_stems(spark, d):
 
 
 def phrase_match(spark, d):
-    """Score of a fixed phrase on every heading: the mean over its words of the best match."""
-    e = _elements(spark, d).filter("element_type = 'heading' and text_raw is not null")
-    q = spark.createDataFrame([(i, w) for i, w in enumerate("أبواب أحكام الصلاة".split())], "i int, query string")
-    t = e.select("element_id", F.explode(F.array_distinct(F.split(arabic.collapse(F.col("text_raw")), " "))).alias("target"))
-    best = t.join(F.broadcast(q)).groupBy("element_id", "i").agg(F.max(arabic.strength_weight(arabic.match_strength(F.col("query"), F.col("target")))).alias("w"))
-    return best.groupBy("element_id").agg(F.round(F.avg("w"), 4).alias("score"), F.sum(F.when(F.col("w") > 0, 1).otherwise(0)).alias("matched"))
+    """Score of a fixed phrase on every element: the mean over its words of the best match."""
+    e = _elements(spark, d, "text_raw").filter("text_raw is not null")
+    return corpus.phrase_match(e, "element_id", "text_raw", "أبواب أحكام الصلاة").select("element_id", "score", "matched")
 
 
 def quality_classes(spark, d):
-    e = _elements(spark, d)
+    e = _elements(spark, d, "text_raw")
     total = e.agg(F.count("*")).scalar()
     return e.select(corpus.quality_class(F.col("text_raw")).alias("class")).groupBy("class").agg(F.count("*").alias("elements"), F.round(100.0 * F.count("*") / F.max(total), 4).alias("percent"))
 
 
 def exact_duplicates(spark, d):
-    return corpus.exact_duplicates(_elements(spark, d), "element_id", "text_raw")
+    return corpus.exact_duplicates(_elements(spark, d, "text_raw"), "element_id", "text_raw")
 
 
 def stale_elements(spark, d):
     """Null-safe version filter: what the current canonicaliser has not made."""
-    e = _elements(spark, d)
+    e = _elements(spark, d, "text_raw", "text_normalized", "canonicalizer_version")
     return e.filter(F.col("text_normalized").isNull() | ~F.col("canonicalizer_version").eqNullSafe("1.0.0")).select("element_id", "canonicalizer_version", F.coalesce(F.nullif("text_normalized", F.lit("")), F.nullif("text_raw", F.lit("")), F.lit("")).alias("text"))
 
 
@@ -106,7 +103,7 @@ def context_neighbours(spark, d):
 
 
 def phrase_suggestions(spark, d):
-    return corpus.suggested_phrases(corpus.phrase_statistics(_words(spark, d), 2, 3), "عبد الرحيم")
+    return corpus.suggested_phrases(corpus.phrase_statistics(_words(spark, d)), "عبد الرحيم")
 
 
 def entity_kinds(spark, d):
@@ -174,7 +171,7 @@ SQL = {
     "narrator_name_lists": "select distinct id, name from (select id, unnest(list_filter(list_transform(regexp_split_to_array(canonical_name, '[،,؛;/|]'), lambda x: trim(x)), lambda x: x <> '')) as name from narrators)",
     "word_matches": f"select query, target, s as strength, {_WEIGHT} as weight from (select query, target, (select {_STRENGTH} from {_match('trim(query)', 'trim(target)')}) as s from (values {_VALUES}) v(query, target))",
     "word_stems": WORDS + f", x as (select distinct word, {duck.retrieval_form('word')} as r from (select unnest(tokens) as word from w)) select word, {duck.light_stem('r')} as stem from x",
-    "phrase_match": f"with {ELEMENTS}, t as (select distinct element_id, unnest(string_split({duck.collapse('text_raw')}, ' ')) as target from e where element_type = 'heading' and text_raw is not null), q as (select * from (values (0, 'أبواب'), (1, 'أحكام'), (2, 'الصلاة')) v(i, query)), m as (select element_id, i, (select {_STRENGTH} from {_match('trim(query)', 'trim(target)')}) as s from t, q), b as (select element_id, i, max({_WEIGHT}) as w from m group by all) select element_id, round(avg(w), 4) as score, cast(sum(case when w > 0 then 1 else 0 end) as bigint) as matched from b group by element_id",
+    "phrase_match": f"with {ELEMENTS}, t as (select distinct element_id, unnest(string_split({duck.collapse('text_raw')}, ' ')) as target from e where text_raw is not null), q as (select * from (values (0, 'أبواب'), (1, 'أحكام'), (2, 'الصلاة')) v(i, query)), m as (select element_id, i, (select {_STRENGTH} from {_match('trim(query)', 'trim(target)')}) as s from t, q), b as (select element_id, i, max({_WEIGHT}) as w from m group by all) select element_id, round(avg(w), 4) as score, cast(sum(case when w > 0 then 1 else 0 end) as bigint) as matched from b group by element_id",
     "quality_classes": f"with {ELEMENTS}, t as (select trim(coalesce(text_raw, '')) as t from e), c as (select case when t = '' then 'blank' when not regexp_matches(t, '\\p{{L}}') then 'noise' when len({_nonblank('t')}) < 3 then 'short' when length(t) - length(replace(t, 'ـ', '')) > 0.25 * length(t) then 'noise' else 'clean' end as class from t) select class, count(*) as elements, round(100.0 * count(*) / (select count(*) from c), 4) as percent from c group by class",
     "exact_duplicates": f"with {ELEMENTS}, m as (select element_id as id, min(element_id) over (partition by text_raw) as first_id from e where text_raw is not null) select id, first_id from m where id <> first_id",
     "stale_elements": f"with {ELEMENTS} select element_id, canonicalizer_version, coalesce(nullif(text_normalized, ''), nullif(text_raw, ''), '') as text from e where text_normalized is null or canonicalizer_version is distinct from '1.0.0'",
@@ -183,7 +180,7 @@ SQL = {
     "context_neighbours": WORDS + """, u as (select element_id, unnest(tokens) as token, generate_subscripts(tokens, 1) as i from w),
  c as (select a.token, case when b.i < a.i then 'left' else 'right' end as side, b.token as neighbour, count(*) as frequency from u a join u b on a.element_id = b.element_id and b.i between a.i - 2 and a.i + 2 and a.i <> b.i group by all)
  select token, side, neighbour, frequency, cast(place as int) as place from (select *, row_number() over (partition by token, side order by frequency desc, neighbour) as place from c) where place <= 5""",
-    "phrase_suggestions": _PHR.replace('{0}', '4') + ", s as (select *, round((case when phrase = 'عبد الرحيم' then 1.0 else 0.0 end) + (case when contains(phrase, 'عبد الرحيم') then 0.75 else 0.0 end) + ln(1 + frequency) / 8 + ln(1 + document_frequency) / 15, 6) as score from t) select * from s where score >= 0.2 order by score desc, frequency desc, phrase limit 10",
+    "phrase_suggestions": _PHR.replace('{0}', '6') + ", s as (select *, round((case when phrase = 'عبد الرحيم' then 1.0 else 0.0 end) + (case when contains(phrase, 'عبد الرحيم') then 0.75 else 0.0 end) + ln(1 + frequency) / 8 + ln(1 + document_frequency) / 15, 6) as score from t) select * from s where score >= 0.2 order by score desc, frequency desc, phrase limit 10",
     "entity_kinds": f"""with t as (select distinct label, list_filter(string_split({duck.match_key('label')}, ' '), lambda x: x <> '') as ws from entity_candidates where label is not null),
  a as (select label, list_slice(ws, coalesce(list_min(list_filter(list_transform(range(1, len(ws) + 1), lambda i: case when not list_contains({_LIST(corpus.LEADING)}, ws[i]) then i end), lambda x: x is not null)), len(ws) + 1), len(ws)) as rest from t),
  b as (select label, case when len(rest) = 0 then [] else list_slice(rest, 1, coalesce(list_max(list_filter(list_transform(range(1, len(rest) + 1), lambda i: case when not list_contains({_LIST(corpus.TRAILING)}, rest[i]) then i end), lambda x: x is not null)), 0)) end as kept from a)

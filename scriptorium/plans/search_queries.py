@@ -14,8 +14,8 @@ QUESTIONS = {1: "أبواب أحكام الصلاة", 2: "عبد الرحيم ب
 ASKED = "عبد الرحيم بن رزين"
 
 
-def _elements(spark, d):
-    return corpus.current_elements(table(spark, d, "page_elements")).filter("text_normalized is not null")
+def _elements(spark, d, *more):
+    return corpus.current_elements(table(spark, d, "page_elements"), "text_normalized", *more).filter("text_normalized is not null")
 
 
 def _questions(spark):
@@ -76,11 +76,11 @@ def source_counts(spark, d):
 
 def element_signals(spark, d):
     words = F.array(*[F.lit(w) for w in ASKED.split()])
-    return ranking.signals(_elements(spark, d).select("element_id", "text_raw", "text_normalized"), words, "text_raw", "text_normalized").drop("text_raw", "text_normalized")
+    return ranking.signals(_elements(spark, d, "text_raw"), words, "text_raw", "text_normalized").drop("text_raw", "text_normalized")
 
 
 def _fused(spark, d):
-    e = _elements(spark, d)
+    e = _elements(spark, d, "text_raw", "element_type", "page_id", "page_number")
     q = spark.createDataFrame([(1, ASKED)], "query_id int, query string")
     fts = retrieval.full_text(retrieval.postings(e, "element_id", "text_normalized"), retrieval.query_terms(q), k=200)
     fuz = retrieval.fuzzy(retrieval.trigram_index(e, "element_id", "text_normalized"), q, k=200)

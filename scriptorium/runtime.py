@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -35,23 +37,32 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is named (tests on one
-    machine) a temporary one is set. The copy lies outside the executors, so losing one loses nothing.
+    The copy lies outside the executors, so losing one loses nothing.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="scriptorium-checkpoint-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. Only a session on one machine (master local)
+    that names none gets a temporary one, removed when Python ends; any other raises, since its executors could not
+    read it."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local"):
+                raise ValueError("name a folder all executors share in spark.checkpoint.dir")
+            named = tempfile.mkdtemp(prefix="scriptorium-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Like :func:`cut`, for wide rows: a compressed table in the shared checkpoint folder, read back."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        cut(spark.range(1))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
+    path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

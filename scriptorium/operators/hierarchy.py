@@ -43,7 +43,10 @@ def _lifted(state: DataFrame, sums: list[str], carried: dict[str, str], gathered
     """One doubling round: ``sums`` add along the way up, ``carried`` (column -> SQL of own and upper value) follow,
     ``gathered`` add up what points here."""
     upper = state.select(F.col("concept_id").alias("__j"), F.col("jump").alias("__jump"), *[F.col(c).alias(f"__u_{c}") for c in [*sums, *carried]])
-    nxt = state.join(upper, state["jump"] == F.col("__j"), "left")
+    # Nodes whose way up has ended look nothing up; a key of their own spreads them, instead of one null key. Those
+    # below one ancestor share its key, a skewed side that the adaptive join splits.
+    key = F.coalesce("jump", F.concat(F.lit("\u0000"), F.col("concept_id")))
+    nxt = state.withColumn("__key", key).join(upper, F.col("__key") == F.col("__j"), "left")
     new = {"jump": F.col("__jump")}
     for c in sums:
         new[c] = F.col(c) + F.coalesce(F.col(f"__u_{c}"), F.lit(0))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from scriptorium.runtime import cut, shuffle_partitions
 
 
-def grouped_prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over the rows of the same ``keys`` that come earlier by ``order``.
+def grouped_prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, whole: str | None = None) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the rows of the same ``keys`` that come earlier by ``order``; and ``whole``,
+    the sum over all rows of the keys, if a name for it is given.
 
     Rows are range-partitioned by keys and order, summed inside each partition, and shifted by the totals of the
     group's earlier partitions. A group that holds a third of all rows is spread over a third of the partitions; the
@@ -24,8 +25,9 @@ def grouped_prefix_sums(df: DataFrame, keys: list[str], order: list[str], value:
         F.sum(value).alias("__total")
     )
     earlier = Window.partitionBy(*[f"__k_{k}" for k in keys]).orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)
+    every = [F.sum("__total").over(Window.partitionBy(*[f"__k_{k}" for k in keys])).alias("__whole")] if whole else []
     shifts = totals.select(
-        *[f"__k_{k}" for k in keys], "__q", F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__shift")
+        *[f"__k_{k}" for k in keys], "__q", F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__shift"), *every
     )
     same = F.col("__part") == F.col("__q")
     for k in keys:
@@ -35,5 +37,5 @@ def grouped_prefix_sums(df: DataFrame, keys: list[str], order: list[str], value:
         placed.withColumn("__local", F.coalesce(F.sum(value).over(local), F.lit(0)))
         .join(shifts, same, "left")
         .withColumn(out, F.col("__local") + F.col("__shift"))
-        .select(*df.columns, out)
+        .select(*df.columns, out, *([F.col("__whole").alias(whole)] if whole else []))
     )

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.prefix import grouped_prefix_sums
+
 
 def page(df: DataFrame, order: list[str], number: int, size: int) -> DataFrame:
     """Rows of one page in order; number and size are at least 1."""
@@ -58,9 +60,10 @@ def scorecard(parts: list[DataFrame]) -> DataFrame:
 
 def budget_trips(events: DataFrame, group: str, order: list[str], amount: str, limit: float) -> DataFrame:
     """(group, trip_at, used): the first event at which a group's running sum passes ``limit``; the limit itself is
-    allowed. Groups that stay within it do not appear."""
-    run = F.sum(amount).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    x = events.withColumn("used", run).filter(F.col("used") > limit)
+    allowed. Groups that stay within it do not appear. A group with most of the events is summed over many tasks; rows
+    equal in group and order must be one row."""
+    spent = grouped_prefix_sums(events.select(group, *order, amount), [group], order, amount, "__before")
+    x = spent.withColumn("used", F.col("__before") + F.coalesce(F.col(amount), F.lit(0))).filter(F.col("used") > limit)
     return x.groupBy(group).agg(F.min(F.struct(*order, "used")).alias("f")).select(group, F.col(f"f.{order[-1]}").alias("trip_at"), F.round("f.used", 6).alias("used"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.bpe import token_counts
-from scriptorium.runtime import cut
+from scriptorium.runtime import stored
 
 
 def source_key(c: Column) -> Column:
@@ -53,18 +53,18 @@ def distribution(mean: float, cap: int) -> list[float]:
     return out
 
 
-def plan(sizes: dict[str, int], targets: list[tuple[str, float, int]], total: float | None = None, least: float = 0.5) -> dict[str, tuple[float, int]]:
+def plan(sizes: dict[str, int], targets: list[tuple[str, float, int]], total: float | None = None) -> dict[str, tuple[float, int]]:
     """Mean repetitions and cap of each listed source that has tokens: share * total / size, at most its cap.
 
     ``total`` is by default the largest size at which every source with tokens reaches its share within its
-    repetitions, but not more than the listed sources hold, nor less than ``least`` of it: a source so small that it
-    would hold all others down gives what it may, and its share stays short, as the report shows.
+    repetitions, but not more than the listed sources hold. At a larger one, which must be passed, a source at its cap
+    gives what it may, and its share stays short, as the report shows.
     """
     goal = {s: (share, max(int(cap), 0)) for s, share, cap in targets if sizes.get(s, 0) > 0 and share is not None and share > 0 and cap is not None}
     if total is None:
         held = float(sum(sizes[s] for s in goal))
         within = min((cap * sizes[s] / share for s, (share, cap) in goal.items()), default=0.0)
-        total = max(min(held, within), least * held)
+        total = min(held, within)
     return {s: (min(share * total / sizes[s], float(cap)), cap) for s, (share, cap) in goal.items()}
 
 
@@ -75,7 +75,7 @@ def _targets(mix: DataFrame) -> list[tuple[str, float, int]]:
 
 
 def mixture(documents: DataFrame, mix: DataFrame, seed: int = 17, total: float | None = None, path: str | None = None) -> DataFrame:
-    """(doc_id, source, repeat, tokens, place): the drawn documents, one row per repetition, shuffled globally.
+    """(doc_id, source, repeat, tokens, text, place): the drawn documents, one row per repetition, shuffled globally.
 
     Each document of a listed source is repeated as often as a Poisson distribution, cut off at max_repeats and with
     the mean its source needs, says at the document's hash-seeded uniform number; ``place`` is the hash by which rows
@@ -83,11 +83,12 @@ def mixture(documents: DataFrame, mix: DataFrame, seed: int = 17, total: float |
     a listed source without documents, or without tokens, adds nothing. Null and empty texts have 0 tokens and are
     drawn like the others. Same doc_ids share their number of repetitions. An empty table gives an empty result.
     """
-    sized = token_counts(documents, {"doc_id": F.col("doc_id"), "source": source_key(F.col("source"))}, path=path)
+    sized = token_counts(documents, {"doc_id": F.col("doc_id"), "source": source_key(F.col("source")), "text": F.col("text")}, path=path)
     wanted = _targets(mix)
     listed = [s for s, _, _ in wanted]
-    # Counted once; the narrow rows are read again for the sizes, for the sort's sample and for the drawing.
-    sized = cut(sized.filter(F.col("source").isin(listed)) if listed else sized.filter(F.lit(False)))
+    # Counted once; the compressed table is read again for the sizes and the sort's sample, which take no text, and for
+    # the drawing.
+    sized = stored(sized.filter(F.col("source").isin(listed)) if listed else sized.filter(F.lit(False)))
     sizes = {r[0]: int(r[1] or 0) for r in sized.groupBy("source").agg(F.sum("tokens")).collect()}  # listed sources only
     steps = {s: distribution(*of) for s, of in plan(sizes, wanted, total).items()}
     # A uniform number of 53 bits from the id alone.
@@ -102,7 +103,7 @@ def mixture(documents: DataFrame, mix: DataFrame, seed: int = 17, total: float |
         sized.withColumn("u", u)
         .withColumn("times", count)
         .filter("times > 0")
-        .select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("repeat"), "tokens")
+        .select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("repeat"), "tokens", "text")
         .withColumn("place", F.xxhash64("doc_id", "repeat", F.lit(seed + 1)))
         .orderBy("place", "doc_id", "repeat")
     )
@@ -110,7 +111,7 @@ def mixture(documents: DataFrame, mix: DataFrame, seed: int = 17, total: float |
 
 def reached_shares(documents: DataFrame, mix: DataFrame, **options) -> DataFrame:
     """(source, target_share, max_repeats, documents, rows, tokens, actual_share, most_repeats) of each listed source."""
-    drawn = mixture(documents, mix, **options).groupBy("source").agg(
+    drawn = mixture(documents, mix, **options).drop("text").groupBy("source").agg(
         F.count_distinct("doc_id").alias("documents"), F.count("*").alias("rows"), F.sum("tokens").alias("tokens"), F.max("repeat").alias("most_repeats")
     )
     targets = mix.select(source_key(F.col("source")).alias("s"), "target_share", "max_repeats").filter("s is not null")

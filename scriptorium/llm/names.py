@@ -26,6 +26,8 @@ LONG_SUFFIX, SHORT_SUFFIX = 4, 3
 COMMON, BLOCK = 64, 512
 #: Least ratio of the longest common subsequence for two forms of one part.
 RATIO = 0.75
+#: A form is an established name, which is no misspelling of another one, if so many entries hold it and so large a share.
+KNOWN_ENTRIES, KNOWN_SHARE = 6, 0.001
 PARTS = ("own", "father", "grandfather", "kunya", "byname", "nisba")
 
 # Letters folded, words that join the parts of a name, spellings of one sound.
@@ -170,14 +172,15 @@ def read_entry(canonical: str | None, aliases, kunya: str | None, nisba: str | N
 def _lcs_ratio(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
-    row = [0] * (len(b) + 1)
+    # One machine word per row: bit j is 0 where the row's length grows at b's letter j.
+    places: dict[str, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    every = row = (1 << len(b)) - 1
     for x in a:
-        left = diagonal = 0
-        for j, y in enumerate(b, 1):
-            up = row[j]
-            left = diagonal + 1 if x == y else left if left > up else up
-            row[j], diagonal = left, up
-    return 2 * row[-1] / (len(a) + len(b))
+        same = row & places.get(x, 0)
+        row = (row + same | row - same) & every
+    return 2 * (len(b) - row.bit_count()) / (len(a) + len(b))
 
 
 def alike(a: str, b: str, known: frozenset) -> int | None:
@@ -317,6 +320,16 @@ def entries(df: DataFrame) -> DataFrame:
     return read_rows.groupBy("id").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in (*PARTS, "years")])
 
 
+def person_groups(df: DataFrame) -> DataFrame:
+    """(id, person, entries): every id with the least id of its person and how many ids that person has; ids that pair
+    with none are persons of their own. Null ids are left out."""
+    ids = df.select("id").filter("id is not null").distinct()
+    member = connected_components(person_pairs(df), "narrator_a", "narrator_b")
+    told = ids.join(member, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("person"))
+    sizes = told.groupBy(F.col("person").alias("p")).agg(F.count("*").alias("entries"))
+    return told.join(sizes, F.col("person") == F.col("p")).select("id", "person", "entries")
+
+
 def person_pairs(df: DataFrame) -> DataFrame:
     """(narrator_a, narrator_b): all pairs of different ids that are the same person.
 
@@ -327,9 +340,8 @@ def person_pairs(df: DataFrame) -> DataFrame:
     columns = (*PARTS, "years")
     read = cut(entries(df).withColumn("sig", F.md5(F.to_json(F.struct(*columns)))))
     kinds = cut(read.groupBy("sig").agg(*[F.first(c).alias(c) for c in columns]).filter(" or ".join(f"size({p}) > 0" for p in PARTS)))
-    # Forms held by more than a share of the entries are established names: at most some thousands, whatever the data.
-    total = kinds.count()
-    often = max(6, total // 1000)
+    # An entry has some ten forms, so no more than 10 / KNOWN_SHARE forms are established, whatever the data.
+    often = max(KNOWN_ENTRIES, int(kinds.count() * KNOWN_SHARE))
     common = kinds.select(F.explode(F.array_distinct(F.concat(*PARTS))).alias("form")).groupBy("form").count().filter(F.col("count") >= often)
     known = df.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in common.collect()))
 

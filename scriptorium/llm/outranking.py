@@ -6,36 +6,66 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.operators.prefix import grouped_prefix_sums
+from scriptorium.runtime import cut
 
 
-def net_flows(items: DataFrame, group: str, item: str, weights: dict[str, float]) -> DataFrame:
-    """(group, item, flow): the weighted net flow of each item within its group.
+#: Preference of one item over another by the difference d of their percentiles: none up to INDIFFERENCE, whole from
+#: FULL on, in proportion between. With 0 and 1 every difference counts by its size, so no score can decide more than
+#: its quarter however its values are spread; a narrower range lets small differences count like large ones.
+INDIFFERENCE, FULL = 0.0, 1.0
 
-    For each score an item is preferred to another to the degree by which its percentile (mid-rank in the group) is
-    higher; its net flow is the mean preference over the others minus the mean of theirs over it. With p the item's
-    percentile and P the sum over the n items of the group, that is (n p - P) / (n - 1), exactly, so sorted prefix sums
-    over the distinct score values give every pairwise comparison without making a pair. A missing or NaN score counts
-    as the lowest, equal scores share their mid-rank, an item alone in its group has flow 0. Groups may be of any size:
-    values are counted first and the prefix sums run over range partitions. (group, item) must be unique.
+
+def net_flows(items: DataFrame, group: str, item: str, weights: dict[str, float], indifference: float = INDIFFERENCE, full: float = FULL) -> DataFrame:
+    """(group, item, positive, negative, flow): the weighted outranking flows of each item within its group.
+
+    For each score, item a is preferred to b to the degree P(a, b) that :data:`INDIFFERENCE` and :data:`FULL` give to
+    the difference of their percentiles (mid-ranks over the group's size). ``positive`` is the mean of P(a, b) over
+    the others, ``negative`` the mean of P(b, a), both summed over the scores by weight, and ``flow`` their difference.
+
+    No pair is made. Let C(t) be how many items have a mid-rank of at most t; their mid-ranks sum to C (C + 1) / 2, as
+    equal scores lie wholly on one side. An item of mid-rank x is wholly preferred to the C(x - b) items below x - b
+    and in proportion to those up to x - a, where a and b are the thresholds in ranks; so its flows are four values of
+    C, which a second sorted prefix sum over values and thresholds gives (none is needed where they are 0 and 1).
+
+    A missing or NaN score counts as the lowest, equal scores share their mid-rank, an item alone in its group has
+    flows 0. Groups may be of any size: values are counted first and the prefix sums run over range partitions.
+    (group, item) must be unique; an empty table gives no row.
     """
+    if not 0 <= indifference < full:
+        raise ValueError("0 <= indifference < full")
     scores = [F.struct(F.lit(c).alias("criterion"), F.when(F.isnan(F.col(c).cast("double")), None).otherwise(F.col(c).cast("double")).alias("value")) for c in weights]
     long = items.select(F.col(group).alias("g"), F.col(item).alias("i"), F.explode(F.array(*scores)).alias("s")).select("g", "i", "s.criterion", "s.value")
     values = long.groupBy("g", "criterion", "value").agg(F.count("*").alias("held"))
-    ranked = grouped_prefix_sums(values, ["g", "criterion"], ["value"], "held", "below").withColumn("mid", F.col("below") + (F.col("held") + 1) / 2)
-    sizes = items.groupBy(F.col(group).alias("gn")).agg(F.count("*").alias("n"))
-    r = ranked.select(F.col("g").alias("rg"), F.col("criterion").alias("rc"), F.col("value").alias("rv"), "mid")
-    weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-    # The mid-ranks of n items always sum to n (n + 1) / 2; percentiles are mid-ranks over n.
+    ranked = grouped_prefix_sums(values, ["g", "criterion"], ["value"], "held", "below", whole="n")
+    ranked = ranked.withColumn("mid", F.col("below") + (F.col("held") + 1) / 2)
+    a, b, x = indifference * F.col("n"), full * F.col("n"), F.col("mid")
+    at = {"far_below": x - b, "near_below": x - a, "near_above": x + a, "far_above": x + b}
+    inside = {k: (t > 0) & (t < F.col("n")) & (t != x) for k, t in at.items()}
+    # C outside the ranks is 0 or n, and at x itself all that stand up to x.
+    count = {k: F.when(t <= 0, 0).when(t >= F.col("n"), F.col("n")).otherwise(F.col("below") + F.col("held")) for k, t in at.items()}
+    if indifference > 0 or full < 1:
+        ranked = cut(ranked)
+        asked = F.filter(F.array(*[F.when(inside[k], F.struct(F.lit(k).alias("what"), t.alias("t"))) for k, t in at.items()]), lambda q: q.isNotNull())
+        marks = ranked.select("g", "criterion", F.explode(asked).alias("q")).groupBy("g", "criterion", F.col("q.t").alias("t")).agg(F.lit(1).alias("asked"))
+        points = ranked.select("g", "criterion", x.alias("t"), "held", F.lit(0).alias("asked")).unionByName(marks.select("g", "criterion", "t", F.lit(0).cast("bigint").alias("held"), "asked"))
+        # At equal places the items come before the question, which counts them.
+        told = cut(grouped_prefix_sums(points, ["g", "criterion"], ["t", "asked"], "held", "c").filter("asked = 1").select("g", "criterion", "t", "c"))
+        for k, t in at.items():
+            mine = told.select(F.col("g").alias("__g"), F.col("criterion").alias("__c"), F.col("t").alias("__t"), F.col("c").alias(f"c_{k}"))
+            ranked = ranked.join(mine, F.col("g").eqNullSafe(F.col("__g")) & (F.col("criterion") == F.col("__c")) & (t == F.col("__t")), "left").drop("__g", "__c", "__t")
+            count[k] = F.when(inside[k], F.col(f"c_{k}")).otherwise(count[k])
+    total = {k: c * (c + 1) / 2 for k, c in count.items()}
+    slope = b - a
+    up = count["far_below"] + ((x - a) * (count["near_below"] - count["far_below"]) - (total["near_below"] - total["far_below"])) / slope
+    down = (F.col("n") - count["far_above"]) + ((total["far_above"] - total["near_above"]) - (x + a) * (count["far_above"] - count["near_above"])) / slope
+    others = F.greatest(F.col("n") - 1, F.lit(1))
+    weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("criterion")]
+    r = ranked.select(F.col("g").alias("rg"), F.col("criterion").alias("rc"), F.col("value").alias("rv"), (weight * up / others).alias("up"), (weight * down / others).alias("down"))
     return (
         long.join(r, F.col("g").eqNullSafe(F.col("rg")) & (F.col("criterion") == F.col("rc")) & F.col("value").eqNullSafe(F.col("rv")))
         .groupBy("g", "i")
-        .agg(F.sum(weight[F.col("criterion")] * F.col("mid")).alias("ranks"))
-        .join(sizes, F.col("g").eqNullSafe(F.col("gn")))
-        .select(
-            F.col("g").alias(group),
-            F.col("i").alias(item),
-            F.when(F.col("n") > 1, (F.col("ranks") - F.lit(float(sum(weights.values()))) * (F.col("n") + 1) / 2) / (F.col("n") - 1)).otherwise(0.0).alias("flow"),
-        )
+        .agg(F.sum("up").alias("positive"), F.sum("down").alias("negative"))
+        .select(F.col("g").alias(group), F.col("i").alias(item), "positive", "negative", (F.col("positive") - F.col("negative")).alias("flow"))
     )
 
 
@@ -61,12 +91,13 @@ def scored_items(results: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def fused_ranking(results: DataFrame, signals: DataFrame) -> DataFrame:
-    """(query_id, element_id, flow) over all items."""
+    """(query_id, element_id, positive, negative, flow) over all items."""
     return net_flows(scored_items(results, signals), "query_id", "element_id", CRITERIA)
 
 
 def best_items(results: DataFrame, signals: DataFrame, k: int = 3) -> DataFrame:
-    """(query_id, element_id): the ``k`` best items of each query; equal flows by the smaller element_id.
+    """(query_id, element_id): the ``k`` best items of each query; equal flows (to nine decimals) by the smaller
+    element_id.
 
     Spark keeps k rows per query and task before it shuffles (a group limit below the window), so a large query is no
     hot task.

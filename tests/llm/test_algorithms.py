@@ -4,6 +4,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scriptorium.llm import names, neardup, outranking, queries, terms
@@ -77,21 +79,24 @@ def test_terms(spark):
 
 
 # ------------------------------------------------------------------------------------------------- outranking
-def test_flows_equal_all_pairs(spark):
+@pytest.mark.parametrize("q, p", [(0.0, 1.0), (0.1, 0.4), (0.0, 0.3), (0.25, 1.5)])
+def test_flows_equal_all_pairs(spark, q, p):
     rng = random.Random(6)
     rows = [(g, i, rng.choice([None, float("nan"), 1.0, 2.0, rng.random() * 1000]), rng.random()) for g, n in (("a", 30), ("b", 1), (None, 7)) for i in range(n)]
     df = spark.createDataFrame(rows, "g string, i int, s double, t double").withColumns({c: F.lit(0) for c in ("value", "criterion", "n", "mid")})
-    got = {(r.g, r.i): r.flow for r in outranking.net_flows(df, "g", "i", {"s": 2.0, "t": 1.0}).collect()}
+    got = {(r.g, r.i): (r.positive, r.negative, r.flow) for r in outranking.net_flows(df, "g", "i", {"s": 2.0, "t": 1.0}, q, p).collect()}
     low = lambda x: float("-inf") if x is None or x != x else x
     for g, i, s, t in rows:
-        group = [(low(x[2]), x[3], x[1]) for x in rows if x[0] == g]
-        n, flow = len(group), 0.0
+        group = [(low(x[2]), x[3]) for x in rows if x[0] == g]
+        n, plus, minus = len(group), 0.0, 0.0
         for weight, k, mine in ((2.0, 0, low(s)), (1.0, 1, t)):
-            rank = lambda v, k=k: sum(o[k] < v for o in group) + (sum(o[k] == v for o in group) + 1) / 2
-            # The degree of preference is the difference of percentiles where it is positive.
-            flow += weight * sum(max(rank(mine) - rank(o[k]), 0) / n - max(rank(o[k]) - rank(mine), 0) / n for o in group)
-        assert got[g, i] == pytest.approx(flow / (n - 1) if n > 1 else 0.0, abs=1e-9)
-    assert outranking.net_flows(df.limit(0), "g", "i", {"s": 1.0}).count() == 0
+            share = lambda v, k=k: (sum(o[k] < v for o in group) + (sum(o[k] == v for o in group) + 1) / 2) / n
+            prefer = lambda d: min(max((d - q) / (p - q), 0.0), 1.0)
+            plus += weight * sum(prefer(share(mine) - share(o[k])) for o in group)
+            minus += weight * sum(prefer(share(o[k]) - share(mine)) for o in group)
+        want = (plus / max(n - 1, 1), minus / max(n - 1, 1), (plus - minus) / max(n - 1, 1))
+        assert got[g, i] == pytest.approx(want, abs=1e-9)
+    assert outranking.net_flows(df.limit(0), "g", "i", {"s": 1.0}, q, p).count() == 0
 
 
 def test_current_scores_count(spark):
@@ -115,6 +120,21 @@ def test_variants_are_linked(spark):
     got = {tuple(r) for r in names.person_pairs(df).collect()}
     assert got == {(a, b) for g in (["a1", "a2", "a3", "a4"], ["c1", "c2", "c3"]) for i, a in enumerate(g) for b in g[i + 1 :]}
     assert names.person_pairs(df.limit(0)).count() == 0
+    groups = {r.id: (r.person, r.entries) for r in names.person_groups(df).collect()}
+    assert groups["a3"] == ("a1", 4) and groups["c2"] == ("c1", 3) and groups["d1"] == ("d1", 1)
+
+
+@given(st.text("abcd", max_size=12), st.text("abcd", max_size=12))
+@settings(max_examples=100, deadline=None)
+def test_common_subsequences_equal_the_table(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b, 1):
+            row.append(last[j - 1] + 1 if x == y else max(row[-1], last[j]))
+    want = 2 * row[-1] / (len(a) + len(b)) if a and b else 0.0
+    assert names._lcs_ratio(a, b) == pytest.approx(want)
 
 
 def test_parts_of_names():
@@ -128,7 +148,7 @@ def _by_brute_force(rows):
     """All pairs of entries compared, and closed to groups as person_pairs does."""
     read = {r[0]: names.read_entry(*r[1:5]) | {"years": [] if r[5] is None else [r[5]]} for r in rows}
     held = Counter(f for e in read.values() for f in {f for p in names.PARTS for f in e[p]})
-    known = frozenset(f for f, n in held.items() if n >= max(6, len(rows) // 1000))
+    known = frozenset(f for f, n in held.items() if n >= max(names.KNOWN_ENTRIES, int(len(rows) * names.KNOWN_SHARE)))
     told = {(a, b): names.same_person(read[a], read[b], known) for a, b in itertools.combinations(sorted(read), 2)}
     group = {i: i for i in read}
     for (a, b), verdict in told.items():

@@ -105,9 +105,12 @@ def test_shares_are_reached_and_caps_kept(spark):
     assert mixing.mixture(docs.limit(0), mix).count() == 0 and mixing.mixture(docs, mix.limit(0)).count() == 0
 
 
-def test_a_tiny_source_does_not_hold_down_the_rest():
-    means = mixing.plan({"big": 1_000_000, "tiny": 10}, [("big", 0.5, 2), ("tiny", 0.5, 2)])
-    assert means["tiny"] == (2.0, 2) and means["big"][0] == pytest.approx(0.25, abs=0.01)
+def test_the_default_total_lets_every_source_reach_its_share():
+    sizes, targets = {"big": 1_000_000, "tiny": 10}, [("big", 0.5, 2), ("tiny", 0.5, 2)]
+    means = mixing.plan(sizes, targets)
+    assert means["tiny"] == (2.0, 2) and means["big"][0] == pytest.approx(0.00002)
+    # A larger total is drawn only where it is asked for.
+    assert mixing.plan(sizes, targets, 500_000)["big"][0] == pytest.approx(0.25)
 
 
 # ------------------------------------------------------------------------------------------------- languages

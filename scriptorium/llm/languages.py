@@ -1,9 +1,9 @@
 """Language of each document and of each stretch of one language, with a confidence.
 
-Hierarchical discrimination: a linear support vector machine tells the language family of a word sequence, and within
-the family one machine for each two languages tells them apart. All of them are linear in the words, so a word's scores
-are computed once per worker, a text's are sums, and stretches are found by the best path over the words with a cost
-for each change of language.
+Hierarchical discrimination: a linear support vector machine first decides the language family of each part of a text,
+by the best path over its words with a cost for each change of family. Within a part only the machines of its family
+are asked, one for each two of its languages, and the best path over their duels gives the stretches. The machines are
+linear in the words, so a word's scores are computed once per worker and a stretch's are sums.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ NOTATIONS = {
 
 #: Hashed features of a word: its letters, pairs and triples of letters, and itself.
 FEATURES = 1 << 17
-#: Labelled documents per language that the machines are fitted on, and words per training piece.
+#: Labelled documents per language that the machines are fitted on, characters of each of them, and words per training
+#: piece. The bounds are for fitting alone; every text is judged whole.
 FIT_DOCUMENTS = 700
+FIT_CHARACTERS = 20_000
 PIECE = 16
 #: Words of a stretch that counts, cost of a change of language, and bound of a word's score.
 STRETCH = 12
@@ -176,7 +178,8 @@ def fit(texts: list[str], labels: list[str], rounds: int = 2, epochs: int = 4, s
                     if e:
                         total += w
             weights[:, m] = total / max(1, steps * (epochs - 1) / epochs)
-        by_language = language_scores(bag.scores(weights))
+        machines_of = bag.scores(weights)
+        by_language = np.repeat(family_scores(machines_of), 3, axis=1) + duel_scores(machines_of)
         mean = np.stack([np.bincount(piece, by_language[word, k], len(pieces)) for k in range(6)], 1) * share[:, None]
         own = mean[np.arange(len(pieces)), told]
         kept = own >= mean.max(1) - 0.3
@@ -190,12 +193,15 @@ def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(a - (ends - n), n)
 
 
-def language_scores(machines: np.ndarray) -> np.ndarray:
-    """Word by language, from word by machine: the family's score and the mean of the language's duels in it."""
-    out = np.zeros((len(machines), 6), np.float32)
+def family_scores(machines: np.ndarray) -> np.ndarray:
+    """Word by family, from word by machine."""
     fam = np.clip(machines[:, 0], -BOUND, BOUND)
-    out[:, :3] = fam[:, None]
-    out[:, 3:] = -fam[:, None]
+    return np.stack([fam, -fam], 1).astype(np.float32)
+
+
+def duel_scores(machines: np.ndarray) -> np.ndarray:
+    """Word by language, from word by machine: the mean of the language's duels within its family."""
+    out = np.zeros((len(machines), 6), np.float32)
     for m, (a, b) in enumerate(PAIRS, 1):
         duel = np.clip(machines[:, m], -BOUND, BOUND) / 2
         out[:, LANGUAGES.index(a)] += duel
@@ -203,13 +209,46 @@ def language_scores(machines: np.ndarray) -> np.ndarray:
     return out
 
 
+def best_paths(score: np.ndarray, sizes: np.ndarray, change: float = CHANGE) -> np.ndarray:
+    """The state of each word on the best path of its text, given word by state; ``change`` is a change's cost. Texts
+    go on side by side, the longest first."""
+    n, states, starts = len(score), score.shape[1], np.cumsum(sizes) - sizes
+    order = np.argsort(-sizes, kind="stable")
+    first, length = starts[order], sizes[order]
+    longest = int(length[0]) if len(length) else 0
+    active = np.searchsorted(-length, -np.arange(longest), "left")  # texts longer than t
+    came = np.zeros((n, states), np.int8)
+    value = np.zeros((len(order), states), np.float32)
+    stay = np.arange(states, dtype=np.int8)
+    last = np.zeros(len(order), np.int8)
+    for t in range(longest):
+        k = active[t]
+        v, at = value[:k], first[:k] + t
+        if t:
+            top = v.argmax(1)
+            best = v[np.arange(k), top] - change
+            moved = best[:, None] > v
+            came[at] = np.where(moved, top[:, None], stay)
+            v = np.where(moved, best[:, None], v)
+        value[:k] = v + score[at]
+    state = value.argmax(1).astype(np.int8)
+    path = np.zeros(n, np.int8)
+    last[:] = state
+    for t in range(longest - 1, -1, -1):
+        k = active[t]
+        at = first[:k] + t
+        path[at] = last[:k]
+        last[:k] = came[at, last[:k]]
+    return path
+
+
 class Identifier:
     """Texts to stretches; words seen before are looked up."""
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights
         self.known: dict[str, int] = {}
-        self.scores = np.zeros((0, 6), np.float32)
+        self.families, self.duels = np.zeros((0, 2), np.float32), np.zeros((0, 6), np.float32)
 
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         words: list[str] = []
@@ -220,44 +259,25 @@ class Identifier:
                 sizes[i] = len(w)
                 words += w
         if len(self.known) > MAX_WORDS:
-            self.known, self.scores = {}, self.scores[:0]
+            self.known, self.families, self.duels = {}, self.families[:0], self.duels[:0]
         new = [w for w in dict.fromkeys(words) if w not in self.known]
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.scores = np.concatenate([self.scores, language_scores(Bag(new).scores(self.weights))])
+            machines = Bag(new).scores(self.weights)
+            self.families = np.concatenate([self.families, family_scores(machines)])
+            self.duels = np.concatenate([self.duels, duel_scores(machines)])
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)), sizes
 
     def paths(self, number: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The language of each word on the best path of its text."""
-        n, starts = len(number), np.cumsum(sizes) - sizes
-        score = self.scores[number]
-        order = np.argsort(-sizes, kind="stable")
-        first, length = starts[order], sizes[order]
-        longest = int(length[0]) if len(length) else 0
-        active = np.searchsorted(-length, -np.arange(longest), "left")  # texts longer than t
-        came = np.zeros((n, 6), np.int8)
-        value = np.zeros((len(order), 6), np.float32)
-        stay = np.arange(6, dtype=np.int8)
-        last = np.zeros(len(order), np.int8)
-        for t in range(longest):
-            k = active[t]
-            v, at = value[:k], first[:k] + t
-            if t:
-                top = v.argmax(1)
-                best = v[np.arange(k), top] - CHANGE
-                change = best[:, None] > v
-                came[at] = np.where(change, top[:, None], stay)
-                v = np.where(change, best[:, None], v)
-            value[:k] = v + score[at]
-        state = value.argmax(1).astype(np.int8)
-        path = np.zeros(n, np.int8)
-        last[:] = state
-        for t in range(longest - 1, -1, -1):
-            k = active[t]
-            at = first[:k] + t
-            path[at] = last[:k]
-            last[:k] = came[at, last[:k]]
-        return path
+        """The language of each word: its part's family first, then the best of the family's languages."""
+        family = best_paths(self.families[number], sizes)
+        if not len(family):
+            return family
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        begins = np.flatnonzero(np.r_[True, (family[1:] != family[:-1]) | (text[1:] != text[:-1])])
+        duels = self.duels[number]
+        own = np.where(family[:, None] == 0, duels[:, :3], duels[:, 3:])
+        return family * 3 + best_paths(own, np.diff(np.r_[begins, len(family)]))
 
     def stretches(self, texts: list[str | None]):
         """(text, language, first word, words, confidence) of each stretch, in order, as arrays."""
@@ -282,7 +302,7 @@ class Identifier:
             else:
                 runs.append(run)
         t, lang, begin, size = (np.array(x, np.int64) for x in zip(*runs))
-        score = self.scores[number]
+        score = np.repeat(self.families[number], 3, axis=1) + self.duels[number]
         of = np.repeat(np.arange(len(t)), size)
         mean = np.stack([np.bincount(of, score[:, k], len(t)) for k in range(6)], 1) / size[:, None]
         own = mean[np.arange(len(t)), lang]
@@ -294,7 +314,7 @@ class Identifier:
 
 def labelled_sample(df: DataFrame, id: str, text: str, label: str, per_language: int = FIT_DOCUMENTS) -> list:
     """At most ``per_language`` labelled texts of each language, the first by a hash of the id: what fitting may use."""
-    rows = df.select(F.xxhash64(id).alias("h"), F.col(text).alias("t"), language_of(F.col(label)).alias("l")).filter(F.col("l").isin(*LANGUAGES) & (F.length("t") > 60))
+    rows = df.select(F.xxhash64(id).alias("h"), F.substring(text, 1, FIT_CHARACTERS).alias("t"), language_of(F.col(label)).alias("l")).filter(F.col("l").isin(*LANGUAGES) & (F.length("t") > 60))
     rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).filter(F.col("r") <= per_language)
     return rows.select("t", "l").collect()
 

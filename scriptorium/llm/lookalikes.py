@@ -3,9 +3,9 @@
 Two stages. Characters that are drawn alike whatever the word (compatibility forms of width and Arabic shaping,
 composed and decomposed marks, invisible characters, blanks, hyphens, Arabic letters that share a glyph at their place
 in the word, digits that share a glyph in both Arabic series) are brought to one character. Letters of another script
-(Cyrillic or Greek in a Latin word and the reverse) are then repaired per token: the token's dominant script is the one
-its unambiguous letters belong to (of the text, where all its letters are look-alikes), and the substitution counts
-only if the corpus holds the repaired word in that script. Line ends, case, vowel marks, hamza, dots, tatweel and
+(Cyrillic or Greek in a Latin word and the reverse) are then repaired per token: in tokens of several scripts the
+look-alikes go to the dominant one, that of the token's unambiguous letters, and the substitution counts only if the
+corpus vocabulary, the words of all forms, has the repaired word. Line ends, case, vowel marks, hamza, dots, tatweel and
 letters or digits of another shape are kept.
 """
 
@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.runtime import cut, key_filter
+from scriptorium.runtime import cut, key_filter, stored
 
 # Unicode code points drawn alike, stated as text.
 CYRILLIC_LOOKS = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсух", "ABESIJKMHOPCTYXaesijopcyx"))
@@ -105,18 +106,20 @@ def _script(c: str) -> str:
     return "OTHER"
 
 
-def dominant_script(token: str, text_script: str) -> str:
-    """The script of the token's unambiguous letters; the text's, where none is unambiguous or they tie."""
-    votes: dict[str, int] = {}
-    for c in unicodedata.normalize("NFD", token):
-        if c.isalpha():
-            s = _script(c)
-            if c not in _SETS.get(s, ()):
-                votes[s] = votes.get(s, 0) + 1
-    best = sorted(votes.values(), reverse=True)
-    if not best or len(best) > 1 and best[0] == best[1]:
-        return text_script
-    return max(votes, key=votes.get)
+def letter_scripts(token: str) -> Counter:
+    """How many letters of each script a token has."""
+    return Counter(_script(c) for c in unicodedata.normalize("NFD", token) if c.isalpha())
+
+
+def dominant_script(token: str) -> str | None:
+    """The script of most of the token's letters that no other script draws alike; where there are none or two scripts
+    have as many, of most of all its letters; null where that does not tell either."""
+    own = Counter(_script(c) for c in unicodedata.normalize("NFD", token) if c.isalpha() and c not in _SETS.get(_script(c), ()))
+    for votes in (own, letter_scripts(token)):
+        best = votes.most_common(2)
+        if best and (len(best) == 1 or best[0][1] > best[1][1]):
+            return best[0][0]
+    return None
 
 
 def _repair(token: str, script: str) -> str:
@@ -124,21 +127,29 @@ def _repair(token: str, script: str) -> str:
 
 
 def mixed_tokens(form: str) -> list[tuple[str, str, str]]:
-    """(token, repaired token, vocabulary key) of the tokens that hold look-alikes of another script."""
+    """(token, repaired token, vocabulary key) of the tokens with letters of several scripts whose look-alikes, brought
+    to the token's dominant script, leave one script.
+
+    A token of one script that is written wholly in look-alikes of the text's script (a single letter, mostly) is no
+    mixed token, yet reads the same: it is the one other case that is asked for, in the script of most of the text's
+    letters.
+    """
     if not _FOREIGN.search(form):
         return []
-    counts = {s: 0 for s in ("LATIN", "CYRILLIC", "GREEK")}
-    for c in form:
-        if c.isalpha() and (s := _script(c)) in counts:
-            counts[s] += 1
-    whole = max(counts, key=counts.get)
-    found = {}
+    whole, found = None, {}
     for token in form.split():
-        if _FOREIGN.search(token):
-            fixed = _repair(token, dominant_script(token, whole))
-            scripts = {_script(c) for c in fixed if c.isalpha()}
-            if fixed != token and len(scripts) == 1:
-                found[token] = (token, fixed, _EDGES.sub("", fixed).lower())
+        if token in found or not _FOREIGN.search(token):
+            continue
+        scripts = letter_scripts(token)
+        if len(scripts) > 1:
+            script = dominant_script(token)
+        else:
+            whole = whole or letter_scripts(form).most_common(1)[0][0]
+            mine = next(iter(scripts), None)
+            script = whole if mine in _SETS and mine != whole and all(c in _SETS[mine] for c in token if c.isalpha()) else None
+        fixed = _repair(token, script) if script else token
+        if fixed != token and len(letter_scripts(fixed)) == 1:
+            found[token] = (token, fixed, _EDGES.sub("", fixed).lower())
     return list(found.values())
 
 
@@ -160,38 +171,50 @@ def vocabulary_key(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, "^[^\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+$", ""))
 
 
-def one_form(df: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, raw, form): the consistent form of each text.
+def one_form(df: DataFrame, id: str, text: str, kept: Column | None = None) -> DataFrame:
+    """(id, raw, form): the consistent form of each text; ``raw`` is the text, or what ``kept`` makes of it.
 
-    Null texts do not appear; an empty text's form is empty; texts of any length are treated whole; a row delivered
-    twice appears twice. Only the two named columns are read.
+    Null texts do not appear; an empty text's form is empty; texts of any length are treated whole; null ids stay. Rows
+    alike in all three come once or more often. Only the two named columns are read. The texts are formed once, in
+    Arrow batches, and written to the checkpoint folder; the vocabulary is the words of those forms.
     """
-    rows = df.select(F.col(id).alias("id"), F.col(text).alias("raw")).filter("raw is not null")
+    rows = df.select(F.col(id).alias("id"), F.col(text).alias("t")).filter("t is not null")
     forms = F.pandas_udf(_forms, "form string, mixed array<struct<token:string,fixed:string,word:string>>")
     replaced = F.pandas_udf(_replaced, "string")
-    rows = rows.withColumn("f", forms("raw")).select("id", "raw", "f.form", "f.mixed")
-    odd = cut(rows.filter(F.size("mixed") > 0))
-    wanted = odd.select(F.explode("mixed.word").alias("word")).distinct()
+    raw = F.col("t") if kept is None else kept
+    rows = stored(rows.select("id", "t", forms("t").alias("f")).select("id", raw.alias("raw"), "f.form", "f.mixed"))
+    odd = rows.filter(F.size("mixed") > 0)
+    wanted = cut(odd.select(F.explode("mixed.word").alias("word")).distinct())
     maybe = key_filter(wanted, "word")
-    # Only texts that hold a script of the look-alike families can hold the repaired word.
+    # A repaired word has letters of one script, so a mixed token never counts as its evidence; only texts that hold a
+    # script of the look-alike families can hold it.
     words = (
-        df.select(F.col(text).alias("raw"))
-        .filter(F.col("raw").rlike("[\\p{IsLatin}\\p{IsGreek}\\p{IsCyrillic}]"))
-        .select(F.explode(F.array_distinct(F.split("raw", "[\\s\\p{Z}]+"))).alias("t"))
+        rows.select("form")
+        .filter(F.col("form").rlike("[\\p{IsLatin}\\p{IsGreek}\\p{IsCyrillic}]"))
+        .select(F.explode(F.array_distinct(F.split("form", "[\\s\\p{Z}]+"))).alias("t"))
         .select(vocabulary_key(F.col("t")).alias("held"))
         .filter(maybe(F.col("held")))
         .distinct()
     )
-    known = wanted.join(words, F.col("word") == F.col("held"), "left_semi")
+    known = wanted.join(words, F.col("word") == F.col("held"), "left_semi").select(F.col("word").alias("k"))
     fixes = (
         odd.select("id", "raw", "form", F.explode("mixed").alias("m"))
-        .join(known.withColumnRenamed("word", "k"), F.col("m.word") == F.col("k"), "left_semi")
+        .join(known, F.col("m.word") == F.col("k"), "left")
         .groupBy("id", "raw", "form")
-        .agg(F.collect_set("m").alias("fixes"))
+        .agg(F.collect_set(F.when(F.col("k").isNotNull(), F.col("m"))).alias("fixes"))  # no more than the text's words
         .select("id", "raw", replaced("form", "fixes").alias("form"))
     )
-    rest = odd.select("id", "raw", "form").join(fixes.select(F.col("id").alias("i"), F.col("raw").alias("r")), F.col("id").eqNullSafe(F.col("i")) & (F.col("raw") == F.col("r")), "left_anti")
-    return rows.filter(F.size("mixed") == 0).select("id", "raw", "form").unionByName(fixes).unionByName(rest)
+    return rows.filter(F.size("mixed") == 0).select("id", "raw", "form").unionByName(fixes)
+
+
+def consistent_forms(df: DataFrame, id: str = "element_id", texts: tuple[str, ...] = ("text_raw", "text_normalized")) -> DataFrame:
+    """(id, text, form): the consistent form of each named text column of every row, ``text`` naming the column.
+
+    A null text has no row; a row delivered twice with the same text comes once; the vocabulary is of all columns."""
+    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("text"), F.col(c).alias("value")) for c in texts]))
+    long = df.select(F.col(id).alias("i"), parts.alias("p")).select(F.struct("i", "p.text").alias("key"), F.col("p.value").alias("value"))
+    forms = one_form(long, "key", "value", F.md5("t")).select(F.col("id.i").alias(id), F.col("id.text").alias("text"), "form")
+    return forms.distinct()
 
 
 def lookalike_pairs(df: DataFrame, id: str = "element_id", text: str = "text_raw") -> DataFrame:
@@ -201,8 +224,8 @@ def lookalike_pairs(df: DataFrame, id: str = "element_id", text: str = "text_raw
     their members, so a text repeated in a third of all rows costs what it adds to the result. Rows without id or
     text give no pair; an element delivered twice counts once.
     """
-    forms = one_form(df, id, text).filter("id is not null")
-    keyed = cut(forms.select("id", F.md5("form").alias("form"), F.md5("raw").alias("raw")).distinct())
+    forms = one_form(df, id, text, F.md5("t")).filter("id is not null")
+    keyed = cut(forms.select("id", F.md5("form").alias("form"), "raw").distinct())
     several = keyed.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).filter("lo < hi").select("form")
     members = cut(keyed.join(several, "form", "left_semi"))
     kinds = members.select("form", "raw").distinct()

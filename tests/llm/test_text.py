@@ -48,7 +48,15 @@ def test_pairs_of_lookalikes(spark):
 def test_repair_needs_the_vocabulary(spark):
     df = spark.createDataFrame([(1, "one quіx"), (2, "one word")], "id int, t string")
     assert {r.id: r.form for r in lookalikes.one_form(df, "id", "t").collect()} == {1: "one quіx", 2: "one word"}
-    assert lookalikes.dominant_script("привет", "LATIN") == "CYRILLIC" and lookalikes.dominant_script("сор", "LATIN") == "LATIN"
+    assert lookalikes.dominant_script("привеt") == "CYRILLIC" and lookalikes.dominant_script("nаrrator") == "LATIN" and lookalikes.dominant_script("аa") is None
+    assert [x[1] for x in lookalikes.mixed_tokens("the nаrrator саме привет")] == ["narrator"] and lookalikes.mixed_tokens("раскат сор") == []
+
+
+def test_forms_of_both_texts(spark):
+    rows = [(1, "ﻓﻲ  the nаrrator", None), (1, "ﻓﻲ  the nаrrator", None), (2, None, "the narrator"), (3, "", "ａ")]
+    df = spark.createDataFrame(rows, "element_id long, text_raw string, text_normalized string").withColumns({c: F.lit(1) for c in ("text", "form", "key", "i")})
+    got = sorted(tuple(r) for r in lookalikes.consistent_forms(df).collect())
+    assert got == [(1, "text_raw", "في  the narrator"), (2, "text_normalized", "the narrator"), (3, "text_normalized", "a"), (3, "text_raw", "")]
 
 
 # ------------------------------------------------------------------------------------------------- encoding

@@ -1,14 +1,16 @@
 """Near-duplicate texts: every pair whose word sets are similar enough, without comparing all pairs.
 
-A text's fingerprint is the bit set of its distinct words under a hash; it is cut into ``SEGMENTS`` segments, and the
-text becomes the vector of bits set in each. Two texts that differ in d words differ by at most d in the Manhattan
+A text's fingerprint is the bit set of its distinct words under a 64-bit hash; it is cut into ``SEGMENTS`` segments of
+2**64 / SEGMENTS bits, and the text becomes the vector of bits set in each. Two texts that differ in d words differ by at most d in the Manhattan
 distance of these vectors, so the distance is a lower bound of the difference, and texts whose word sets have a Jaccard
 similarity of t lie within (1 - t) / (1 + t) of the sum of their sizes.
 
-The range join runs over a grid whose coordinates are units of count, in one order for all texts: segments with few
-bits over the whole collection first. Vectors within the distance share so many units that some ``LEVELS`` of the first
-few units of each are the same; those combinations are the cells, and vectors meet in a cell. Inside a cell a coarse
-32-coordinate vector, packed in one number, bounds the distance again; what is left is verified exactly, on the words.
+The range join runs over a grid whose lines are the units of count of each segment (its first bit, its second, ...), in
+one order for all texts: segments with few bits over the whole collection first. Vectors within the distance share so
+many units that two (one, for long texts) of the first few units of each are the same; those combinations are the
+cells, and vectors meet in a cell. Inside a cell the counts of 32 groups of segments, packed in one number, bound the
+Manhattan distance again; what is left is verified exactly, on the words. A cell too large for one task is handed out
+block against block.
 """
 
 from __future__ import annotations
@@ -20,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.operators.components import connected_components
 from scriptorium.runtime import cut, shuffle_partitions, stored
 
 #: Segments of the fingerprint. Their totals are the only collection statistic that reaches the driver.
-SEGMENTS = 1 << 16
+SEGMENTS = 1 << 12
 #: Texts of up to so many words meet in cells of two units; longer ones, whose rare units are many, in cells of one.
 PAIRED_WORDS = 128
-#: A cell's members are compared in blocks of so many.
-BLOCK = 2048
+#: A cell's members are compared in blocks of so many; cells of more than SPREAD blocks against blocks leave their task.
+BLOCK, SPREAD = 2048, 4
 
 WORD_BREAK = "[\\s\\u001C-\\u001F\\u0085\\p{Z}]+"
 
@@ -131,7 +134,7 @@ def _within_reach(a, b, size, vectors, num, den):
 def similar_pairs(classes: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b, shared): pairs a < b of rows of ``classes`` (id long, words joined by blanks) with |A ∩ B| / |A ∪ B| >= num / den."""
     spark = classes.sparkSession
-    sized = classes.select("id", F.transform(F.split("words", " "), lambda w: F.pmod(F.xxhash64(w), F.lit(SEGMENTS)).cast("int")).alias("segments"))
+    sized = classes.select("id", F.transform(F.split("words", " "), lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - SEGMENTS.bit_length() + 1).cast("int")).alias("segments"))
     totals = np.zeros(SEGMENTS, np.int64)
     for s, n in sized.select(F.explode("segments").alias("s")).groupBy("s").count().collect():  # at most SEGMENTS rows
         totals[s] = n
@@ -188,7 +191,7 @@ def similar_pairs(classes: DataFrame, num: int, den: int) -> DataFrame:
             x, y = pairs[:, 0], pairs[:, 1]
             x, y = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
             keep = x != y
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep])], ["a", "b"])
+            return _found(x[keep], y[keep])
 
         # Cells of like shape are compared together: found texts against all that stand after them in the cell.
         work = found * (ends - starts) - found * (found + 1) // 2
@@ -196,7 +199,12 @@ def similar_pairs(classes: DataFrame, num: int, den: int) -> DataFrame:
         at = 0
         while at < len(work):
             to = max(at + 1, int(np.searchsorted(edges, edges[at] + BLOCK * BLOCK, "right")) - 1)
-            if work[at] > BLOCK * BLOCK:
+            if work[at] > SPREAD * BLOCK * BLOCK:
+                to = at + 1
+                members = text[starts[at] : ends[at]]
+                yield from _handed_out(ids[members], sketch[members], size[members], int(found[at]))
+                blocks = []
+            elif work[at] > BLOCK * BLOCK:
                 to = at + 1
                 blocks = _large(int(starts[at]), int(ends[at]), int(found[at]))
             else:
@@ -217,13 +225,27 @@ def similar_pairs(classes: DataFrame, num: int, den: int) -> DataFrame:
         if seen:
             yield flush()
 
-    candidates = (
+    def compare(batches):
+        for batch in batches:
+            for left, right, same in zip(*[c.to_pylist() for c in batch.columns]):
+                (ia, sa, na), (ib, sb, nb) = _read_block(left), _read_block(right)
+                ids, size, vectors = np.concatenate([ia, ib]), np.concatenate([na, nb]), _bytes(np.concatenate([sa, sb]))
+                x, y = np.repeat(np.arange(len(ia)), len(ib)), len(ia) + np.tile(np.arange(len(ib)), len(ia))
+                if same:
+                    later = y - len(ia) > x
+                    x, y = x[later], y[later]
+                x, y = _within_reach(x, y, size, vectors, num, den)
+                x, y = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+                yield _found(x[x != y], y[x != y], 2)
+
+    met = stored(
         sized.mapInArrow(spread, "part int, cells binary")
         .repartitionById(parts, F.col("part"))
         .select("cells")
-        .mapInArrow(meet, "a long, b long")
-        .distinct()
+        .mapInArrow(meet, "a long, b long, left binary, right binary, same boolean")
     )
+    tasks = met.filter("left is not null").select("left", "right", "same").repartition(parts)
+    candidates = met.filter("a is not null").select("a", "b").unionByName(tasks.mapInArrow(compare, "a long, b long")).distinct()
     words_a = classes.select(F.col("id").alias("ia"), F.col("words").alias("wa"))
     words_b = classes.select(F.col("id").alias("ib"), F.col("words").alias("wb"))
     return (
@@ -242,6 +264,30 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
+def _found(a: np.ndarray, b: np.ndarray, columns: int = 5) -> pa.RecordBatch:
+    """Pairs found, as rows of the meeting."""
+    blank = [pa.nulls(len(a), k) for k in (pa.binary(), pa.binary(), pa.bool_())]
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *blank][:columns], ["a", "b", "left", "right", "same"][:columns])
+
+
+def _handed_out(ids: np.ndarray, sketch: np.ndarray, size: np.ndarray, found: int):
+    """A large cell as rows of two blocks to be compared: those that may be found against all that stand after them."""
+    def block(lo: int, hi: int) -> bytes:
+        return b"".join((ids[lo:hi].astype(np.int64).tobytes(), sketch[lo:hi].astype(np.uint64).tobytes(), size[lo:hi].astype(np.int64).tobytes()))
+
+    for i in range(0, found, BLOCK):
+        # A block's end is the last that may be found, so that of two blocks all left ones may.
+        left = block(i, min(i + BLOCK, found))
+        rights = [(i, min(i + BLOCK, found), True), *[(j, j + BLOCK, False) for j in range(min(i + BLOCK, found), len(ids), BLOCK)]]
+        for lo, hi, same in rights:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([left], pa.binary()), pa.array([block(lo, min(hi, len(ids)))], pa.binary()), pa.array([same])], ["a", "b", "left", "right", "same"])
+
+
+def _read_block(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(blob) // 24
+    return np.frombuffer(blob, np.int64, n), np.frombuffer(blob, np.uint64, n, 8 * n), np.frombuffer(blob, np.int64, n, 16 * n)
+
+
 def _large(start: int, end: int, found: int):
     """Pairs of a cell too large to compare at once, block by block."""
     for i in range(start, start + found, BLOCK):
@@ -260,6 +306,26 @@ def _classes(df: DataFrame, id: str, text: str, least: int) -> tuple[DataFrame,
     return rows.select(F.col("id").alias("member"), F.col("class").alias("c")).distinct(), best
 
 
+def near_duplicate_groups(df: DataFrame, id: str = "element_id", text: str = "text_normalized", num: int = 7, den: int = 10, least: int = 15) -> DataFrame:
+    """(id, group, links): every element with at least ``least`` distinct words, the least id of its group (elements
+    linked directly or through others) and with how many elements it is similar itself.
+
+    Copies are counted, not paired: links are between distinct word sets. An element without links is a group of its
+    own; null and shorter texts have no row; an element delivered twice with one text counts once."""
+    members, classes = _classes(df, id, text, least)
+    kept = cut(members.join(classes.select(F.col("class"), F.col("id").alias("rep")), F.col("c") == F.col("class")).select("member", "rep"))
+    pairs = cut(similar_pairs(classes.select("id", "words"), num, den).select("a", "b"))
+    sizes = kept.groupBy("rep").agg(F.count("*").alias("n"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sizes, F.col("b") == F.col("rep")).groupBy(F.col("a").alias("r")).agg(F.sum("n").alias("others"))
+    groups = connected_components(pairs, "a", "b")
+    told = sizes.join(others, F.col("rep") == F.col("r"), "left").join(groups, F.col("rep") == F.col("node"), "left")
+    told = told.select(F.col("rep").alias("r"), F.coalesce("component", "rep").alias("group"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links"))
+    found = kept.join(told, F.col("rep") == F.col("r")).select(F.col("member").alias(id), "group", "links")
+    # An element delivered with two texts is in both groups' classes; the lesser group and the more links are its own.
+    return found.groupBy(id).agg(F.min("group").alias("group"), F.max("links").alias("links"))
+
+
 def near_duplicate_pairs(df: DataFrame, id: str = "element_id", text: str = "text_normalized", num: int = 7, den: int = 10, least: int = 15) -> DataFrame:
     """(element_a, element_b): pairs of different elements with at least ``least`` distinct words each whose common
     words are at least num/den of the words of either.

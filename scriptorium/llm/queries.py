@@ -21,6 +21,11 @@ def p2_found(spark, d):
     return neardup.near_duplicate_pairs(table(spark, d, "page_elements"))
 
 
+def p2_groups(spark, d):
+    """Every block's group of near-duplicates, and its number of links."""
+    return neardup.near_duplicate_groups(table(spark, d, "page_elements"))
+
+
 def p3_found(spark, d):
     return terms.marked_terms(table(spark, d, "entity_candidates"))
 
@@ -77,7 +82,7 @@ def p10_stretches(spark, d):
     return languages.stretches(table(spark, d, "documents")).select("doc_id", "told", "main", "mixed", F.explode("parts").alias("p")).select("doc_id", "told", "main", "mixed", "p.*")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p3_found, p3_counts, p5_found, p5_flows, p6_found, p6_display, p7_found, p7_groups, p8_ids, p9_mixture, p9_shares, p10_found, p10_stretches)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_groups, p3_found, p3_counts, p5_found, p5_flows, p6_found, p6_display, p7_found, p7_groups, p8_ids, p9_mixture, p9_shares, p10_found, p10_stretches)}
 
 _TERMS = """with t as (select candidate_id, element_id, greatest(coalesce(frequency, 0), 0) as n,
   trim(regexp_replace(regexp_replace(label, '[\\x{064B}-\\x{065F}\\x{0670}\\x{0640}\\x{200B}-\\x{200F}\\x{2060}\\x{FEFF}]', '', 'g'),

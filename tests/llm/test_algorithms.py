@@ -51,8 +51,13 @@ def test_no_texts_no_pairs(spark):
 def test_large_cells_are_compared_whole(spark, monkeypatch):
     rows = [(i, " ".join([f"w{j}" for j in range(19)] + [f"own{i}"])) for i in range(90)]
     want = 90 * 89 // 2
-    monkeypatch.setattr(neardup, "BLOCK", 8)
-    assert neardup.near_duplicate_pairs(spark.createDataFrame(rows, "element_id long, text_normalized string")).count() == want
+    df = spark.createDataFrame(rows + [(200, rows[3][1]), (201, " ".join(f"x{j}" for j in range(16)))], "element_id long, text_normalized string")
+    for spread in (1000, 0):
+        monkeypatch.setattr(neardup, "BLOCK", 8)
+        monkeypatch.setattr(neardup, "SPREAD", spread)
+        assert neardup.near_duplicate_pairs(df).filter("element_b < 200").count() == want
+    groups = {r.element_id: (r.group, r.links) for r in neardup.near_duplicate_groups(df).collect()}
+    assert len(groups) == 92 and groups[3] == groups[200] == groups[5] == (0, 90) and groups[201] == (201, 0)
     assert sum(len(x) for x, _ in neardup._large(0, 100, 40)) == 40 * 39 // 2 + 40 * 60
 
 
@@ -62,7 +67,7 @@ def test_coarse_distance_is_a_lower_bound():
     b = np.concatenate([a[:20], b])
     sk = neardup.coarse(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2)
     v = neardup._bytes(sk)
-    assert np.abs(v[0] - v[1]).sum() <= len(set(a) ^ set(b))
+    assert np.abs(v[0] - v[1]).sum() <= len(set(a) ^ set(b)) + len(a) + len(b) - len(set(a)) - len(set(b))
 
 
 # ------------------------------------------------------------------------------------------------- terms

@@ -1,8 +1,8 @@
 """Noise in text from scanned pages: running headers, page numbers, divided words and misrecognised characters.
 
 Furniture is told by its place on the page and by repetition over the book's pages. Words are repaired by a character
-editor, an averaged perceptron that predicts keep, replace, delete or insert at each character of a word and join or
-keep at a line end. It is trained here, on this collection: rare words that lie one edit from a word many times as
+editor, an averaged perceptron that predicts keep, replace, delete or insert at each character of a word, and join or
+keep at each mark that ends a line. It is trained here, on this collection: rare words that lie one edit from a word many times as
 frequent show which edits the recogniser makes; edits that are as usual between frequent words are morphology and do
 not count. A predicted edit stands only if it leads to a word the whole collection holds far more often.
 """
@@ -26,8 +26,14 @@ from scriptorium.runtime import cut, key_filter, stored
 FIT_WORDS, EPOCHS = 20_000, 3
 #: A correction is so many times as frequent as the word it replaces, and occurs so often.
 TIMES, LEAST = 12, 6
-#: A running header stands at the top of at least so many pages.
-HEADER_PAGES = 2
+#: Kinds of line ends that the join operation is fitted on.
+FIT_JOINS = 20_000
+#: Longer runs of letters and digits are no words: they are not corrected, and nothing is corrected to them.
+LONGEST_WORD = 40
+#: A running header stands at the top of at least HEADER_PAGES pages, HEADER_SHARE of its occurrences in the places of a
+#: header, on HEADER_DENSITY of the pages from its first to its last. A line of more than NUMBERED_WORDS words needs
+#: these even where the page's number stands beside it.
+HEADER_PAGES, HEADER_SHARE, HEADER_DENSITY, NUMBERED_WORDS = 2, 0.7, 0.1, 10
 MARKS_AT_END = "-¬=­‐‑－ـ"
 
 
@@ -93,7 +99,11 @@ def printed_number(line: Column) -> Column:
     # Digits of the Arabic series and letters misread for digits.
     digits = F.translate(bare, "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹اأهoOQIlيSsBZzوgqب", "0123456789012345678911500011" + "25" + "5" + "8" + "22" + "9" + "99" + "1")
     plain = F.rlike(bare, F.lit("^(?=.*[\\p{N}])[\\p{N}اأهoOQIlيSsBZzوgqب]{1,5}$")) | F.rlike(bare, F.lit("^[اأه]{1,2}$"))
-    return F.when((F.length(line) <= 24) & plain, digits.try_cast("int"))
+    return F.when(plain, digits.try_cast("int"))
+
+
+#: A line of nothing but the characters a printed page number may have: what may be one, whatever its length.
+_NUMBER_LINE = "(?m)^[[^\\S\\n]\\p{Z}\\p{N}\\p{Mn}\\p{Cf}\\[\\](){}<>«».:\\-–—‐ـ|*~اأهoOQIlيSsBZzوgqبصفحةPpae]+$"
 
 
 def page_offsets(lines: DataFrame) -> DataFrame:
@@ -106,9 +116,9 @@ def page_offsets(lines: DataFrame) -> DataFrame:
 def number_lines(rows: DataFrame, top_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(element_id, line) of the lines that are nothing but the printed page number, and the books' shifts, for which
     numbers at the ends of top lines count as well."""
-    # Only short lines are taken apart; most elements have none.
-    short = F.filter(F.transform(F.split("text_raw", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text"))), lambda x: F.length(x["text"]) <= 24)
-    lines = rows.filter(F.col("text_raw").rlike("(?m)^[^\\n]{1,24}$")).select("element_id", "book_id", "page_number", F.explode(short).alias("x"))
+    # Only lines of such characters are taken apart; most elements have none.
+    short = F.filter(F.transform(F.split("text_raw", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text"))), lambda x: x["text"].rlike(_NUMBER_LINE))
+    lines = rows.filter(F.col("text_raw").rlike(_NUMBER_LINE)).select("element_id", "book_id", "page_number", F.explode(short).alias("x"))
     lines = cut(
         lines.select("element_id", "book_id", "page_number", "x.line", "x.text")
         .filter(F.col("text").rlike("[\\p{N}اه]"))
@@ -122,10 +132,11 @@ def number_lines(rows: DataFrame, top_lines: DataFrame) -> tuple[DataFrame, Data
 
 
 def _parts(line: Column) -> Column:
-    """All words but one, for each word of a key of 2 to 10 words."""
-    words = F.split(line, " ")
-    some = F.when(F.size(words).between(2, 10), F.sequence(F.lit(1), F.size(words)))
-    return F.transform(some, lambda i: F.struct(F.concat_ws(" ", F.slice(words, 1, i - 1), F.array(F.lit("*")), F.slice(words, i + 1, F.size(words))).alias("rest"), F.element_at(words, i).alias("word")))
+    """For each word of a key of two words or more: a hash of all the others at their places, its place, and itself."""
+    words = F.when(F.size(F.split(line, " ")) >= 2, F.split(line, " "))
+    hashes = F.transform(words, lambda w, i: F.xxhash64(w, i))
+    whole = F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, h: a.bitwiseXOR(h))
+    return F.transform(words, lambda w, i: F.struct(whole.bitwiseXOR(F.xxhash64(w, i)).alias("rest"), i.alias("at"), w.alias("word")))
 
 
 def first_lines(rows: DataFrame) -> DataFrame:
@@ -134,7 +145,7 @@ def first_lines(rows: DataFrame) -> DataFrame:
     first = F.substring_index("text_raw", "\n", 1)
     lines = rows.filter("element_order is not null and page_id is not null").select(
         "element_id", "book_id", "page_id", "page_number", "element_order", first.alias("line"), (F.instr("text_raw", "\n") == 0).alias("alone")
-    ).filter(F.length("line") <= 100)
+    )
     f = folded(F.col("line"))
     edge = F.coalesce(F.nullif(F.regexp_extract("f", "^(\\p{N}+) ", 1), F.lit("")), F.regexp_extract("f", " (\\p{N}+)$", 1))
     lines = lines.withColumn("f", f).select(
@@ -143,8 +154,7 @@ def first_lines(rows: DataFrame) -> DataFrame:
         F.col("f").rlike("\\p{N}").alias("digits"),
         F.translate(edge, "٠١٢٣٤٥٦٧٨٩", "0123456789").try_cast("int").alias("edge"),
     )
-    short = F.length("key").between(3, 90)
-    return cut(lines.filter(short & ((F.col("element_order") <= 1) | F.col("alone"))).distinct())
+    return cut(lines.filter((F.length("key") >= 3) & ((F.col("element_order") <= 1) | F.col("alone"))).distinct())
 
 
 def header_lines(top_lines: DataFrame, books: DataFrame, shifts: DataFrame) -> DataFrame:
@@ -156,7 +166,7 @@ def header_lines(top_lines: DataFrame, books: DataFrame, shifts: DataFrame) -> D
     A key that once has the page's printed number beside it needs no more than those pages. Headings have a number and a
     dash or dot before them; where none of a key's has, the first page that has it alone and without a number opens it. A line that misses a key by one badly read word counts too.
     """
-    paged = F.coalesce((F.col("edge") == F.col("page_number") + F.col("shift")) & (F.size(F.split("key", " ")) <= 10), F.lit(False))
+    paged = F.coalesce((F.col("edge") == F.col("page_number") + F.col("shift")) & (F.size(F.split("key", " ")) <= NUMBERED_WORDS), F.lit(False))
     lines = top_lines.join(shifts, F.col("book_id").eqNullSafe(F.col("book")), "left").withColumn("paged", paged & ~F.col("numbered")).drop("book", "shift")
     top = (F.col("element_order") == 0) | ((F.col("element_order") == 1) & ~F.col("alone"))
     stats = lines.groupBy(F.col("book_id").alias("b"), F.col("key").alias("k")).agg(
@@ -174,16 +184,18 @@ def header_lines(top_lines: DataFrame, books: DataFrame, shifts: DataFrame) -> D
         stats.filter(
             F.col("tk").isNotNull()
             | ((F.col("pages") >= HEADER_PAGES) & (F.col("paged_once") == 1))
-            | ((F.col("pages") >= HEADER_PAGES) & (F.col("alone_once") == 1) & (F.col("high") >= 0.7) & (F.col("pages") / F.col("span") >= 0.1))
+            | ((F.col("pages") >= HEADER_PAGES) & (F.col("alone_once") == 1) & (F.col("high") >= HEADER_SHARE) & (F.col("pages") / F.col("span") >= HEADER_DENSITY))
         ).select("b", "k", F.when(F.col("numbered_once") == 0, F.col("first_alone")).alias("opens"), F.col("tk").isNotNull().alias("title"))
     )
     exact = lines.filter("element_order <= 1").join(keys, F.col("book_id").eqNullSafe(F.col("b")) & (F.col("key") == F.col("k")), "left")
     exact = cut(exact.drop("b"))
-    parts = keys.select("b", "opens", "title", F.explode(_parts(F.col("k"))).alias("p")).select(F.col("b").alias("pb"), "p.rest", F.col("p.word").alias("right"), F.col("title").alias("t2"))
+    parts = keys.select("b", "k", "opens", "title", F.explode(_parts(F.col("k"))).alias("p")).select(F.col("b").alias("pb"), "p.rest", "p.at", F.size(F.split("k", " ")).alias("kn"), F.col("p.word").alias("right"), F.col("title").alias("t2"))
     near = (
         exact.filter("(k is null or not title) and not numbered")
-        .select("element_id", "book_id", F.explode(_parts(F.col("key"))).alias("q"))
-        .join(parts, F.col("book_id").eqNullSafe(F.col("pb")) & (F.col("q.rest") == F.col("rest")))
+        .withColumn("words", F.size(F.split("key", " ")))
+        .join(keys.select(F.col("b").alias("b2"), F.size(F.split("k", " ")).alias("w2")).distinct(), F.col("book_id").eqNullSafe(F.col("b2")) & (F.col("words") == F.col("w2")), "left_semi")
+        .select("element_id", "book_id", "words", F.explode(_parts(F.col("key"))).alias("q"))
+        .join(parts, F.col("book_id").eqNullSafe(F.col("pb")) & (F.col("q.rest") == F.col("rest")) & (F.col("q.at") == F.col("at")) & (F.col("words") == F.col("kn")))
         .filter((F.length("right") >= 3) & (F.levenshtein("q.word", "right") <= F.when(F.length("right") > 4, 2).otherwise(1)))
         .groupBy(F.col("element_id").alias("e2"))
         .agg(F.max("t2").alias("t2"))
@@ -379,9 +391,9 @@ def corrections(counts: DataFrame) -> DataFrame:
     if the collection holds it TIMES as often as the word, and LEAST times at all; of several the one with the greatest
     margin plus logarithm of its frequency. Two edits at two places count for words that no single edit explains.
     """
-    sized = counts.filter(F.length("word").between(2, 40) & ~F.col("word").rlike("^[\\p{N}]"))
+    sized = counts.filter(F.length("word").between(2, LONGEST_WORD) & ~F.col("word").rlike("^[\\p{N}]"))
     frequent = [tuple(r) for r in sized.filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(FIT_WORDS).collect()]
-    seldom = counts.filter(F.length("word").between(3, 40))
+    seldom = counts.filter(F.length("word").between(3, LONGEST_WORD))
     rare = [tuple(r) for r in seldom.orderBy(F.xxhash64("word")).limit(FIT_WORDS).collect()]
     editor = counts.sparkSession.sparkContext.broadcast(_plain(train_editor(frequent, rare)))
 
@@ -394,7 +406,7 @@ def corrections(counts: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.int64(), pa.string(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["word", "n", "proposal", "margin", "single"])
 
-    judged = counts.filter(F.length("word").between(2, 40)).select("word", "n").mapInArrow(propose, "word string, n long, proposal string, margin double, single boolean")
+    judged = counts.filter(F.length("word").between(2, LONGEST_WORD)).select("word", "n").mapInArrow(propose, "word string, n long, proposal string, margin double, single boolean")
     held = counts.select(F.col("word").alias("right"), F.col("n").alias("m")).filter(F.col("m") >= LEAST)
     return (
         judged.join(held, F.col("proposal") == F.col("right"))
@@ -436,22 +448,106 @@ def divisions(rows: DataFrame) -> DataFrame:
     return cut_off.select("element_id", "mark", folded(F.col("left")).alias("left"), folded(F.col("right")).alias("right")).filter("left <> '' and right <> ''").distinct()
 
 
+_PLAIN = ("-", "‐", "‑", "－")
+_COUNTS = ("joined", "hyphened", "left", "right")
+
+
+class Joiner:
+    """The perceptron's operation at a mark that ends a line: join the parts, or keep the hyphen as the word's own."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
+
+    @staticmethod
+    def features(mark: str, left: str, right: str, n: dict[str, int]) -> list[str]:
+        j, h, a, b = (min(n[c], 1000).bit_length() for c in _COUNTS)
+        plain = "p" if mark in _PLAIN else "o"
+        return [
+            f"m{mark}", f"{plain}j{j > 0}h{h > 0}", f"d{(j > h) - (j < h)}", f"{plain}l{min(a, 4)}r{min(b, 4)}j{j > 0}h{h > 0}", f"a{a}", f"b{b}", f"{plain}v{min(a, b) >= 3}j{j > 0}h{h > 0}", f"e{left[-2:]}", f"s{right[:2]}", f"x{left[-1:]}{right[:1]}",
+            f"n{min(len(left), 8)}", f"k{min(len(right), 8)}", plain,
+        ]
+
+    def margin(self, mark: str, left: str, right: str, n: dict[str, int]) -> float:
+        """How much the join stands above keeping."""
+        return sum(self.weights.get(f, 0.0) for f in self.features(mark, left, right, n))
+
+    def joins(self, mark: str, left: str, right: str, n: dict[str, int]) -> bool:
+        """A mark that is no hyphen always divides. Before a join was ever seen, what the collection holds decides."""
+        if mark not in _PLAIN:
+            return True
+        return self.margin(mark, left, right, n) > 0 if self.weights else n["joined"] >= n["hyphened"]
+
+
+def train_joiner(kinds: list[tuple], words: list[tuple[str, int]] = (), epochs: int = EPOCHS) -> Joiner:
+    """Fit the join operation on kinds of line ends (mark, left, right, times, counts of the joined, hyphened, left and
+    right forms) and on established words (word, count).
+
+    The collection labels them: a plain hyphen is the word's own where the hyphened form is the more frequent, and a
+    division where the joined one is. Each labelled kind is learned twice, once as if it was seen once and neither
+    form was held, so that kinds of which the collection holds neither are told by the parts, their letters and lengths. Two established words side
+    by side, as many pairs as there are divisions, are kept apart: what is torn leaves pieces, not words."""
+    examples = []
+    for mark, left, right, times, *n in kinds:
+        told = dict(zip(_COUNTS, n))
+        if mark in _PLAIN and told["joined"] != told["hyphened"]:
+            goal = 1 if told["joined"] > told["hyphened"] else -1
+            once = {"joined": 0, "hyphened": 0, "left": told["left"] - times + 1, "right": told["right"] - times + 1}
+            examples += [(Joiner.features(mark, left, right, told), goal), (Joiner.features(mark, left, right, once), goal)]
+    pairs = list(zip(words, words[1:]))[: sum(goal > 0 for _, goal in examples)]
+    examples += [(Joiner.features("-", a, b, {"joined": 0, "hyphened": 0, "left": n, "right": m}), -1) for (a, n), (b, m) in pairs]
+    if len({goal for _, goal in examples}) < 2:
+        return Joiner({})
+    weights: dict[str, float] = defaultdict(float)
+    total: dict[str, float] = defaultdict(float)
+    step = 1
+    order = list(range(len(examples)))
+    for epoch in range(epochs):
+        order = sorted(order, key=lambda i: (i * 2654435761 + epoch * 40503) % 4294967291)
+        for x in order:
+            feats, goal = examples[x]
+            if goal * sum(weights[f] for f in feats) <= 0:
+                for f in feats:
+                    weights[f] += goal
+                    total[f] += step * goal
+            step += 1
+    return Joiner({f: v - total[f] / step for f, v in weights.items() if v or total[f]})
+
+
 def divided_words(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """(element_id, left, right) of the words that are divided, as the line-join operation has it.
+    """(element_id, left, right) of the words that are divided, as the editor's line-join operation has it.
 
-    A hyphen belongs to the word where the collection holds the hyphened form and not the joined one oftener, or where
-    it holds neither but both parts as words; only the plain hyphens can. Anything else at a line end divides."""
+    The operation is fitted on a bounded sample of the kinds of line ends and of words written with a hyphen inside a
+    line, and of established words (FIT_JOINS of each, by hash), and judges every kind of line end with the counts of its forms over the whole
+    collection. Kinds, not occurrences, meet the counts."""
     found = cut(divisions(rows))
+    kinds = found.groupBy("mark", "left", "right").agg(F.count("*").alias("times")).withColumn("inline", F.lit(False))
+    two = F.split("word", "-")
+    # Two words with a hyphen in the middle of a line say which hyphens are a word's own; its one occurrence is taken off.
+    inline = counts.filter(F.col("word").rlike("^[^-'’]+-[^-'’]+$")).select(F.lit("-").alias("mark"), two[0].alias("left"), two[1].alias("right"), F.lit(1).cast("bigint").alias("times"), F.lit(True).alias("inline"))
+    kinds = kinds.unionByName(inline.orderBy(F.xxhash64("left", "right")).limit(FIT_JOINS))
     forms = {"joined": F.concat("left", "right"), "hyphened": F.concat_ws("-", "left", "right"), "left": F.col("left"), "right": F.col("right")}
-    kinds = found.select("left", "right").distinct()
-    asked = kinds.select("left", "right", F.explode(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("w")) for k, v in forms.items()])).alias("a")).select("left", "right", "a.*")
-    known = asked.join(counts, F.col("w") == F.col("word")).groupBy("left", "right").agg(*[F.max(F.when(F.col("form") == k, F.col("n"))).alias(f"n_{k}") for k in forms])
-    told = found.join(known.withColumnsRenamed({"left": "l", "right": "r"}), (F.col("left") == F.col("l")) & (F.col("right") == F.col("r")), "left")
-    n = {k: F.coalesce(F.col(f"n_{k}"), F.lit(0)) for k in forms}
-    own = F.col("mark").isin("-", "‐", "‑", "－") & (
-        (n["hyphened"] > n["joined"]) | ((n["joined"] == 0) & (n["hyphened"] == 0) & (n["left"] >= 5) & (n["right"] >= 2))
-    )
-    return told.filter(~own).select("element_id", "left", "right").distinct()
+    asked = kinds.select("mark", "left", "right", "times", "inline", F.explode(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("w")) for k, v in forms.items()])).alias("a")).select("mark", "left", "right", "times", "inline", "a.*")
+    known = cut(_form_counts(asked, counts))
+    sample = known.orderBy("inline", F.xxhash64("mark", "l", "r")).limit(2 * FIT_JOINS).select("mark", "l", "r", "times", "joined", (F.col("hyphened") - F.col("inline").cast("int")).alias("hyphened"), "left", "right").collect()
+    common = [tuple(r) for r in counts.filter((F.col("n") >= LEAST) & F.col("word").rlike("^\\p{L}+$")).orderBy(F.xxhash64("word")).limit(FIT_JOINS).collect()]
+    joiner = rows.sparkSession.sparkContext.broadcast(train_joiner([tuple(r) for r in sample], common).weights)
+
+    def judge(batches):
+        j = Joiner(joiner.value)
+        for batch in batches:
+            lines = list(zip(*[c.to_pylist() for c in batch.columns]))
+            told = [j.joins(mark, left, right, dict(zip(_COUNTS, n))) for mark, left, right, *n in lines]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(told, pa.bool_())], ["mark", "l", "r", "divided"])
+
+    judged = known.filter("not inline").select("mark", "l", "r", *_COUNTS).mapInArrow(judge, "mark string, l string, r string, divided boolean").filter("divided")
+    told = found.join(judged.withColumnRenamed("mark", "m"), (F.col("mark") == F.col("m")) & (F.col("left") == F.col("l")) & (F.col("right") == F.col("r")), "left_semi")
+    return told.select("element_id", "left", "right").distinct()
+
+
+def _form_counts(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """(mark, l, r, times, inline, joined, hyphened, left, right): how often the collection holds each form of a kind."""
+    told = asked.withColumnsRenamed({"left": "l", "right": "r"}).join(counts, F.col("w") == F.col("word"), "left")
+    return told.groupBy("mark", "l", "r", "times", "inline").agg(*[F.coalesce(F.max(F.when(F.col("form") == k, F.col("n"))), F.lit(0)).alias(k) for k in _COUNTS])
 
 
 # ---------------------------------------------------------------------------------------------- results

@@ -236,6 +236,20 @@ def test_editor_learns_the_recognisers_edits():
     assert not pagetext.train_editor([], []).edits
 
 
+def test_joins_are_learned():
+    letters = "abdeghiklmnoprstu"
+    rng = random.Random(5)
+    make = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    # Torn pieces are no words; the parts of a compound are.
+    torn = [("-", make(3), make(4) + "ing", 1, 30, 0, 1, 1) for _ in range(60)]
+    own = [("-", make(6), make(6), 1, 0, 9, 40, 40) for _ in range(60)]
+    j = pagetext.train_joiner(torn[:40] + own[:40])
+    held = [(k, True) for k in torn[40:]] + [(k, False) for k in own[40:]]
+    told = [j.joins(m, a, b, dict(zip(pagetext._COUNTS, (0, 0, na, nb)))) == goal for (m, a, b, _, _, _, na, nb), goal in held]
+    assert np.mean(told) > 0.9 and j.joins("¬", "a", "b", dict.fromkeys(pagetext._COUNTS, 0))
+    assert pagetext.train_joiner([]).weights == {}
+
+
 def test_late_words_give_examples_too():
     rng = random.Random(9)
     letters = "abdhiklmnoprstu"

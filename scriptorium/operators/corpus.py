@@ -9,23 +9,6 @@ from scriptorium.functions import arabic
 
 BLANKS = "[\\s\\u00A0\\u2000-\\u200A\\u202F\\u205F\\u3000]+"
 
-# Words that set off an entity's kind, and words that rule one out.
-TRIGGERS = {
-    "الإمام": "person", "الامام": "person", "الشيخ": "person", "السيد": "person", "السيّد": "person", "النبي": "person", "الرسول": "person",
-    "الكتاب": "book", "كتاب": "book", "سورة": "quran", "آية": "quran", "باب": "section", "حديث": "hadith", "رواية": "hadith",
-    "المؤلف": "person", "المصنف": "person",
-}
-PERSON_MARKERS = "بن ابن أبن ابو أبو ابي أبي ام أم بنت".split()
-HONORIFICS = "الشيخ الامام الإمام السيد العلامه العلامة الحافظ القاضي المولي المولى الحاج المحقق النبي رسول الرسول الصادق الباقر الكاظم الرضا".split()
-BOOK_MARKERS = "كتاب رساله رسالة شرح تفسير مختصر تهذيب وسائل".split()
-GENERIC_NOUNS = (
-    "الباب باب الحديث حديث الفصل فصل الجزء جزء المجلد مجلد الصفحة صفحه صفحة ابواب أبواب الكتاب كتاب المصدر نسخه نسخة مثله نحوه "
-    "الاول الثاني الثالث الرابع الخامس"
-).split()
-LEADING = "من في عن مع عند بعد قبل بين حتي حتى لدي لدى منذ خلال ثم او أو بل لكن و ف ب ل ك".split()
-TRAILING = "عن و ثم في من بن ابن ، قال عنه عنها عنهم".split()
-
-
 def current_elements(df: DataFrame, *columns: str) -> DataFrame:
     """(element_id, columns): one row per element, the latest version (a null time is the earliest; of versions of one
     time the one with the greater values, so the result doesn't depend on the rows' order).
@@ -146,35 +129,6 @@ def phrase_match(texts: DataFrame, id: str, text: str, phrase: str) -> DataFrame
     )
 
 
-def entity_kind(label: Column) -> Column:
-    """Kind of an entity label after its function words are trimmed: person, book, other, or rejected."""
-    words = F.filter(F.split(arabic.match_key(label), " "), lambda w: w != "")
-    lead = F.array(*[F.lit(w) for w in dict.fromkeys(_keys(LEADING))])
-    trail = F.array(*[F.lit(w) for w in dict.fromkeys(_keys(TRAILING))])
-    def first_kept(ws, stop):
-        return F.coalesce(F.array_min(F.filter(F.transform(ws, lambda w, i: F.when(~F.array_contains(stop, w), i + 1)), lambda x: x.isNotNull())), F.size(ws) + 1)
-    front = first_kept(words, lead)
-    rest = F.slice(words, front, F.greatest(F.size(words) - front + 1, F.lit(0)))
-    back = first_kept(F.reverse(rest), trail)
-    kept = F.slice(rest, 1, F.greatest(F.size(rest) - back + 1, F.lit(0)))
-    has = lambda ws, names: F.arrays_overlap(ws, F.array(*[F.lit(x) for x in dict.fromkeys(_keys(names))]))
-    kind = (
-        F.when(F.size(kept) == 0, "rejected")
-        .when((F.length(label) > 60) | (F.regexp_count(label, F.lit("[0-9٠-٩]")) > 2) | label.rlike("\\.{4,}"), "rejected")
-        .when(F.forall(kept, lambda w: w.isin(_keys(GENERIC_NOUNS))), "rejected")
-        .when((F.size(kept) == 1) & (F.length(F.element_at(kept, 1)) < 3), "rejected")
-        .when(has(kept, PERSON_MARKERS) | has(kept, HONORIFICS), "person")
-        .when(F.element_at(kept, 1).isin(_keys(BOOK_MARKERS)), "book")
-        .otherwise("other")
-    )
-    return F.struct(kind.alias("kind"), F.array_join(kept, " ").alias("cleaned"))
-
-
-def _keys(words: list[str]) -> list[str]:
-    table = str.maketrans("آأإٱىة", "اااايه")
-    return [w.translate(table) for w in words]
-
-
 def deduplicated_entities(df: DataFrame, label: str = "label", examples: int = 5) -> DataFrame:
     """Labels of one match key as one entity: sums, the greatest score, the longest label, variants counted, and up to
     ``examples`` of the least variants. Variants are made distinct before they are gathered, and the gathering keeps

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scriptorium.plans import corpus_queries, hierarchy_queries, search_queries, store_queries
+from scriptorium.plans import corpus_queries, entity_queries, hierarchy_queries, search_queries, store_queries
 
-FAMILIES = [hierarchy_queries, corpus_queries, search_queries, store_queries]
+FAMILIES = [hierarchy_queries, corpus_queries, entity_queries, search_queries, store_queries]
 
 QUERIES = {name: f for family in FAMILIES for name, f in family.QUERIES.items()}
 SQL = {name: text for family in FAMILIES for name, text in family.SQL.items()}

@@ -106,11 +106,6 @@ def phrase_suggestions(spark, d):
     return corpus.suggested_phrases(corpus.phrase_statistics(_words(spark, d)), "عبد الرحيم")
 
 
-def entity_kinds(spark, d):
-    e = table(spark, d, "entity_candidates").filter("label is not null").select("label").distinct()
-    return e.select("label", corpus.entity_kind(F.col("label")).alias("k")).select("label", "k.kind", "k.cleaned")
-
-
 def entity_totals(spark, d):
     e = table(spark, d, "entity_candidates").select("candidate_id", "label", "frequency", "score", "element_id").distinct()
     per = e.withColumn("document_frequency", F.lit(1))
@@ -130,7 +125,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         element_lines, document_chunks, search_forms, retrieval_forms, title_forms, narrator_name_lists, word_matches, word_stems, phrase_match, quality_classes,
-        exact_duplicates, stale_elements, token_statistics, phrase_statistics, context_neighbours, phrase_suggestions, entity_kinds, entity_totals, hashed_vectors, label_centroids,
+        exact_duplicates, stale_elements, token_statistics, phrase_statistics, context_neighbours, phrase_suggestions, entity_totals, hashed_vectors, label_centroids,
     )
 }
 
@@ -181,13 +176,6 @@ SQL = {
  c as (select a.token, case when b.i < a.i then 'left' else 'right' end as side, b.token as neighbour, count(*) as frequency from u a join u b on a.element_id = b.element_id and b.i between a.i - 2 and a.i + 2 and a.i <> b.i group by all)
  select token, side, neighbour, frequency, cast(place as int) as place from (select *, row_number() over (partition by token, side order by frequency desc, neighbour) as place from c) where place <= 5""",
     "phrase_suggestions": _PHR.replace('{0}', '6') + ", s as (select *, round((case when phrase = 'عبد الرحيم' then 1.0 else 0.0 end) + (case when contains(phrase, 'عبد الرحيم') then 0.75 else 0.0 end) + ln(1 + frequency) / 8 + ln(1 + document_frequency) / 15, 6) as score from t) select * from s where score >= 0.2 order by score desc, frequency desc, phrase limit 10",
-    "entity_kinds": f"""with t as (select distinct label, list_filter(string_split({duck.match_key('label')}, ' '), lambda x: x <> '') as ws from entity_candidates where label is not null),
- a as (select label, list_slice(ws, coalesce(list_min(list_filter(list_transform(range(1, len(ws) + 1), lambda i: case when not list_contains({_LIST(corpus.LEADING)}, ws[i]) then i end), lambda x: x is not null)), len(ws) + 1), len(ws)) as rest from t),
- b as (select label, case when len(rest) = 0 then [] else list_slice(rest, 1, coalesce(list_max(list_filter(list_transform(range(1, len(rest) + 1), lambda i: case when not list_contains({_LIST(corpus.TRAILING)}, rest[i]) then i end), lambda x: x is not null)), 0)) end as kept from a)
- select label, case when len(kept) = 0 then 'rejected' when length(label) > 60 or len(regexp_extract_all(label, '[0-9٠-٩]')) > 2 or regexp_matches(label, '\\.{{4,}}') then 'rejected'
-  when len(list_filter(kept, lambda x: not list_contains({_LIST(corpus.GENERIC_NOUNS)}, x))) = 0 then 'rejected' when len(kept) = 1 and length(kept[1]) < 3 then 'rejected'
-  when list_has_any(kept, {_LIST(corpus.PERSON_MARKERS)}) or list_has_any(kept, {_LIST(corpus.HONORIFICS)}) then 'person' when list_contains({_LIST(corpus.BOOK_MARKERS)}, kept[1]) then 'book' else 'other' end as kind,
-  array_to_string(kept, ' ') as cleaned from b""",
     "entity_totals": f"""with o as (select distinct candidate_id, label, frequency, score, element_id from entity_candidates), r as (select {duck.match_key('label')} as key, {duck.rep('label', '^' + arabic.SPACES + '|' + arabic.SPACES + '$')} as variant, frequency, score from o),
  p as (select key, variant, sum(frequency) as f, count(*) as d, max(score) as s from r where key <> '' group by all),
  k as (select *, row_number() over (partition by key order by variant) as place from p)

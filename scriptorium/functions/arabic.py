@@ -24,9 +24,10 @@ STRENGTHS = {"exact": 1.0, "canonical": 0.92, "unvocalised": 0.70, "stem": 0.45,
 
 
 def presentation_forms() -> tuple[str, str]:
-    """Single-letter compatibility forms (Arabic shapes, full width) and their letters, by rule."""
+    """Single-letter compatibility forms (Arabic shapes, full width, super- and subscripts, ...) and their letters, by
+    rule."""
     pairs = {}
-    for lo, hi in ((0xFB50, 0xFDFF), (0xFE70, 0xFEFC), (0xFF01, 0xFF5E)):
+    for lo, hi in ((0xAA, 0x33FF), (0xFB00, 0xFFEE)):
         for cp in range(lo, hi + 1):
             flat = unicodedata.normalize("NFKC", chr(cp))
             if len(flat) == 1 and flat != chr(cp):
@@ -35,6 +36,17 @@ def presentation_forms() -> tuple[str, str]:
 
 
 SHAPES_FROM, SHAPES_TO = presentation_forms()
+#: Ligatures of two letters or three, Latin and lam-alef, by the same rule.
+LIGATURE_FORMS = {chr(cp): unicodedata.normalize("NFKC", chr(cp)) for cp in (*range(0xFB00, 0xFB07), *range(0xFEF5, 0xFEFD))}
+
+
+def shaped(c: Column) -> Column:
+    """A text with its compatibility forms resolved."""
+    out = F.translate(c, SHAPES_FROM, SHAPES_TO)
+    apart = out
+    for form, letters in LIGATURE_FORMS.items():
+        apart = F.replace(apart, F.lit(form), F.lit(letters))
+    return F.when(out.rlike("[\\uFB00-\\uFB06\\uFEF5-\\uFEFC]"), apart).otherwise(out)
 
 
 def collapse(c: Column) -> Column:
@@ -50,8 +62,7 @@ def search_form(c: Column) -> Column:
     """The form that is indexed and searched: no marks or tatweel, letters and digits folded, known misreadings fixed.
     A null text has the empty form."""
     bare = F.regexp_replace(F.regexp_replace(_text(c), INVISIBLE, ""), MARKS, "")
-    shaped = F.translate(bare, SHAPES_FROM, SHAPES_TO)
-    out = collapse(F.translate(shaped, FOLD_FROM + "ء", FOLD_TO))
+    out = collapse(F.translate(shaped(bare), FOLD_FROM + "ء", FOLD_TO))
     fixed = F.array_join(F.transform(F.split(out, " "), _fix_word), " ")
     return F.when(out.rlike("|".join(WORD_FIXES)), fixed).otherwise(out)
 
@@ -65,7 +76,7 @@ def _fix_word(w: Column) -> Column:
 
 def surface_form(c: Column) -> Column:
     """Cleaned only: marks and letters stay."""
-    return collapse(F.translate(F.regexp_replace(_text(c), INVISIBLE, ""), SHAPES_FROM, SHAPES_TO))
+    return collapse(shaped(F.regexp_replace(_text(c), INVISIBLE, "")))
 
 
 def tokens(c: Column) -> Column:
@@ -163,7 +174,7 @@ def western_digits(c: Column) -> Column:
 
 def slugify(c: Column) -> Column:
     """Lower case, anything but letters, digits and _ a hyphen; 'untitled' where nothing is left."""
-    low = F.lower(F.translate(_text(c), SHAPES_FROM, SHAPES_TO))
+    low = F.lower(shaped(_text(c)))
     slug = F.regexp_replace(F.regexp_replace(low, "[^\\p{L}\\p{N}_]+", "-"), "^-+|-+$", "")
     return F.when(slug == "", "untitled").otherwise(slug)
 

@@ -32,8 +32,15 @@ def collapse(x: str) -> str:
     return f"trim({rep(x, a.SPACES, ' ')})"
 
 
+def shaped(x: str) -> str:
+    out = tr(x, a.SHAPES_FROM, a.SHAPES_TO)
+    for form, letters in a.LIGATURE_FORMS.items():
+        out = f"replace({out}, {q(form)}, {q(letters)})"
+    return out
+
+
 def search_form(x: str) -> str:
-    out = collapse(tr(tr(rep(rep(text(x), a.INVISIBLE), a.MARKS), a.SHAPES_FROM, a.SHAPES_TO), a.FOLD_FROM + "ء", a.FOLD_TO))
+    out = collapse(tr(shaped(rep(rep(text(x), a.INVISIBLE), a.MARKS)), a.FOLD_FROM + "ء", a.FOLD_TO))
     cases = " ".join(f"when {q(b)} then {q(g)}" for b, g in a.WORD_FIXES.items())
     return f"array_to_string(list_transform(string_split({out}, ' '), lambda w: case w {cases} else w end), ' ')"
 

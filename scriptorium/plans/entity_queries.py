@@ -156,7 +156,7 @@ SQL = {
  select label as query, case when single then 'entity' when hadith then 'hadith' when quran then 'quran' when bibliography then 'bibliography' when identity then 'entity' else 'general' end as label,
   greatest(case when identity then 0.78 else 0.55 end, case when bibliography or single then 0.72 else 0 end, case when quran or hadith then 0.8 else 0 end) as confidence,
   concat_ws(',', case when identity then 'identity' end, case when bibliography then 'bibliography' end, case when quran then 'quran' end, case when hadith then 'hadith' end, case when single then 'single-term' end) as hints from h""",
-    "noisy_elements": f"with {ELEMENTS}, s as (select element_id, {duck.collapse(duck.tr(duck.rep(duck.text('text_raw'), arabic.INVISIBLE), arabic.SHAPES_FROM, arabic.SHAPES_TO))} as s from e) select element_id from s where s = '' or length(s) - length(replace(s, ' ', '')) >= greatest(8, floor(length(s) / 2))",
+    "noisy_elements": f"with {ELEMENTS}, s as (select element_id, {duck.collapse(duck.shaped(duck.rep(duck.text('text_raw'), arabic.INVISIBLE)))} as s from e) select element_id from s where s = '' or length(s) - length(replace(s, ' ', '')) >= greatest(8, floor(length(s) / 2))",
     "request_keys": """select query_id, "offset", sha1('{"limit": 20, "offset": ' || "offset" || ', "q": "a \\"query\\" \\\\ ' || query_id || '"}') as key from (select distinct query_id from rerank_results), (values (0), (20)) v("offset")""",
     "score_probabilities": "select distinct result_id, round(1 / (1 + exp(-greatest(-30.0, least(30.0, original_score)))), 8) as probability from rerank_results",
     "entity_spans": _SPANS + " select label, kind, count(*) as times from sp group by all",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions import arabic
+from scriptorium.functions import arabic, scoring
 
 # ------------------------------------------------------------------ fixed values: weights and word lists
 K = 60
@@ -17,6 +17,7 @@ SHORT_WORDS = "عن من في ما لا ان إن أن به له هو هي قد
 LONE_PUNCTUATION = ["،", ",", ".", ":", ";", "؛", "-", "(", ")", "[", "]"]
 OPENERS = ["،", "و", "ف", ":", "(", ")"]
 RATIOS = {"person": 0.08, "book": 0.08, "entity": 0.08, "passage": 0.12}
+GENERIC_RATIO, UNCOVERED_RATIO = 0.55, 0.70
 # ------------------------------------------------------------------
 
 _ARABIC = "^[\\u0621-\\u064A\\u064B-\\u0652\\u0670]+$"
@@ -170,8 +171,8 @@ def ranked(fused: DataFrame, query: str, k: int = 50) -> DataFrame:
     """Final score and order of fused hits that carry text_raw, text_normalized, element_type, page_id, page_number.
 
     score = fusion + graded signals + bonuses + exact raw form + layout, less a fragment penalty, at least 0. Ordered
-    by score, words, page number, then id; ``deferred`` marks what exceeds three hits of its page, which the order does
-    not heed. ``reranked`` adds the exact-query and phrase bonuses of the reranker.
+    by score, words, page number, then id; hits beyond the third of their page are ``deferred`` and come behind all
+    others. ``reranked`` adds the exact-query and phrase bonuses of the reranker.
     """
     form = arabic.search_form(F.lit(query))
     rows = signals(fused, F.array_distinct(words(form)), "text_raw", "text_normalized")
@@ -186,24 +187,35 @@ def ranked(fused: DataFrame, query: str, k: int = 50) -> DataFrame:
     )
     scored = rows.withColumn("score", F.round(F.greatest(base + penalty, F.lit(0.0)), 8)).withColumn("reranked", F.round(F.col("score") + rerank, 8)).withColumn("n_words", n)
     by = [F.desc("score"), F.desc("n_words"), F.desc(F.coalesce("page_number", F.lit(0))), F.col("element_id")]
-    again = [F.desc("reranked"), *by[1:]]
-    whole, page = Window.partitionBy("query_id").orderBy(*by), Window.partitionBy("query_id", "page_id").orderBy(*by)
+    again = [F.col("deferred"), F.desc("reranked"), *by[1:]]
+    whole, page = Window.partitionBy("query_id").orderBy(F.col("deferred"), *by), Window.partitionBy("query_id", "page_id").orderBy(*by)
     return (
-        scored.withColumn("place", F.row_number().over(whole)).withColumn("deferred", F.row_number().over(page) > 3)
+        scored.withColumn("deferred", F.row_number().over(page) > 3).withColumn("place", F.row_number().over(whole))
         .withColumn("final_place", F.row_number().over(Window.partitionBy("query_id").orderBy(*again))).filter(F.col("final_place") <= k)
     )
 
 
-def pruned(rows: DataFrame, intent: str | None = None, safety: int = 10) -> DataFrame:
-    """(…, ratio, kept): rows whose score is near enough to their query's best; where none is, the first ``safety``."""
+def pruned(rows: DataFrame, intent: str | None = None, safety: int = 10, query: str | None = None) -> DataFrame:
+    """(…, ratio, kept, reason): rows whose score is near enough to their query's best; where none is, the first
+    ``safety``. A phrase of general words that does not hold the query must come nearer, as must a text that shares no
+    word with it; empty texts never pass. ``reason`` says why a row was left out."""
     best = F.max("score").over(Window.partitionBy("query_id"))
     ratio = F.when(best > 0, F.col("score") / best).otherwise(0.0)
     least = RATIOS.get(intent or "", 0.15)
-    keep = (ratio >= least) & ~((F.col("coverage") == 0) & (ratio < 0.70))
-    marked = rows.withColumn("ratio", F.round(ratio, 6)).withColumn("passes", keep)
+    text = F.coalesce("text_normalized", F.lit(""))
+    lacks = ~F.contains(text, arabic.search_form(F.lit(query))) if query else F.lit(True)
+    named = intent in RATIOS and intent != "passage"
+    far = {
+        "empty": text == "", "below_relative_threshold": ratio < least, "generic_phrase": lacks & scoring.is_generic_query(words(text)) & (ratio < GENERIC_RATIO),
+        "no_coverage": F.lit(False) if named else lacks & (F.col("coverage") == 0) & (ratio < UNCOVERED_RATIO),
+    }
+    why = F.coalesce(*[F.when((best > 0) | F.lit(k == "empty"), F.when(c, k)) for k, c in far.items()])
+    keep = why.isNull()
+    marked = rows.withColumn("ratio", F.round(ratio, 6)).withColumn("passes", keep).withColumn("reason", why)
     any_pass = F.max(F.col("passes").cast("int")).over(Window.partitionBy("query_id"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "element_id"))
-    return marked.withColumn("kept", F.when(any_pass == 1, F.col("passes")).otherwise(place <= safety)).drop("passes")
+    kept = marked.withColumn("kept", F.when(any_pass == 1, F.col("passes")).otherwise(place <= safety)).drop("passes")
+    return kept.withColumn("reason", F.when(~F.col("kept"), F.col("reason")))
 
 
 def movement(rows: DataFrame, before: str, after: str, group: str = "query_id", item: str = "element_id", head: int = 50) -> DataFrame:

@@ -68,11 +68,33 @@ def budget_trips(events: DataFrame, group: str, order: list[str], amount: str, l
 
 
 def cache_hits(requests: DataFrame, key: str, at: str, id: str, seconds: int = 300) -> DataFrame:
-    """(id, hit): whether a request finds the key's value of at most ``seconds`` ago. A stored value lives from the
-    request that missed, so it is each key's latest earlier request that counts when every request refreshes it."""
-    before = F.lag(at).over(Window.partitionBy(key).orderBy(at, id))
-    age = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(before.cast("timestamp"))
-    return requests.select(id, F.coalesce(age <= seconds * 1_000_000, F.lit(False)).alias("hit"))
+    """(id, hit): whether a request finds the key's value. A value is stored by the request that misses and lives
+    ``seconds`` from then on, whoever asks for it meanwhile.
+
+    Which request misses depends on the one that missed before, so each key's requests are read in order, in Arrow
+    batches. A key's requests are first cut where none came for ``seconds``, since the one after such a pause misses
+    whatever was before: these runs, not the keys, are the groups."""
+    id_kind = requests.schema[id].dataType.simpleString()
+    rows = requests.select(F.col(key).alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(id).alias("i"))
+    w = Window.partitionBy("k").orderBy("t", "i")
+    rows = rows.withColumn("new", F.coalesce((F.col("t") - F.lag("t").over(w) > seconds * 1_000_000).cast("int"), F.lit(1)))
+    rows = grouped_prefix_sums(rows, ["k"], ["t", "i"], "new", "before").withColumn("run", F.col("before") + F.col("new"))
+
+    def read(pdf):
+        pdf = pdf.sort_values(["t", "i"])
+        until, hits = None, []
+        for t in pdf["t"]:
+            hits.append(until is not None and t <= until)
+            if not hits[-1]:
+                until = t + seconds * 1_000_000
+        return pdf[["i"]].assign(hit=hits)
+
+    run = Window.partitionBy("k", "run")
+    rows = rows.withColumn("n", F.count("*").over(run)).withColumn("p", F.row_number().over(run.orderBy("t", "i")))
+    # In a run the first misses and the second, within the time, finds it; only longer runs need reading.
+    short = rows.filter("n < 3").select("i", (F.col("p") > 1).alias("hit"))
+    told = short.unionByName(rows.filter("n >= 3").groupBy("k", "run").applyInPandas(read, f"i {id_kind}, hit boolean"))
+    return told.select(F.col("i").alias(id), "hit")
 
 
 def valid_memories(entries: DataFrame, versions: dict[str, str], now, ttl: int = 604_800) -> DataFrame:

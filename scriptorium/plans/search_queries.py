@@ -8,6 +8,7 @@ from scriptorium.functions import arabic
 from scriptorium.operators import corpus, ranking, retrieval
 from scriptorium.plans import duck
 from scriptorium.plans.corpus_queries import ELEMENTS
+from scriptorium.plans.entity_queries import _GENERIC
 from scriptorium.sources.tables import table
 
 QUESTIONS = {1: "أبواب أحكام الصلاة", 2: "عبد الرحيم بن رزين", 3: "سألته عن الطهارة", 4: "narrator reports the chapter", 5: "الوضوء", 6: "تهذيب zzz"}
@@ -99,7 +100,7 @@ def ranked_hits(spark, d):
 
 def pruned_hits(spark, d):
     r = ranking.ranked(_fused(spark, d), ASKED, k=1000)
-    return ranking.pruned(r, "person").select("query_id", "element_id", F.round("ratio", 4).alias("ratio"), "kept")
+    return ranking.pruned(r, "person", query=ASKED).select("query_id", "element_id", F.round("ratio", 4).alias("ratio"), "kept", "reason")
 
 
 def boosted_titles(spark, d):
@@ -189,7 +190,7 @@ _RANK = f"""{_POST}, {_FTS}, {_GRAMS}, {_FUZZY}, hh as (select query_id, 'fts' a
    + (case when contains(text_raw, {duck.q(ASKED)}) then 0.020 else 0 end) + {_LB} as base, {_RERANK} as again from j),
  sc as (select *, round(greatest(0.0, base - case when n < 3 then base * 0.5 * (1 - greatest(0.1, n / 3)) else 0 end), 8) as score from b),
  pl as (select *, round(score + again, 8) as reranked, row_number() over (partition by query_id, page_id order by score desc, n desc, coalesce(page_number, 0) desc, element_id) > 3 as deferred from sc),
- fp as (select *, row_number() over (partition by query_id order by reranked desc, n desc, coalesce(page_number, 0) desc, element_id) as final_place from pl)"""
+ fp as (select *, row_number() over (partition by query_id order by deferred, reranked desc, n desc, coalesce(page_number, 0) desc, element_id) as final_place from pl)"""
 _E1 = f"{_E}, {_ONE}"
 SQL["ranked_hits"] = f"{_E1}, {_RANK} select query_id, element_id, round(score, 6) as score, round(reranked, 6) as reranked, deferred from fp where final_place <= 50"
-SQL["pruned_hits"] = f"{_E1}, {_RANK}, rt as (select *, case when max(score) over (partition by query_id) > 0 then score / max(score) over (partition by query_id) else 0 end as ratio from fp where final_place <= 1000), ks as (select *, ratio >= 0.08 and not (coverage = 0 and ratio < 0.70) as passes from rt) select query_id, element_id, round(round(ratio, 6), 4) as ratio, case when bool_or(passes) over (partition by query_id) then passes else row_number() over (partition by query_id order by score desc, element_id) <= 10 end as kept from ks"
+SQL["pruned_hits"] = f"{_E1}, {_RANK}, rt as (select *, case when max(score) over (partition by query_id) > 0 then score / max(score) over (partition by query_id) else 0 end as ratio from fp where final_place <= 1000), kr as (select *, case when coalesce(text_normalized, '') = '' then 'empty' when ratio < 0.08 then 'below_relative_threshold' when not contains(coalesce(text_normalized, ''), query) and len(list_filter(list_filter(string_split(coalesce(text_normalized, ''), ' '), lambda w: w <> ''), lambda w: not {_GENERIC('w')})) = 0 and ratio < 0.55 then 'generic_phrase' end as why from rt), ks as (select *, why is null as passes from kr), kk as (select *, case when bool_or(passes) over (partition by query_id) then passes else row_number() over (partition by query_id order by score desc, element_id) <= 10 end as kept from ks) select query_id, element_id, round(round(ratio, 6), 4) as ratio, kept, case when not kept then why end as reason from kk"

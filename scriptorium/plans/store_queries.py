@@ -505,7 +505,8 @@ SQL = {
     "distinctive_windows": WORDS + ", f as (select token, count(*) as frequency from (select unnest(tokens) as token from w) group by 1), u as (select element_id as id, unnest(tokens) as token, generate_subscripts(tokens, 1) as p from w), x as (select id, p, sum(ln(1 + frequency)) over o as s, string_agg(u.token, ' ') over o as win, count(*) over o as n from u join f using (token) window o as (partition by id order by p rows between current row and 4 following)) select id, arg_min(win, (round(s, 9), p)) as window from x where n = 5 group by id",
     "event_counts": "select user_id, event_type, count(*) as n, max(ts) as last from events group by all",
     "budget_trips": "with r as (select user_id, ts, event_id, sum(value) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as used from events) select user_id, trip_at, round(used, 6) as used from (select user_id, event_id as trip_at, used, row_number() over (partition by user_id order by ts, event_id) as k from r where used > 500) where k = 1",
-    "cache_hits": "select event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) <= 3600000000, false) as hit from events",
+    # Each key's requests in order; a miss stores the value, which lives an hour.
+    "cache_hits": "with recursive r as (select user_id, event_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as n from events), x as (select user_id, event_id, n, t + 3600000000 as until, false as hit from r where n = 1 union all select r.user_id, r.event_id, r.n, case when r.t <= x.until then x.until else r.t + 3600000000 end, r.t <= x.until from x join r on r.user_id = x.user_id and r.n = x.n + 1) select event_id, hit from x",
     "valid_memories": "select substr(sha1(event_type || '::' || trim(regexp_replace(props, '\\s+', ' ', 'g'))), 1, 20) as key, event_id from events where value > 20 and least(1.0, value / 50) >= 0.7 and event_id % 3 <> 0 and (select max(floor(epoch_us(ts) / 1000000)) from events) - floor(epoch_us(ts) / 1000000) <= 604800",
     "events_tumbling": "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all",
     "events_sliding": "with w as (select date_trunc('hour', ts) - to_hours(k) as start, value from events, (values (0), (1)) v(k)) select start, count(*) as n, round(sum(value), 4) as total from w group by all",

@@ -164,3 +164,13 @@ def mean_vectors(vectors: DataFrame, group: str, vector: str) -> DataFrame:
     parts = vectors.select(group, F.posexplode(vector).alias("dimension", "v")).groupBy(group, "dimension").agg(F.avg(F.col("v").cast("double")).alias("m"))
     norm = parts.groupBy(F.col(group).alias("__g")).agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))
     return parts.join(norm, F.col(group).eqNullSafe(F.col("__g"))).select(group, "dimension", (F.col("m") / F.col("norm")).alias("weight"))
+
+
+def nested_mean_vectors(vectors: DataFrame, group: str, part: str, vector: str) -> DataFrame:
+    """(group, dimension, weight): the mean of the group's parts' mean vectors, each of length 1, so a large part counts
+    no more than a small one."""
+    key = F.struct(F.col(group).alias("g"), F.col(part).alias("p"))
+    parts = mean_vectors(vectors.select(key.alias("__key"), vector), "__key", vector)
+    whole = parts.groupBy(F.col("__key.g").alias(group), "dimension").agg(F.avg("weight").alias("m"))
+    norm = whole.groupBy(F.col(group).alias("__n")).agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))
+    return whole.join(norm, F.col(group).eqNullSafe(F.col("__n"))).select(group, "dimension", (F.col("m") / F.col("norm")).alias("weight"))

@@ -99,3 +99,22 @@ def concepts_in_texts(concepts: DataFrame, texts: DataFrame) -> DataFrame:
 
     found = split.select("text_id", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *[grams(m) for m in lengths]))).alias("g"))
     return found.join(labels, F.col("g") == F.col("key")).select("text_id", "id").distinct()
+
+
+def merged_nodes(nodes: DataFrame) -> DataFrame:
+    """(id, type, label): nodes of the same id as one; of several types and labels the least type and greatest label."""
+    return nodes.filter("id is not null").groupBy("id").agg(F.min("type").alias("type"), F.max("label").alias("label"))
+
+
+def term_index(concepts: DataFrame) -> DataFrame:
+    """(key, concepts, id): every label and synonym as matched, with how many concepts it stands for and the least of
+    them. concepts: (id, label, synonyms)."""
+    terms = concepts.select("id", F.explode(F.concat(F.array("label"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("term"))
+    keyed = terms.select("id", arabic.match_key(F.col("term")).alias("key")).filter("key <> ''")
+    return keyed.groupBy("key").agg(F.count_distinct("id").alias("concepts"), F.min("id").alias("id")).select("key", "concepts")
+
+
+def derived_children(concepts: DataFrame) -> DataFrame:
+    """(id, children): each concept's children as the other concepts' parents say, sorted; empty where none."""
+    below = concepts.filter("parent is not null and parent <> id").groupBy(F.col("parent").alias("p")).agg(F.array_sort(F.collect_set("id")).alias("children"))
+    return concepts.select("id").join(below, F.col("id") == F.col("p"), "left").select("id", F.coalesce("children", F.array().cast("array<string>")).alias("children"))

@@ -33,6 +33,12 @@ OPPOSITES = [
 CONTRADICTIONS = [("يجوز", "لا يجوز"), ("يجب", "لا يجب"), ("لا بأس", "لا يجوز"), ("طاهر", "نجس"), ("يطهر", "لا يطهر"), ("نعم", "لا")]
 TOPIC_STOPS = "في من عن على الى ما لا ان قال الله عليه السلام به له هو هي ثم".split()
 SPECIFIERS = ["إلا", "الا", "إذا", "اذا", "إن كان", "ان كان", "في حال", "عند", "ما لم", "بشرط"]
+QUANTITY = "[\\u0660-\\u06690-9]+|كرّ|كر|رطل|مدّ|مد|صاع"
+IMAMS = "أبا جعفر|ابا جعفر|أبي جعفر|ابي جعفر|أبا عبد الله|ابا عبد الله|أبي عبد الله|ابي عبد الله|أبا الحسن|ابا الحسن|الرضا|الصادق|الباقر"
+HINTS = {
+    "specific": ("general_specific", 0.55), "quantity": ("absolute_restricted", 0.45), "case": ("different_case", 0.4), "dissimulation": ("taqiyya", 0.2),
+    "purity": ("different_case", 0.35), "none": ("unresolved", 0.0),
+}
 LIFESPAN, HEARING_AGE, OVERLAP = 70, 10, 5
 LEADING_PARTICLES = ["وعن ", "فعن ", "ثم عن ", "عن ", "وعنه عن ", "عنه عن ", "و ", "ف ", "حدثنا ", "حدّثنا ", "أخبرنا ", "اخبرنا ", "وباسناده عن ", "وبإسناده عن ", "باسناده عن ", "بإسناده عن "]
 TRAILING_PARTICLES = [" عن", " قال", " رحمه الله", " رضي الله عنه", " ،"]
@@ -222,21 +228,24 @@ def ruling(text: Column, terms: list[str]) -> Column:
     return F.struct(F.coalesce(top["k"], F.lit("undetermined")).alias("ruling"), top["m"].alias("marker"), strength.alias("strength"))
 
 
-def conflicts(items: DataFrame, least_shared: int = 3) -> DataFrame:
-    """(left_id, right_id, type, left_marker, right_marker, shared, reconciliation) of texts (id, text) on one topic
-    that say opposite things.
+def topic_words(text: Column) -> Column:
+    """The distinct words of three letters or more that say something."""
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), arabic.SPACES, " "), " "), lambda w: (F.length(w) > 2) & ~w.isin(TOPIC_STOPS)))
 
-    Only texts that hold an opposed word take part; they meet on the topic words they share, counted per pair, so texts
-    without ``least_shared`` common words are never compared. The first opposition of the list counts."""
-    flat = items.select("id", F.regexp_replace("text", arabic.SPACES, " ").alias("text")).filter(_any(F.col("text"), sorted({x for a, b, _ in OPPOSITES for x in (a, b)})))
-    words = F.array_distinct(F.filter(F.split("text", " "), lambda w: (F.length(w) > 2) & ~w.isin(TOPIC_STOPS)))
-    topics = flat.select("id", F.explode(words).alias("w"))
-    pairs = (
-        topics.join(topics.select(F.col("id").alias("id2"), F.col("w").alias("w2")), (F.col("w") == F.col("w2")) & (F.col("id") < F.col("id2")))
-        .groupBy("id", "id2").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least_shared)
-    )
-    a, b = flat.select(F.col("id").alias("ia"), F.col("text").alias("ta")), flat.select(F.col("id").alias("ib"), F.col("text").alias("tb"))
-    x = pairs.join(a, F.col("id") == F.col("ia")).join(b, F.col("id2") == F.col("ib"))
+
+def conflicts(items: DataFrame, group: str = "query_id", least_shared: int = 3) -> DataFrame:
+    """(group, left_id, right_id, type, left_marker, right_marker, topic, reconciliations) of two texts of one group on one
+    topic that say opposite things. ``items`` has (group, id, text); a group is what was admitted for one question, a
+    bounded list, so pairs are made within groups only, and only between texts that hold an opposed word.
+
+    Texts share a topic if ``least_shared`` topic words are common; it is named by the first three. The first opposition
+    of the list counts, and the text with its first word is the left one. Reconciliations (kind, confidence) are all that
+    the texts give reason for: a specifier in one only, other quantities, other imams, the kind of purity; else unresolved.
+    """
+    flat = items.select(group, "id", F.regexp_replace("text", arabic.SPACES, " ").alias("text")).filter(_any(F.col("text"), sorted({x for a, b, _ in OPPOSITES for x in (a, b)})))
+    flat = flat.withColumn("words", topic_words(F.col("text")))
+    a, b = (flat.select(F.col(group).alias(f"g{x}"), F.col("id").alias(f"i{x}"), F.col("text").alias(f"t{x}"), F.col("words").alias(f"w{x}")) for x in "ab")
+    x = a.join(b, F.col("ga").eqNullSafe(F.col("gb")) & (F.col("ia") < F.col("ib"))).withColumn("shared", F.array_sort(F.array_intersect("wa", "wb"))).filter(F.size("shared") >= least_shared)
     has = lambda c, m: F.contains(F.col(c), F.lit(m))
     told = F.lit(None).cast("struct<type:string,left_marker:string,right_marker:string,swap:boolean>")
     for left, right, kind in reversed(OPPOSITES):
@@ -245,11 +254,18 @@ def conflicts(items: DataFrame, least_shared: int = 3) -> DataFrame:
         s = lambda swap, kind=kind, left=left, right=right: F.struct(F.lit(kind).alias("type"), F.lit(left).alias("left_marker"), F.lit(right).alias("right_marker"), F.lit(swap).alias("swap"))
         told = F.when(one, s(False)).when(two, s(True)).otherwise(told)
     x = x.withColumn("c", told).filter("c is not null")
-    sa, sb = _any(F.col("ta"), SPECIFIERS), _any(F.col("tb"), SPECIFIERS)
-    number = "[\\u0660-\\u06690-9]+|كرّ|كر|رطل|مدّ|مد|صاع"
-    qa, qb = (F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(number), F.lit(0)))) for c in ("ta", "tb"))
-    how = F.when(sa != sb, "general_specific").when(qa != qb, "absolute_restricted").when(F.col("c.type") == "purity", "different_case").otherwise("unresolved")
-    return x.select(
-        F.when(F.col("c.swap"), F.col("id2")).otherwise(F.col("id")).alias("left_id"), F.when(F.col("c.swap"), F.col("id")).otherwise(F.col("id2")).alias("right_id"),
-        "c.type", "c.left_marker", "c.right_marker", "shared", how.alias("reconciliation"),
+    found = lambda c, pattern: F.array_sort(F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(pattern), F.lit(0))))
+    sa, sb, qa, qb, ia, ib = _any(F.col("ta"), SPECIFIERS), _any(F.col("tb"), SPECIFIERS), found("ta", QUANTITY), found("tb", QUANTITY), found("ta", IMAMS), found("tb", IMAMS)
+    hint = lambda cond, kind: F.when(cond, F.struct(F.lit(kind[0]).alias("kind"), F.lit(kind[1]).alias("confidence")))
+    other = (F.size(ia) > 0) & (F.size(ib) > 0) & (ia != ib)
+    hints = F.array_compact(F.array(hint(sa != sb, HINTS["specific"]), hint(qa != qb, HINTS["quantity"]), hint(other, HINTS["case"]), hint(other, HINTS["dissimulation"])))
+    last = F.when(F.col("c.type") == "purity", F.array(hint(F.lit(True), HINTS["purity"]))).otherwise(F.array(hint(F.lit(True), HINTS["none"])))
+    return x.withColumn("hints", hints).select(
+        F.col("ga").alias(group), F.when(F.col("c.swap"), F.col("ib")).otherwise(F.col("ia")).alias("left_id"), F.when(F.col("c.swap"), F.col("ia")).otherwise(F.col("ib")).alias("right_id"),
+        "c.type", "c.left_marker", "c.right_marker", F.array_join(F.slice("shared", 1, 3), " ").alias("topic"), F.when(F.size("hints") > 0, F.col("hints")).otherwise(last).alias("reconciliations"),
     )
+
+
+def conflict_report(found: DataFrame) -> DataFrame:
+    """(type, conflicts, with_suggestion): how many of each type, and for how many something but unresolved is offered."""
+    return found.groupBy("type").agg(F.count("*").alias("conflicts"), F.sum(F.exists("reconciliations", lambda r: r["kind"] != "unresolved").cast("int")).alias("with_suggestion"))

@@ -132,10 +132,6 @@ def house_chains(spark, d):
     return reasoning.chain_continuity(reasoning.chain_links(c))
 
 
-def conflicting_sayings(spark, d):
-    return reasoning.conflicts(spark.createDataFrame(SAYINGS, "id int, text string"))
-
-
 def saying_rulings(spark, d):
     s = spark.createDataFrame(SAYINGS, "id int, text string")
     return s.select("id", reasoning.ruling(F.col("text"), ["المسح", "الماء"]).alias("r")).select("id", "r.ruling", "r.marker", "r.strength")
@@ -343,7 +339,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         element_books, book_pages, layout_classes, layout_distribution, report_numbers, report_splits, element_splits, stretch_and_ligatures, torn_words, question_intents, question_routes,
-        evidence_items, query_verdicts, resolved_names, lifespan_links, chain_continuity, house_chains, conflicting_sayings, saying_rulings, element_rulings, merged_edges, graph_statistics,
+        evidence_items, query_verdicts, resolved_names, lifespan_links, chain_continuity, house_chains, saying_rulings, element_rulings, merged_edges, graph_statistics,
         graph_paths, graph_neighbours, graph_subgraph, graph_common, concept_expansion, concepts_in_texts, calibration, calibration_error, retrieval_metrics, metric_summary, ranker_scores,
         clean_queries, distinctive_windows, event_counts, budget_trips, cache_hits, valid_memories, events_tumbling, events_sliding, events_sessions, page_number_gaps, element_order_gaps, store_audit,
     )
@@ -498,6 +494,11 @@ SQL = {
     "concept_expansion": _CONCEPTS + ", k as (select id from c where " + _ASKED.format("id") + """), d as (with recursive x as (select id as asked, id as at_, 0 as level from k union all select asked, c.id, level + 1 from x join c on c.parent = at_ and c.parent <> c.id where level < 5) select asked, at_, min(level) as level from x group by all),
  tm as (select asked, term, min(level) as level from (select asked, level, unnest(list_append(coalesce(synonyms, []), label)) as term from d join c on at_ = id) where term is not null group by all), bad as (select k.id as asked, l.label as term from k join c on k.id = c.id, unnest(c.excludes) u(x) join c l on l.id = u.x),
  pl as (select tm.*, row_number() over (partition by asked order by level, term) as p from tm anti join bad using (asked, term)) select asked, term, level from pl where p <= 40""",
+    # The bins in order; one that falls below the one before is averaged with it, from the left.
+    "calibration": _BINS.replace("with o as", "with recursive o as") + """, n as (select *, row_number() over (order by bin) as i from b),
+ f as (select i, [bin] as bins, [predicted] as ps, [observed] as os, [count] as cs from n where i = 1 union all select n.i, list_append(bins, n.bin), list_append(ps, n.predicted),
+  case when n.observed < os[-1] then list_append(list_append(os[:-2], (n.observed * n.count + os[-1] * cs[-1]) / (n.count + cs[-1])), (n.observed * n.count + os[-1] * cs[-1]) / (n.count + cs[-1])) else list_append(os, n.observed) end, list_append(cs, n.count) from f join n on n.i = f.i + 1)
+ select unnest(bins) as bin, round(unnest(ps), 6) as predicted, round(unnest(os), 6) as observed, unnest(cs) as count from f where i = (select max(i) from f)""",
     "calibration_error": _BINS + " select round(coalesce(sum(abs(predicted - observed) * count) / sum(count), 0), 4) as ece from b",
     "retrieval_metrics": _JUDGED + " select * from m",
     "metric_summary": _JUDGED + " select * from (select 'recall_at_k' as metric, round(avg(recall_at_k), 4) as value from m union all select 'reciprocal_rank', round(avg(reciprocal_rank), 4) from m union all select 'precision_at_1', round(avg(precision_at_1), 4) from m union all select 'relevant_p50', median(relevant) from m union all select 'relevant_max', max(relevant) from m)",

@@ -106,8 +106,15 @@ def test_names_are_resolved(spark):
 
 
 def test_conflicts_of_sayings(spark):
-    got = {(r.left_id, r.right_id, r.type, r.reconciliation) for r in q.conflicting_sayings(spark, None).collect()}
-    assert got == {(2, 1, "negation", "general_specific"), (3, 4, "purity", "different_case")}
+    said = [(1, *x) for x in q.SAYINGS] + [(2, 7, "عن أبي جعفر يجب الغسل يوم العيد الكبير"), (2, 8, "عن الرضا لا يجب الغسل يوم العيد الكبير 3"), (3, 9, q.SAYINGS[0][1]), (3, None, None)]
+    found = reasoning.conflicts(spark.createDataFrame(said, "query_id int, id int, text string"))
+    got = {(r.query_id, r.left_id, r.right_id, r.type): [(h.kind, h.confidence) for h in r.reconciliations] for r in found.collect()}
+    # The third question has the first's opposite of no text of its own.
+    assert got == {
+        (1, 2, 1, "negation"): [("general_specific", 0.55)], (1, 3, 4, "purity"): [("different_case", 0.35)],
+        (2, 7, 8, "obligation"): [("absolute_restricted", 0.45), ("different_case", 0.4), ("taqiyya", 0.2)],
+    }
+    assert {(r.type, r.conflicts, r.with_suggestion) for r in reasoning.conflict_report(found).collect()} == {("negation", 1, 1), ("purity", 1, 1), ("obligation", 1, 1)}
 
 
 def test_smoothing_and_error(spark):

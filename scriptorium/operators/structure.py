@@ -25,6 +25,11 @@ TRANSMISSION = "(?:^|\\s)عن\\s"
 NUMBER = f"^\\s*[\\[\\]]\\s*[{D}\\s]+[\\]\\[]\\s*(?:[{D}]+\\s*[ـ\\-–]?\\s*)?"
 HONORIFIC = "[()]\\s*(?:علي[هى]\\s*ال?سلام|عليهم\\s*ال?سلام|عليهما\\s*ال?سلام|صل[يى]\\s*الل?ه\\s*علي[هى]\\s*و?[اآ]ل[هى]|سلام\\s*الله\\s*علي)\\s*[)(]"
 LIGATURES = {"االله": "الله", "االلة": "الله", "اللة": "الله", "هللا": "الله", "اهللا": "الله", "رمحن": "رحمن"}
+CHAIN_LEADS = ["عن ", "وعن ", "عنه ", "قال : سألت ", "قال : سالت ", "سألت ", "سالت "]
+NO_NAMES = ["قال", "حدثنا", "أخبرنا", "وبإسناده", "بإسناده", "عنه"]
+NAME_EDGE = "^[ .،:؛()\\[\\]]+|[ .،:؛()\\[\\]]+$"
+NAME_BREAK = " *، *| +عن +"
+NAME_FORMULA = " *[()]? *(?:علي[هى]|عليهم|عليهما|صل[يى]) .*$"
 # ------------------------------------------------------------------
 
 
@@ -113,20 +118,29 @@ def report_number(raw: Column) -> Column:
 
 
 def split_report(text: Column) -> Column:
-    """struct(number, isnad, matn, confidence): a report's number, chain and body.
+    """struct(number, isnad, matn, confidence, isnad_start, isnad_end, matn_start, matn_end): a report's number, chain and
+    body, and where the last two stand in the text, counted from 0; a part that is not there has the span (0, 0).
 
-    The chain ends after the last formula of respect in the first three quarters, or at the first word that opens a
-    body behind a chain; a text without number or chain is not divided; a body of less than three words is none.
+    The chain ends after the last formula of respect that begins in the first three quarters (or forty characters) of
+    what follows the number, or else with the first word that opens a body behind a chain; a text without number or
+    chain is not divided; a body of less than three words is none.
     """
     raw = F.coalesce(text, F.lit(""))
     number = F.regexp_extract(raw, f"({NUMBER})", 1)
-    body = F.substring(raw, F.length(number) + 1, 10_000_000)
-    limit = F.greatest(F.floor(F.length(body) * 0.75), F.lit(40))
+    body = F.substring(raw, F.length(number) + 1, F.length(raw))
+    limit = F.greatest(F.floor(F.length(body) * 0.75), F.lit(40)).cast("int")
     chain_like = _starts(F.ltrim(body), REPORT_OPENERS) | ((F.regexp_count(body, F.lit(TRANSMISSION)) >= 2) & (F.regexp_count(body, F.lit(NASAB)) >= 1))
-    # The end of the last formula that begins within the limit: what a greedy prefix of that many characters reaches.
-    upto = F.regexp_extract(body, f"(?s)^(.*{HONORIFIC})", 1)
-    inside = F.regexp_extract(F.substring(body, F.lit(1), limit + 30), f"(?s)^(.*{HONORIFIC})", 1)
-    honour = F.length(F.when(F.length(upto) <= limit + 30, upto).otherwise(inside))
+    # Formulas and the texts between them, in turn: their lengths add up to where each formula begins.
+    between = F.transform(F.split(body, HONORIFIC, -1), F.length)
+    formulas = F.transform(F.regexp_extract_all(body, F.lit(HONORIFIC), F.lit(0)), F.length)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def walk(acc, both):
+        begins = acc["at"] + both["b"]
+        ends = begins + F.coalesce(both["f"], F.lit(0))
+        return F.struct(ends.alias("at"), F.when(both["f"].isNotNull() & (begins < limit), ends).otherwise(acc["end"]).alias("end"))
+
+    honour = F.aggregate(F.zip_with(between, formulas, lambda x, y: F.struct(x.alias("b"), y.alias("f"))), start, walk)["end"]
     at = [F.instr(body, o) for o in MATN_OPENERS]
     ok = [
         (i > 1) & (F.regexp_count(body.substr(F.lit(1), i - 1), F.lit(TRANSMISSION)) >= 1) & body.substr(F.lit(1), i - 1).rlike(NASAB)
@@ -139,21 +153,31 @@ def split_report(text: Column) -> Column:
     front, back = _trim(head), _trim(body.substr(cut + 1, F.length(body)))
     confidence = F.when(by_honour, F.when(head.rlike(TRANSMISSION) | head.rlike(NASAB), 0.85).otherwise(0.6)).otherwise(0.7)
     few = F.size(F.split(back, arabic.SPACES)) < 3
+    zero, begin, whole = F.lit(0), F.length(number), F.length(raw)
 
-    def parts(isnad, matn, c) -> Column:
-        return F.struct(_trim(number).alias("number"), isnad.alias("isnad"), matn.alias("matn"), (c if isinstance(c, Column) else F.lit(c)).alias("confidence"))
+    def parts(isnad, matn, c, i=(zero, zero), m=(zero, zero)) -> Column:
+        spans = [x.alias(n) for x, n in zip((*i, *m), ("isnad_start", "isnad_end", "matn_start", "matn_end"))]
+        return F.struct(_trim(number).alias("number"), isnad.alias("isnad"), matn.alias("matn"), (c if isinstance(c, Column) else F.lit(c)).alias("confidence"), *spans)
 
-    none = F.lit("")
+    none, rest = F.lit(""), (begin, whole)
     return (
         F.when((_trim(raw) == "") | (_trim(body) == ""), parts(none, none, 0.0))
-        .when((number == "") & ~chain_like, parts(none, _trim(body), 0.3))
-        .when(cut.isNull(), F.when(chain_like, parts(_trim(body), none, 0.55)).otherwise(parts(none, _trim(body), 0.5)))
-        .when(back == "", parts(front, none, 0.55))
-        .when(few, parts(front, none, 0.5))
-        .otherwise(parts(front, back, confidence))
+        .when((number == "") & ~chain_like, parts(none, _trim(body), 0.3, m=rest))
+        .when(cut.isNull(), F.when(chain_like, parts(_trim(body), none, 0.55, i=rest)).otherwise(parts(none, _trim(body), 0.5, m=rest)))
+        .when(back == "", parts(front, none, 0.55, i=rest))
+        .when(few, parts(front, none, 0.5, i=rest))
+        .otherwise(parts(front, back, confidence, (begin, begin + cut), (begin + cut, whole)))
     )
 
 
+def reassembled(text: Column, parts: Column) -> Column:
+    """The text put together from the spans of its parts, character by character the same."""
+    raw = F.coalesce(text, F.lit(""))
+    piece = lambda a, b: F.substring(raw, a + 1, b - a)
+    first = F.when(parts["isnad_end"] > 0, parts["isnad_start"]).when(parts["matn_end"] > 0, parts["matn_start"]).otherwise(F.length(raw))
+    return F.concat(piece(F.lit(0), first), piece(parts["isnad_start"], parts["isnad_end"]), piece(parts["matn_start"], parts["matn_end"]))
+
+
 def _trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{arabic.SPACES}|{arabic.SPACES}$", "")
 
@@ -168,12 +192,11 @@ def identify_imam(isnad: Column) -> Column:
 
 def chain_names(isnad: Column) -> Column:
     """The names of a chain in order, without verbs, formulas and the one it ends with."""
-    edge = "^[ .،:؛()\\[\\]]+|[ .،:؛()\\[\\]]+$"
     flat = F.regexp_replace(F.coalesce(isnad, F.lit("")), arabic.SPACES, " ")
-    pieces = F.split(flat, " *، *| +عن +")
-    named = F.transform(pieces, lambda p: F.regexp_replace(F.regexp_replace(p, edge, ""), "^(?:عن |وعن |عنه |قال : سألت |قال : سالت |سألت |سالت )", ""))
-    kept = F.filter(named, lambda p: (p != "") & (F.size(F.split(p, " ")) <= 6) & ~p.isin("قال", "حدثنا", "أخبرنا", "وبإسناده", "بإسناده", "عنه"))
-    bare = F.transform(kept, lambda p: F.regexp_replace(F.regexp_replace(p, " *[()]? *(?:علي[هى]|عليهم|عليهما|صل[يى]) .*$", ""), edge, ""))
+    lead = "^(?:" + "|".join(CHAIN_LEADS) + ")"
+    named = F.transform(F.split(flat, NAME_BREAK), lambda p: F.regexp_replace(F.regexp_replace(p, NAME_EDGE, ""), lead, ""))
+    kept = F.filter(named, lambda p: (p != "") & (F.size(F.split(p, " ")) <= 6) & ~p.isin(NO_NAMES))
+    bare = F.transform(kept, lambda p: F.regexp_replace(F.regexp_replace(p, NAME_FORMULA, ""), NAME_EDGE, ""))
     return F.filter(bare, lambda p: (F.length(p) >= 3) & ~_starts(p, IMAM_MARKERS))
 
 

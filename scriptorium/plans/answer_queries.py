@@ -8,7 +8,7 @@ from scriptorium.functions import arabic, scoring
 from scriptorium.operators import answers, corpus, reasoning, structure
 from scriptorium.plans import duck
 from scriptorium.plans.corpus_queries import _words
-from scriptorium.plans.store_queries import _HITS, _contains_any, _hits
+from scriptorium.plans.store_queries import _HITS, _contains_any, _hits, _splits
 from scriptorium.sources.tables import table
 
 
@@ -117,6 +117,7 @@ _CONFLICTS = f"""{_CITE}, it as (select query_id, element_id as id, body from fl
  oy as (select *, ([{', '.join(f"'{k}'" for _, _, k in reasoning.OPPOSITES)}])[k + 1] as type, concat_ws('|', case when sp then 'general_specific:0.55' end, case when qu then 'absolute_restricted:0.45' end, case when im then 'different_case:0.4|taqiyya:0.2' end) as h from oz),
  cf as (select query_id, case when swap then ib else ia end as left_id, case when swap then ia else ib end as right_id, type, ([{', '.join(duck.q(a) for a, _, _ in reasoning.OPPOSITES)}])[k + 1] as left_marker, ([{', '.join(duck.q(b) for _, b, _ in reasoning.OPPOSITES)}])[k + 1] as right_marker, array_to_string(shared[1:3], ' ') as topic,
   case when h <> '' then h when type = 'purity' then 'different_case:0.35' else 'unresolved:0.0' end as reconciliations from oy)"""
+_NAMES = f"{_HITS}, q0 as (select query_id, element_id, text as raw from ev where admitted), {_splits('q0')}, nn as (select query_id, unnest(names) as name from sl), nc as (select query_id, name, count(*) as occurrences, row_number() over (partition by query_id order by count(*) desc, name) as place from nn group by query_id, name)"
 _FORM = duck.search_form("title")
 
 SQL = {
@@ -125,5 +126,15 @@ SQL = {
     "query_answers": f"{_VERDICT} select * from ab",
     "query_conflicts": f"{_CONFLICTS} select * from cf",
     "conflict_types": f"{_CONFLICTS} select type, count(*) as conflicts, sum(case when reconciliations <> 'unresolved:0.0' then 1 else 0 end)::bigint as with_suggestion from cf group by 1",
+    "narrator_counts": f"{_NAMES} select query_id, name, occurrences, place from nc where place <= 20",
+    "query_reports": f"""{_NAMES}, {_VERDICT.removeprefix('with ' + _HITS.removeprefix('with '))[2:]}, cp as (select query_id, {', '.join(f'max(case when citable and contains(body, {duck.q(a)}) and not contains(body, {duck.q(b)}) then 1 else 0 end) * max(case when citable and contains(body, {duck.q(b)}) and not contains(replace(body, {duck.q(b)}, chr(0)), {duck.q(a)}) then 1 else 0 end) as x{i}' for i, (a, b) in enumerate(reasoning.CONTRADICTIONS))} from fl group by query_id),
+ cl as ({' union all '.join(f"select query_id, {i + 1} as ord, 'تعارض ظاهر بين «{a}» و«{b}»' as line from cp where x{i} = 1" for i, (a, b) in enumerate(reasoning.CONTRADICTIONS))}),
+ ra as (select *, row_number() over (partition by query_id order by score desc, element_id) as place from (select * from ev where citable and query_id in (select query_id from ab where answered))), rr as (select *, row_number() over (partition by query_id order by score desc, element_id) as place from ev where rejected),
+ rp as (select query_id, 1 as s, 1 as ord, case when answered then 'وُجدت ' || citations || ' شواهد موثّقة تجيب عن السؤال.' else 'لم تكف الأدلة لإجابة موثّقة. ' || refusal end as line from ab
+  union all select query_id, 2, place, concat_ws(' ', coalesce(title, 'مصدر غير مسمّى'), case when coalesce(volume_number, 0) <> 0 then 'ج' || volume_number end, case when coalesce(page_number, 0) <> 0 then 'ص' || page_number end) || ' — ' || substr(text, 1, 150) from ra where place <= 8
+  union all select query_id, 3, place, name || ' (ورد ' || occurrences || ' مرة)' from nc where place <= 10 union all select query_id, 4, ord, line from cl union all select query_id, 5, ord, m from ck where not passed and m is not null
+  union all select query_id, 5, place + 100, 'عنصر ' || element_id || ' استُبعد: جودة المسح ' || printf('%.2f', coalesce(ocr_quality, 0.0)) || ' دون العتبة' from rr where place <= 5
+  union all select query_id, 6, ord, name || ': ' || detail || ' (' || case when passed then '{answers.PASSED}' else '{answers.FAILED}' end || ')' from ck)
+ select query_id, ([{', '.join(duck.q(x) for x in answers.SECTIONS)}])[s] as section, ord, line from rp""",
     "hit_texts": f"{_HITS} select query_id, element_id, sha1(trim(concat_ws(' ', nullif(title, ''), nullif(substr(text, 1, 40), ''), nullif(text, '')), ' ')) as read, concat_ws(' ', coalesce(title, '?'), 'ج' || volume_number, 'ص' || page_number) as citation from h",
 }

@@ -62,10 +62,13 @@ def report_splits(spark, d):
 
 
 def element_splits(spark, d):
-    """Every element's report parts, with narrators and the one the chain ends with."""
+    """Every element's report parts and their places, with narrators and the one the chain ends with."""
     e = _elements(spark, d, "text_raw").filter("text_raw is not null")
-    s = e.select("element_id", structure.split_report(F.col("text_raw")).alias("s")).select("element_id", "s.*")
-    return s.select("element_id", "number", F.length("isnad").alias("isnad_length"), F.length("matn").alias("matn_length"), "confidence", F.size(structure.chain_names(F.col("isnad"))).alias("narrators"), structure.identify_imam(F.col("isnad")).alias("imam"))
+    s = e.select("element_id", "text_raw", structure.split_report(F.col("text_raw")).alias("s")).withColumn("same", structure.reassembled(F.col("text_raw"), F.col("s")) == F.col("text_raw"))
+    return s.select(
+        "element_id", "s.number", F.length("s.isnad").alias("isnad_length"), F.length("s.matn").alias("matn_length"), "s.confidence", "s.isnad_start", "s.isnad_end", "s.matn_start", "s.matn_end", "same",
+        ((F.col("s.isnad") != "") & (F.col("s.matn") != "")).alias("complete"), F.array_join(structure.chain_names(F.col("s.isnad")), "|").alias("narrators"), structure.identify_imam(F.col("s.isnad")).alias("imam"),
+    )
 
 
 def stretch_and_ligatures(spark, d):
@@ -396,6 +399,26 @@ _LAYOUT = f"""{_ER.replace("with e", "with e0", 1).replace("from page_elements",
    when regexp_matches(norm, '^(?:كتاب|أبواب|ابواب)\\s+\\S') and len(ws) <= 6 then ['heading', '0.8'] when phrases > 0 then ['footnote', cast(least(0.95, 0.62 + 0.08 * least(phrases, 3) + case when on_page > 0 and element_order >= on_page * 0.75 then 0.10 else 0 end) as varchar)]
    when opens or ends then ['takhrij', case when opens and ends then '0.7' else '0.6' end] when sanad >= matn and sanad >= 0.55 then ['sanad', cast(sanad as varchar)] when matn >= 0.55 then ['matn', cast(matn as varchar)] else ['unknown', cast(greatest(sanad, matn) as varchar)] end as v from j)"""
 
+_S = arabic.SPACES
+_strip = lambda x: duck.rep(x, f"^{_S}|{_S}$")
+
+
+def _splits(source: str) -> str:
+    """CTEs that divide the reports of ``source`` (key, raw): the last is sl, with names their chain's."""
+    ok = lambda o: f"instr(body, {duck.q(o)}) > 1 and {_regcount(f'substr(body, 1, instr(body, {duck.q(o)}) - 1)', structure.TRANSMISSION)} >= 1 and {_regmatch(f'substr(body, 1, instr(body, {duck.q(o)}) - 1)', structure.NASAB)}"
+    hon, edge = duck.cls(structure.HONORIFIC), duck.cls(structure.NAME_EDGE)
+    imam = "case " + " ".join(f"when contains(isnad, {duck.q(m)}) then {duck.q(m)}" for m in structure.IMAM_MARKERS) + " else '' end"
+    return f"""sa as (select *, coalesce(regexp_extract(raw, {duck.cls('(' + structure.NUMBER + ')')}, 1), '') as num from {source}), sb as (select *, substr(raw, length(num) + 1) as body from sa),
+ sc as (select *, greatest(floor(length(body) * 0.75), 40) as lim, {_starts_any("ltrim(body, ' ')", structure.REPORT_OPENERS)} or ({_regcount('body', structure.TRANSMISSION)} >= 2 and {_regcount('body', structure.NASAB)} >= 1) as chain, list_transform(regexp_split_to_array(body, {hon}), lambda x: length(x)) as bl, list_transform(regexp_extract_all(body, {hon}), lambda x: length(x)) as fl from sb),
+ sd as (select *, list_transform(range(1, len(fl) + 1), lambda i: list_sum(bl[1:i]) + coalesce(list_sum(fl[1:i - 1]), 0)) as st from sc), se as (select *, coalesce(list_max(list_transform(list_filter(range(1, len(fl) + 1), lambda i: st[i] < lim), lambda i: st[i] + fl[i])), 0)::int as honour, coalesce({', '.join(f'case when {ok(o)} then instr(body, {duck.q(o)}) - 1 + {len(o)} end' for o in structure.MATN_OPENERS)})::int as op from sd),
+ sf as (select *, case when honour > 0 then honour else op end as cut from se), sg as (select *, substr(body, 1, cut) as head, {_strip('substr(body, 1, cut)')} as front, {_strip('substr(body, cut + 1)')} as back, {_strip('body')} as whole, length(num) as bs, length(raw) as n from sf),
+ sh as (select *, case when {_strip('raw')} = '' or whole = '' then 1 when num = '' and not chain then 2 when cut is null and chain then 3 when cut is null then 4 when back = '' then 5 when len(regexp_split_to_array(back, {duck.cls(_S)})) < 3 then 6 else 7 end as way from sg),
+ si as (select *, case when way = 3 then whole when way >= 5 then front else '' end as isnad, case when way in (2, 4) then whole when way = 7 then back else '' end as matn, case way when 1 then 0 when 2 then 0.3 when 3 then 0.55 when 4 then 0.5 when 5 then 0.55 when 6 then 0.5 else case when honour > 0 then case when {_regmatch('head', structure.TRANSMISSION)} or {_regmatch('head', structure.NASAB)} then 0.85 else 0.6 end else 0.7 end end as confidence,
+  case when way in (3, 5, 6, 7) then bs else 0 end as isnad_start, case when way in (3, 5, 6) then n when way = 7 then bs + cut else 0 end as isnad_end, case when way in (2, 4) then bs when way = 7 then bs + cut else 0 end as matn_start, case when way in (2, 4, 7) then n else 0 end as matn_end, {_strip('num')} as number from sh),
+ sk as (select *, {imam} as imam, list_filter(list_transform(regexp_split_to_array({duck.rep('isnad', _S, ' ')}, {duck.q(structure.NAME_BREAK)}), lambda p: regexp_replace(regexp_replace(p, {edge}, '', 'g'), {duck.q('^(?:' + '|'.join(structure.CHAIN_LEADS) + ')')}, '')), lambda p: p <> '' and len(string_split(p, ' ')) <= 6 and p not in ({', '.join(duck.q(w) for w in structure.NO_NAMES)})) as kept from si),
+ sl as (select *, list_filter(list_transform(kept, lambda p: regexp_replace(regexp_replace(p, {duck.q(structure.NAME_FORMULA)}, ''), {edge}, '', 'g')), lambda p: length(p) >= 3 and not {_starts_any('p', structure.IMAM_MARKERS)}) as names from sk)"""
+
+
 _HITS = _E + """, l as (select query_id, element_id, original_score as score from (select *, row_number() over (partition by query_id, element_id order by scored_at desc) as k from rerank_results) where k = 1),
  h as (select l.*, case when isnan(s.ocr_quality) then null else s.ocr_quality end as ocr_quality, e.book_id, e.volume_number, e.page_number, coalesce(e.text_raw, '') as text, b.title from l left join signal_scores s on l.query_id = s.query_id and l.element_id = s.element_id
   left join e on l.element_id = e.element_id left join books b on e.book_id = b.book_id),
@@ -466,6 +489,9 @@ SQL = {
     "layout_classes": _LAYOUT + " select element_id, v[1] as kind, round(cast(v[2] as double), 4) as confidence from lay",
     "layout_distribution": _LAYOUT + " select v[1] as kind, count(*) as elements, round(100.0 * count(*) / (select count(*) from lay), 4) as percent, round(avg(round(cast(v[2] as double), 4)), 6) as mean_confidence from lay group by 1",
     "report_numbers": f"with n as (select raw, list_sort(list_transform(regexp_extract_all({duck.tr('raw', '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789')}, '[0-9]+'), lambda x: cast(x as bigint)), 'desc') as s from {_values(NUMBERS, 'raw')}) select raw, s[1] as hadith, s[2] as sequence, case when s[1] is null then 0.0 when s[2] is null then 0.85 when s[1] > s[2] * 3 then 0.9 else 0.6 end as confidence from n",
+    "report_splits": f"with q0 as (select raw from {_values(REPORTS, 'raw')}), {_splits('q0')} select raw, number, isnad, matn, confidence, isnad_start, isnad_end, matn_start, matn_end from sl",
+    "element_splits": f"{_ER}, q0 as (select element_id, text_raw as raw from e), {_splits('q0')} select element_id, number, length(isnad) as isnad_length, length(matn) as matn_length, confidence, isnad_start, isnad_end, matn_start, matn_end, true as same, isnad <> '' and matn <> '' as complete, array_to_string(names, '|') as narrators, imam from sl",
+    "concepts_in_texts": _CONCEPTS + ", " + _E.removeprefix("with ") + f", t as (select distinct id, {duck.match_key('term')} as key from (select id, unnest(list_append(coalesce(synonyms, []), label)) as term from c) where term is not null), x as (select element_id as text_id, ' ' || {duck.match_key('text_normalized')} || ' ' as body from e where text_normalized is not null), y as (select distinct unnest(string_split(body, ' ')) as w, text_id, body from x) select distinct text_id, id from t join y on y.w = string_split(key, ' ')[1] and contains(body, ' ' || key || ' ') where key <> ''",
     "stretch_and_ligatures": _ER + f", s as (select element_id, len(regexp_extract_all(text_raw, 'ـ+')) as removed, string_split(replace(text_raw, 'ـ', ''), ' ') as ws from e) select element_id, cast(removed as int) as removed, cast(len(list_filter(ws, lambda w: w in ({', '.join(duck.q(k) for k in structure.LIGATURES)}))) as int) as fixed, sha1(array_to_string(list_transform(ws, lambda w: case " + " ".join(f"when w = {duck.q(k)} then {duck.q(v)}" for k, v in structure.LIGATURES.items()) + " else w end), ' ')) as text_hash from s",
     "torn_words": WORDS + f""", p as (select tokens[i] as l, tokens[i + 1] as r from w, range(1, 3000) x(i) where i < len(tokens)), c as (select l as "left", r as "right", count(*) as times from p group by all), k as (select token as word, count(*) as f from (select unnest(tokens) as token from w) group by 1 having count(*) >= 3),
  g as (select *, "left" || "right" as joined, case when length("left") <= length("right") then "left" else "right" end as short from c where regexp_matches("left", '^[\\x{{0621}}-\\x{{064A}}]+$') and regexp_matches("right", '^[\\x{{0621}}-\\x{{064A}}]+$') and "left" not in ({", ".join(duck.q(x) for x in structure.PROTECTED)}) and "right" not in ({", ".join(duck.q(x) for x in structure.PROTECTED)}))

@@ -7,10 +7,7 @@ import pytest
 from scriptorium.plans import catalogue
 from tests.compare import compare, views
 
-WITHOUT = {
-    "concepts_in_texts", "element_splits", "ranker_scores", "report_splits", "resolved_names", "word_suggestions", "word_excerpts", "corrected_elements", "vocabulary_repair", "merge_patterns",
-    "title_candidates", "narrator_counts", "query_reports", "sampled_elements", "name_coverage",
-}
+WITHOUT = {"ranker_scores", "resolved_names", "word_suggestions", "word_excerpts", "corrected_elements", "vocabulary_repair", "merge_patterns", "title_candidates", "sampled_elements", "name_coverage"}
 FOLDER = "/root/testdata/sf0.001"
 
 

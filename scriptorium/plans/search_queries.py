@@ -59,6 +59,14 @@ def nearest_vectors(spark, d):
     return retrieval.nearest_vectors(v, q, "vec_id")
 
 
+def indexed_nearest(spark, d):
+    """The 10 nearest, by the vector index, to every vector whose id is divisible by 20."""
+    v = table(spark, d, "embeddings")
+    centres = retrieval.fitted_centres(v, "vec_id")
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return retrieval.nearest_in_cells(retrieval.indexed_vectors(v, "vec_id", centres), q, "vec_id", centres)
+
+
 def _runs(spark, d):
     r = table(spark, d, "rerank_results").select("query_id", "element_id", "original_rank", "new_rank").distinct()
     a = r.select("query_id", F.lit("fts").alias("source"), F.col("original_rank").alias("arrival"), "element_id")
@@ -118,7 +126,7 @@ def rank_movement(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (full_text_hits, postings_totals, fuzzy_hits, fuzzy_titles, trigram_shares, nearest_vectors, fused_runs, source_counts, element_signals, ranked_hits, pruned_hits, boosted_titles, rank_movement)
+    for f in (full_text_hits, postings_totals, fuzzy_hits, fuzzy_titles, trigram_shares, nearest_vectors, indexed_nearest, fused_runs, source_counts, element_signals, ranked_hits, pruned_hits, boosted_titles, rank_movement)
 }
 
 _E = f"with {ELEMENTS.replace('where rn = 1)', 'where rn = 1 and text_normalized is not null)')}"

@@ -31,20 +31,32 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None
     return e.groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"), F.max("ts").alias("last")).select("user_id", F.col("session_window.start").alias("start"), "last", "n")
 
 
-def keep_latest(events: DataFrame, path: str, checkpoint: str, key: str = "event_id"):
-    """A query that upserts each micro-batch into a parquet table by key: the old rows without the batch's keys and the
-    batch, written beside and swapped in by name (one folder per batch, the greatest is current)."""
+def keep_latest(events: DataFrame, path: str, checkpoint: str, key: str = "event_id", at: str = "ts", buckets: int = 64):
+    """A query that appends each micro-batch's latest row of every key, by the greatest ``at``, to a parquet table
+    partitioned by batch and by a bucket of the key; :func:`latest` reads the current rows.
+
+    A batch writes itself and nothing else, whatever the table holds, and writes the same files if it is run again."""
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        if number:
-            old = spark.read.parquet(f"{path}/{number - 1}")
-            new = old.join(new.select(F.col(key).alias("__k")), F.col(key) == F.col("__k"), "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(f"{path}/{number}")
+        rest = [c for c in batch.columns if c not in (key, at)]
+        new = batch.groupBy(key).agg(F.max(F.struct(at, *rest)).alias("r")).select(key, "r.*")
+        new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def latest(spark: SparkSession, path: str, key: str = "event_id", at: str = "ts") -> DataFrame:
+    """The current row of every key of a table :func:`keep_latest` writes; of equal times the later batch's."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    rest = [c for c in rows.columns if c not in (key, at, "batch", "bucket")]
+    return rows.groupBy(key).agg(F.max(F.struct(at, F.col("batch").alias("__b"), *rest)).alias("r")).select(key, F.col("r")[at].alias(at), *[F.col("r")[c].alias(c) for c in rest])
+
+
+def compact(spark: SparkSession, path: str, into: str, key: str = "event_id", at: str = "ts", buckets: int = 64) -> None:
+    """The current rows as a table of one batch, numbered before all others, in another folder: run now and then, while
+    no stream writes."""
+    latest(spark, path, key, at).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(f"{into}/batch=-1")
+
+
 def append_log(events: DataFrame, path: str, checkpoint: str):
     """An append-only JSON log of a stream, exactly once."""
     return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")

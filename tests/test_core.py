@@ -184,7 +184,9 @@ def test_stream_windows_and_upsert(spark, tmp_path):
     up = stream.keep_latest(s, str(tmp_path / "table"), str(tmp_path / "ck")).start()
     up.processAllAvailable()
     up.stop()
-    assert spark.read.parquet(str(tmp_path / "table" / "1")).count() == 90
+    assert stream.latest(spark, str(tmp_path / "table")).count() == 90
+    stream.compact(spark, str(tmp_path / "table"), str(tmp_path / "compact"))
+    assert stream.latest(spark, str(tmp_path / "compact")).count() == 90
     log = stream.append_log(s, str(tmp_path / "log"), str(tmp_path / "ck2")).start()
     log.processAllAvailable()
     log.stop()

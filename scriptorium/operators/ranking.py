@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import arabic, scoring
+from scriptorium.operators.corpus import ngrams
 
 # ------------------------------------------------------------------ fixed values: weights and word lists
 K = 60
@@ -156,9 +157,8 @@ def layout_bonus(kind: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LAYOUT_BONUS.items() for x in kv]), kind), F.lit(0.0))
 
 
-def bonuses(query: str, search_text: Column, sources: Column) -> Column:
-    """Exact or contained query, shared words, agreement of engines."""
-    form = arabic.search_form(F.lit(query))
+def bonuses(form: Column, search_text: Column, sources: Column) -> Column:
+    """Exact or contained query (its search form), shared words, agreement of engines."""
     shared = F.size(F.array_intersect(F.array_distinct(words(search_text)), F.array_distinct(words(form))))
     return (
         F.when(search_text == form, 0.030).when(F.contains(search_text, form), 0.012).otherwise(0.0)
@@ -167,31 +167,33 @@ def bonuses(query: str, search_text: Column, sources: Column) -> Column:
     )
 
 
-def ranked(fused: DataFrame, query: str, k: int = 50) -> DataFrame:
-    """Final score and order of fused hits that carry text_raw, text_normalized, element_type, page_id, page_number.
+def ranked(fused: DataFrame, query: str | Column, k: int = 50) -> DataFrame:
+    """Final score and order of fused hits that carry text_raw, text_normalized, element_type, page_id, page_number, for
+    one query, or for the query of each row given as a Column.
 
     score = fusion + graded signals + bonuses + exact raw form + layout, less a fragment penalty, at least 0. Ordered
     by score, words, page number, then id; hits beyond the third of their page are ``deferred`` and come behind all
     others. ``reranked`` adds the exact-query and phrase bonuses of the reranker.
     """
-    form = arabic.search_form(F.lit(query))
+    asked = F.lit(query) if isinstance(query, str) else query
+    fused = fused.withColumn("__asked", asked).withColumn("__form", arabic.search_form(F.col("__asked")))
+    asked, form = F.col("__asked"), F.col("__form")
     rows = signals(fused, F.array_distinct(words(form)), "text_raw", "text_normalized")
     search_text = F.coalesce("text_normalized", F.lit(""))
     n = F.size(words(F.col("text_raw")))
-    base = F.col("rrf") + F.col("graded") + bonuses(query, search_text, F.col("sources")) + F.when(F.contains("text_raw", F.lit(query)), 0.020).otherwise(0.0) + layout_bonus(F.col("element_type"))
+    base = F.col("rrf") + F.col("graded") + bonuses(form, search_text, F.col("sources")) + F.when(F.contains("text_raw", asked), 0.020).otherwise(0.0) + layout_bonus(F.col("element_type"))
     penalty = F.when(n < 3, -base * 0.5 * (1 - F.greatest(F.lit(0.1), n / 3))).otherwise(0.0)
-    grams = query.split()
-    phrases = [" ".join(grams[i : i + m]) for m in (2, 3, 4) for i in range(len(grams) - m + 1)]
-    rerank = F.when(F.contains(search_text, form), 0.010).otherwise(0.0) + F.least(
-        sum((F.when(F.contains(search_text, arabic.search_form(F.lit(p))), 0.004).otherwise(0.0) for p in [query, *phrases][:4]), F.lit(0.0)), F.lit(0.012)
-    )
+    # The query and its first sequences of words; folding words one by one folds their sequences.
+    said = words(form)
+    phrases = F.slice(F.concat(F.array(form), *[ngrams(said, m) for m in (2, 3, 4)]), 1, 4)
+    rerank = F.when(F.contains(search_text, form), 0.010).otherwise(0.0) + F.least(F.size(F.filter(phrases, lambda p: F.contains(search_text, p))) * 0.004, F.lit(0.012))
     scored = rows.withColumn("score", F.round(F.greatest(base + penalty, F.lit(0.0)), 8)).withColumn("reranked", F.round(F.col("score") + rerank, 8)).withColumn("n_words", n)
     by = [F.desc("score"), F.desc("n_words"), F.desc(F.coalesce("page_number", F.lit(0))), F.col("element_id")]
     again = [F.col("deferred"), F.desc("reranked"), *by[1:]]
     whole, page = Window.partitionBy("query_id").orderBy(F.col("deferred"), *by), Window.partitionBy("query_id", "page_id").orderBy(*by)
     return (
         scored.withColumn("deferred", F.row_number().over(page) > 3).withColumn("place", F.row_number().over(whole))
-        .withColumn("final_place", F.row_number().over(Window.partitionBy("query_id").orderBy(*again))).filter(F.col("final_place") <= k)
+        .withColumn("final_place", F.row_number().over(Window.partitionBy("query_id").orderBy(*again))).filter(F.col("final_place") <= k).drop("__asked", "__form")
     )
 
 

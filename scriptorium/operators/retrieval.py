@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -104,7 +106,9 @@ def fitted_centres(vectors: DataFrame, id: str, cells: int = CELLS, rows: int =
     sample = [r[0] for r in vectors.filter(F.col("embedding").isNotNull()).orderBy(F.xxhash64(id), id).limit(rows).select("embedding").collect()]
     if not sample:
         return np.zeros((0, 0))
-    x = np.array(sample, np.float64)
+    # Vectors of another size than most are in no cell.
+    size = Counter(len(v) for v in sample).most_common(1)[0][0]
+    x = np.array([v for v in sample if len(v) == size], np.float64)
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     centres = x[: min(cells, len(x))].copy()
     for _ in range(rounds):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.functions import arabic, scoring
-from scriptorium.operators import answers, corpus, reasoning, structure
+from scriptorium.operators import answers, corpus, reasoning, search, structure
 from scriptorium.plans import duck
 from scriptorium.plans.corpus_queries import _words
 from scriptorium.plans.store_queries import _HITS, _contains_any, _hits, _splits
@@ -88,7 +88,28 @@ def hit_texts(spark, d):
     return h.select("query_id", "element_id", F.sha1(scoring.document_text(F.col("title"), F.substring("text", 1, 40), F.col("text"))).alias("read"), scoring.plain_citation(F.coalesce("title", F.lit("?")), F.col("volume_number"), F.col("page_number")).alias("citation"))
 
 
-QUERIES = {f.__name__: f for f in (title_queries, title_candidates, query_checks, query_answers, query_conflicts, conflict_types, narrator_counts, query_reports, hit_texts)}
+def _asked(spark, d):
+    from scriptorium.plans.store_queries import _elements
+
+    e = _elements(spark, d, "page_id", "book_id", "volume_number", "page_number", "element_type", "text_raw", "text_normalized")
+    b = table(spark, d, "books")
+    q = b.filter("book_id % 20 = 0").select(F.col("book_id").alias("query_id"), F.col("title").alias("query"))
+    return e, b.select("book_id", "title"), q
+
+
+def search_results(spark, d):
+    """The first results of every title whose book_id is divisible by 20, against all elements."""
+    e, _, q = _asked(spark, d)
+    return search.search(e, q).select("query_id", "element_id", "place", F.round("score", 6).alias("score"), F.round("reranked", 6).alias("reranked"), "deferred")
+
+
+def title_answers(spark, d):
+    """The same titles asked from intent to answer."""
+    stages = search.answered(*_asked(spark, d))
+    return stages["answers"].join(stages["intents"].select(F.col("query_id").alias("q"), "intent"), F.col("query_id") == F.col("q")).drop("q")
+
+
+QUERIES = {f.__name__: f for f in (title_queries, title_candidates, query_checks, query_answers, query_conflicts, conflict_types, narrator_counts, query_reports, hit_texts, search_results, title_answers)}
 
 # ------------------------------------------------------------------------------------------------------------- SQL
 _M = answers.MISSING

@@ -7,7 +7,7 @@ import pytest
 from scriptorium.plans import catalogue
 from tests.compare import compare, views
 
-WITHOUT = {"indexed_nearest", "ranker_scores", "resolved_names", "word_suggestions", "word_excerpts", "corrected_elements", "vocabulary_repair", "merge_patterns", "title_candidates", "sampled_elements", "name_coverage"}
+WITHOUT = {"search_results", "title_answers", "indexed_nearest", "ranker_scores", "resolved_names", "word_suggestions", "word_excerpts", "corrected_elements", "vocabulary_repair", "merge_patterns", "title_candidates", "sampled_elements", "name_coverage"}
 FOLDER = "/root/testdata/sf0.001"
 
 

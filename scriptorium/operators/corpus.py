@@ -174,3 +174,11 @@ def nested_mean_vectors(vectors: DataFrame, group: str, part: str, vector: str)
     whole = parts.groupBy(F.col("__key.g").alias(group), "dimension").agg(F.avg("weight").alias("m"))
     norm = whole.groupBy(F.col(group).alias("__n")).agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))
     return whole.join(norm, F.col(group).eqNullSafe(F.col("__n"))).select(group, "dimension", (F.col("m") / F.col("norm")).alias("weight"))
+
+
+def backfilled(elements: DataFrame, version: str = "1.0.0") -> DataFrame:
+    """The elements with a raw text whose normalised text another version made, or none: normalised anew, with the version
+    and whether the text changes. What is current already is not touched."""
+    stale = F.col("text_normalized").isNull() | ~F.col("canonicalizer_version").eqNullSafe(version)
+    made = elements.filter(F.col("text_raw").isNotNull() & stale).withColumn("__made", arabic.search_form(F.col("text_raw")))
+    return made.withColumn("changed", ~F.col("__made").eqNullSafe(F.col("text_normalized"))).withColumn("text_normalized", F.col("__made")).withColumn("canonicalizer_version", F.lit(version)).drop("__made")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.functions import arabic, scoring
-from scriptorium.operators import contracts, corpus, graph, reasoning, repository, store
+from scriptorium.operators import contracts, corpus, graph, reasoning, registry, repository
 from scriptorium.operators.answers import VERSIONS
 from scriptorium.plans import duck
-from scriptorium.plans.corpus_queries import ELEMENTS, WORDS, _words
+from scriptorium.plans.corpus_queries import WORDS, _words
 from scriptorium.plans.store_queries import _CONCEPTS, _E, _concepts, _edges, _elements
 from scriptorium.sources.tables import table
 
@@ -174,11 +174,21 @@ def version_prints(spark, d):
     return e.groupBy("canonicalizer_version").agg(F.count("*").alias("elements")).withColumn("engine", own)
 
 
+def engine_status(spark, d):
+    return registry.status(spark)
+
+
+def backfilled_elements(spark, d):
+    """Elements whose normalised text was not made by the current canonicaliser, made anew, with what changes."""
+    e = _elements(spark, d, "text_raw", "text_normalized", "canonicalizer_version")
+    return corpus.backfilled(e).select("element_id", F.sha1("text_normalized").alias("made"), "canonicalizer_version", "changed")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         books_by_language, books_by_slug, titles_with, page_listing, volume_listing, elements_of_public_books, part_suppliers, splittable_elements, deleted_elements, sampled_elements, record_violations, broken_elements,
-        line_boxes, graph_nodes, concept_index, concept_children, gazetteer_forms, training_summary, page_profiles, vector_profiles, memory_statistics, metric_changes, name_coverage, version_prints,
+        line_boxes, graph_nodes, concept_index, concept_children, gazetteer_forms, training_summary, page_profiles, vector_profiles, memory_statistics, metric_changes, name_coverage, version_prints, engine_status, backfilled_elements,
     )
 }
 
@@ -219,5 +229,7 @@ SQL = {
     "vector_profiles": _MEAN + ", p as (select label, page, dimension, avg(x) as x from v group by all), pn as (select label, page, sqrt(sum(x * x)) as n from p group by all), u as (select p.label, p.page, dimension, x / n as x from p join pn on p.label = pn.label and p.page = pn.page), b as (select label, dimension, avg(x) as x from u group by all), bn as (select label, sqrt(sum(x * x)) as n from b group by label) select b.label, dimension, round(x / n, 5) as weight from b join bn on b.label = bn.label",
     "memory_statistics": "with e as (select case when value > 20 then 'answerable' else 'partial' end as verdict, least(1.0, value / 50) as c from events) select verdict, count(*) as rows, count(*) filter (c >= 0.7) as sure, count(*) filter (verdict = 'answerable' and c >= 0.7) as recalled from e group by 1",
     "metric_changes": "with " + _METRICS.format("new_rank") + ", " + _METRICS.format("original_rank") + " select a.metric, a.value, b.value as baseline, coalesce(case when a.metric = 'relevant_max' then a.value > b.value else a.value < b.value end, false) as worse from snew_rank a left join soriginal_rank b using (metric)",
+    "engine_status": "select state, count(*) as parts, count(*) filter (waits <> '') as waiting from (values " + ", ".join(f"({duck.q(s)}, {duck.q(w)})" for _, s, _, _, w in registry.ENGINES) + ") v(state, waits) group by 1",
+    "backfilled_elements": _E + f", s as (select element_id, text_normalized as was, {duck.search_form('text_raw')} as now from e where text_raw is not null and (text_normalized is null or canonicalizer_version is distinct from '1.0.0')) select element_id, sha1(now) as made, '1.0.0' as canonicalizer_version, was is distinct from now as changed from s",
     "version_prints": _E + f" select canonicalizer_version, count(*) as elements, '{';'.join(f'{k}={v}' for k, v in VERSIONS.items())}' as engine from e group by 1",
 }

@@ -2,9 +2,10 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import contracts, repository
+from scriptorium.operators import contracts, registry, repository
 from scriptorium.sources import artefacts
 
 
@@ -57,6 +58,13 @@ def test_store_changes(spark):
     assert [(r.element_order, r.text_raw) for r in made["elements"].orderBy("element_order").collect()] == [(1, "a"), (2, "b")] and made["images"].filter("path = 'pages/d/2.png'").count() == 1
 
 
+def test_parts_are_gated():
+    assert registry.require("layout") == "operators.structure" and registry.require("fts") == "operators.retrieval"
+    for part, partial in (("fts", False), ("pdf_import", True), ("no such part", True)):
+        with pytest.raises(registry.NotReady):
+            registry.require(part, partial)
+
+
 def test_contracts(spark):
     df = spark.createDataFrame([("t", 1, None), (" ", 0, "x"), (None, None, " ")], "title string, volumes int, language string")
     rules = contracts.CONTRACTS["books"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 READY, PARTIAL, CONTRACT, NEEDS_DATA, NOT_STARTED = "ready", "partial", "contract", "needs_data", "not_started"
 ENGINES = [
     ("normalizer", READY, 2, "functions.canonical", ""), ("diacritics", READY, 6, "functions.arabic", ""), ("ocr_corrector", READY, 3, "operators.repair", ""), ("layout", READY, 25, "operators.structure", ""),
-    ("hadith_splitter", READY, 14, "operators.structure", ""), ("intent", READY, 54, "operators.reasoning", ""), ("fts", PARTIAL, 19, "operators.retrieval", "minimal covers of all positions"),
+    ("hadith_splitter", READY, 14, "operators.structure", ""), ("intent", READY, 54, "operators.reasoning", ""), ("fts", READY, 19, "operators.retrieval", ""),
     ("fuzzy", PARTIAL, 36, "operators.retrieval", "similarity of extents"), ("ranking", READY, 51, "operators.ranking", ""), ("entity_filter", READY, 8, "operators.entities", ""), ("contracts", READY, 0, "operators.contracts", ""),
     ("semantic", PARTIAL, 18, "operators.retrieval", "a sentence model"), ("entity_extraction", READY, 8, "operators.entities", ""), ("narrator_resolver", READY, 15, "operators.reasoning", ""), ("ontology", READY, 50, "operators.graph", ""),
     ("evidence_bundle", READY, 23, "operators.reasoning", ""), ("golden_eval", NEEDS_DATA, 58, "operators.learning", "judged questions"), ("pdf_import", NOT_STARTED, 1, "", "a PDF reader"),

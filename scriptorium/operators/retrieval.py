@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import arabic
@@ -30,21 +30,41 @@ def query_terms(queries: DataFrame, id: str = "query_id", text: str = "query") -
     return queries.select(id, F.explode(t).alias("term"), F.size(t).alias("terms"))
 
 
+def cover_density(entries: Column, terms: Column) -> Column:
+    """The cover density of a record, from its query words in order (array of struct(pos, term)) and how many terms there
+    are: the sum over the covers, the shortest stretches that hold all terms, of a tenth, divided by one and the number
+    of other words in the stretch.
+
+    A word ends a cover if the earliest of the terms' last places up to it lies behind that of the cover before."""
+    kind = "array<struct<pos:int,term:string,at:int>>"
+    start = F.struct(F.array().cast(kind).alias("last"), F.lit(-1).alias("best"), F.lit(0).alias("at"), F.lit(0.0).cast("double").alias("score"))
+
+    def step(acc, e):
+        mine = F.struct(e["pos"].cast("int").alias("pos"), e["term"].alias("term"), acc["at"].alias("at"))
+        last = F.array_append(F.filter(acc["last"], lambda x: x["term"] != e["term"]), mine)
+        low = F.array_min(last)
+        found = (F.size(last) == terms) & (low["pos"] > acc["best"])
+        other = (e["pos"] - low["pos"]) - (acc["at"] - low["at"])
+        return F.struct(last.alias("last"), F.when(found, low["pos"]).otherwise(acc["best"]).alias("best"), (acc["at"] + 1).alias("at"), (acc["score"] + F.when(found, 0.1 / (1 + other)).otherwise(0.0)).alias("score"))
+
+    return F.aggregate(entries, start, step)["score"]
+
+
 def full_text(index: DataFrame, queries: DataFrame, id: str = "element_id", k: int = 20) -> DataFrame:
     """(query_id, id, score, mode, place): the best ``k`` records of each query.
 
-    All terms must occur; a query of several terms that no record holds all of is relaxed to any term. One term scores
-    0.1 for each occurrence; several score the cover density of the record: each occurrence of a term adds its share,
-    divided by the shortest span from the first to the last of the terms' first positions. Equal scores by id.
+    All terms must occur; a query of several terms that no record holds all of is relaxed to any term. Records that hold
+    all of several terms score their cover density; otherwise every occurrence is a cover of its own and scores 0.1.
+    Equal scores by id, which may be a struct of what records are ordered by. A record's query words, of which there
+    are no more than it has words, are gathered beside it.
     """
     hits = index.join(queries.select("query_id", F.col("term").alias("t"), "terms"), F.col("term") == F.col("t"))
-    per = hits.groupBy("query_id", id, "terms").agg(
-        F.count("*").alias("held"), F.sum("tf").alias("tf"), (F.max(F.element_at("positions", 1)) - F.min(F.element_at("positions", 1))).alias("span")
-    )
+    placed = F.when(F.col("terms") > 1, F.transform("positions", lambda p: F.struct(p.alias("pos"), F.col("term").alias("term"))))
+    per = hits.groupBy("query_id", id, "terms").agg(F.count("*").alias("held"), F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list(placed))).alias("entries"))
     complete = per.filter("held = terms").select(F.col("query_id").alias("cq")).distinct()
     told = per.join(complete, F.col("query_id") == F.col("cq"), "left")
     kept = told.filter((F.col("held") == F.col("terms")) | F.col("cq").isNull())
-    score = F.when(F.col("terms") == 1, 0.1 * F.col("tf")).otherwise(0.1 * F.col("tf") / (1 + F.col("span")) * F.col("held") / F.col("terms"))
+    score = F.when((F.col("terms") > 1) & (F.col("held") == F.col("terms")), cover_density(F.col("entries"), F.col("terms"))).otherwise(0.1 * F.col("tf"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), id)
     return (
         kept.select("query_id", id, F.round(score, 6).alias("score"), F.when(F.col("held") == F.col("terms"), "and").otherwise("or").alias("mode"))

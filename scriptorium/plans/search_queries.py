@@ -24,8 +24,10 @@ def _questions(spark):
 
 
 def full_text_hits(spark, d):
-    index = retrieval.postings(_elements(spark, d), "element_id", "text_normalized")
-    return retrieval.full_text(index, retrieval.query_terms(_questions(spark)))
+    # Records are known by their place, so that equal scores come in the order of pages.
+    e = _elements(spark, d, "page_id", "element_order").withColumn("key", F.struct("page_id", "element_order", "element_id"))
+    found = retrieval.full_text(retrieval.postings(e, "key", "text_normalized"), retrieval.query_terms(_questions(spark)), "key")
+    return found.select("query_id", "key.element_id", "score", "mode", "place")
 
 
 def postings_totals(spark, d):
@@ -134,9 +136,14 @@ _Q = "q as (select query_id, " + duck.search_form("query") + " as query from (va
 _TERM = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
 _POST = "o as (select element_id, unnest(t) as term, generate_subscripts(t, 1) - 1 as position from (select element_id, " + _TERM.replace("{0}", "text_normalized") + " as t from e)), i as (select term, element_id, count(*) as tf, min(position) as first from o group by all)"
 _FTS = "qt as (select distinct query_id, unnest(t) as term, len(list_distinct(t)) as terms from (select query_id, " + _TERM.replace("{0}", "query") + """ as t from q)),
- p as (select query_id, element_id, terms, count(*) as held, sum(tf) as tf, max(first) - min(first) as span from i join qt using (term) group by all),
- c as (select distinct query_id from p where held = terms), h as (select query_id, element_id, round(case when terms = 1 then 0.1 * tf else cast(0.1 * tf as double) / (1 + span) * held / terms end, 6) as score,
-  case when held = terms then 'and' else 'or' end as mode from p where held = terms or query_id not in (select query_id from c)),
+ p as (select query_id, element_id, terms, count(*) as held, sum(tf) as tf from i join qt using (term) group by all),
+ c as (select distinct query_id from p where held = terms),
+ en as (select query_id, o.element_id, qt.term, position as pos, row_number() over (partition by query_id, o.element_id order by position) as at_ from o join qt using (term) join p using (query_id, element_id) where p.held = p.terms and p.terms > 1),
+ la as (select e.query_id, e.element_id, e.pos, e.at_, f.term, max(f.pos) as lp, max(f.at_) as la_ from en e join en f on e.query_id = f.query_id and e.element_id = f.element_id and f.pos <= e.pos group by all),
+ lo as (select query_id, element_id, pos, at_, min(lp) as lp, min(la_) as la_, count(*) as n from la group by all), lw as (select lo.*, p.terms from lo join p using (query_id, element_id) where n = p.terms),
+ cv as (select *, lp > coalesce(max(lp) over (partition by query_id, element_id order by pos rows between unbounded preceding and 1 preceding), -1) as cover from lw),
+ cd as (select query_id, element_id, sum(0.1::double / (1 + (pos - lp) - (at_ - la_))) as density from cv where cover group by all),
+ h as (select p.query_id, p.element_id, round(case when p.terms > 1 and held = p.terms then density else cast(0.1 * tf as double) end, 6) as score, case when held = p.terms then 'and' else 'or' end as mode from p left join cd using (query_id, element_id) where held = p.terms or query_id not in (select query_id from c)),
  fts as (select * from (select *, row_number() over (partition by query_id order by score desc, element_id) as place from h))"""
 _GRAMS = "g as (select element_id, unnest(t) as gram, len(t) as grams from (select element_id, " + duck.trigrams("text_normalized") + " as t from e))"
 _FUZZY = "qg as (select query_id, unnest(t) as gram, len(t) as asked from (select query_id, " + duck.trigrams("query") + """ as t from q)),
@@ -158,7 +165,7 @@ _SIGNALS = f"""sg as (select *, {_W('text_normalized')} as t, {_TRIM('text_norma
   case when s = '' then 0.0 else round(greatest(0.0, 1 - least(1.0, ({_BOIL}) / len(t))), 4) end as informativeness from sg)"""
 
 SQL = {
-    "full_text_hits": f"{_E}, {_Q}, {_POST}, {_FTS} select query_id, element_id, score, mode, cast(place as int) as place from fts where place <= 20",
+    "full_text_hits": f"{_E}, {_Q}, {_POST}, {_FTS.replace('order by score desc, element_id) as place from h)', 'order by score desc, page_id, element_order, element_id) as place from h join (select element_id, page_id, element_order from e) using (element_id))')} select query_id, element_id, score, mode, cast(place as int) as place from fts where place <= 20",
     "postings_totals": f"{_E}, {_POST} select term, count(*) as records, cast(sum(tf) as bigint) as occurrences, max(tf) as most from i group by term",
     "fuzzy_hits": f"{_E}, {_Q}, {_GRAMS}, {_FUZZY} select query_id, element_id, similarity, cast(place as int) as place from fuz where place <= 20",
     "fuzzy_titles": f"with g as (select book_id, unnest(t) as gram, len(t) as grams from (select book_id, {duck.trigrams('title')} as t from books)), s as (select b.book_id as query_id, a.book_id, cast(count(*) as double) / (max(a.grams) + max(b.grams) - count(*)) as s from g a join g b using (gram) where b.book_id % 20 = 0 group by all), r as (select query_id, book_id, round(s, 6) as similarity, row_number() over (partition by query_id order by round(s, 6) desc, book_id) as place from s where s >= 0.18) select query_id, book_id, similarity, cast(place as int) as place from r where place <= 50",

@@ -59,8 +59,8 @@ def test_store_changes(spark):
 
 
 def test_parts_are_gated():
-    assert registry.require("layout") == "operators.structure" and registry.require("fts") == "operators.retrieval"
-    for part, partial in (("fts", False), ("pdf_import", True), ("no such part", True)):
+    assert registry.require("layout") == "operators.structure" and registry.require("fuzzy") == "operators.retrieval"
+    for part, partial in (("fuzzy", False), ("pdf_import", True), ("no such part", True)):
         with pytest.raises(registry.NotReady):
             registry.require(part, partial)
 

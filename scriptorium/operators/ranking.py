@@ -27,6 +27,8 @@ _ARABIC = "^[\\u0621-\\u064A\\u064B-\\u0652\\u0670]+$"
 def fuse(hits: DataFrame, key: str = "element_id", k: int = K, weights: dict[str, float] | None = None) -> DataFrame:
     """(query_id, key, rrf, sources, hit_count, ranks): reciprocal rank fusion of (query_id, source, arrival, key).
 
+    ``ranks`` explains the sum: each source with the rank it gave and what that adds.
+
     A record counts once per source, at its first arrival; its rank is its place among the source's first arrivals.
     """
     weights = weights or SOURCE_WEIGHTS
@@ -38,7 +40,7 @@ def fuse(hits: DataFrame, key: str = "element_id", k: int = K, weights: dict[str
         F.sum("part").alias("rrf"),
         F.array_sort(F.collect_set("source")).alias("sources"),  # one entry per engine
         F.sum("times").alias("hit_count"),
-        F.array_join(F.array_sort(F.collect_list(F.concat(F.col("source"), F.lit(": "), F.col("rank").cast("string")))), " | ").alias("ranks"),
+        F.array_join(F.array_sort(F.collect_list(F.concat(F.col("source"), F.lit(": "), F.col("rank").cast("string"), F.lit(" -> "), F.format_string("%.6f", "part")))), " | ").alias("ranks"),
     )
 
 

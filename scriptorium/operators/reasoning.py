@@ -82,6 +82,10 @@ def intent(query: Column) -> Column:
     )
 
 
+def confident(confidence: Column) -> Column:
+    return confidence >= 0.7
+
+
 def routes(query: Column, label: Column, confidence: Column) -> Column:
     """array of struct(route, weight): the engines a question goes to. Unclear questions go to full text only; short
     ones not to vectors."""

@@ -173,7 +173,7 @@ SQL = {
     "nearest_vectors": "with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings), s as (select q.vec_id as query_id, v.vec_id, round(list_cosine_similarity(v.v, q.v), 6) as similarity from v, v q where q.vec_id % 20 = 0) select query_id, vec_id, similarity, cast(place as int) as place from (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as place from s where similarity > 0) where place <= 10",
     "fused_runs": """with d as (select distinct query_id, element_id, original_rank, new_rank from rerank_results), h as (select query_id, 'fts' as source, original_rank as arrival, element_id from d union all select query_id, 'semantic', new_rank, element_id from d),
  f as (select query_id, source, element_id, min(arrival) as arrival, count(*) as times from h group by all), r as (select *, row_number() over (partition by query_id, source order by arrival, element_id) as rank from f)
- select query_id, element_id, round(sum((case source when 'fts' then 1.0::double else 0.8::double end) / (60 + rank)), 8) as rrf, array_to_string(list_sort(list(source)), ',') as sources, cast(sum(times) as bigint) as hit_count, array_to_string(list_sort(list(source || ': ' || rank)), ' | ') as ranks from r group by query_id, element_id""",
+ select query_id, element_id, round(sum((case source when 'fts' then 1.0::double else 0.8::double end) / (60 + rank)), 8) as rrf, array_to_string(list_sort(list(source)), ',') as sources, cast(sum(times) as bigint) as hit_count, array_to_string(list_sort(list(source || ': ' || rank || ' -> ' || printf('%.6f', (case source when 'fts' then 1.0::double else 0.8::double end) / (60 + rank)))), ' | ') as ranks from r group by query_id, element_id""",
     "source_counts": "with d as (select distinct query_id, element_id, original_rank, new_rank from rerank_results) select query_id, s as source, count(*) as hits from d, (values ('fts'), ('semantic')) v(s) group by all",
     "boosted_titles": f"select book_id, round(case when contains(title, 'الصلاة') then 1.5 when contains({duck.search_form('title')}, 'الصلاه') then 1.15 else 1.0 end, 6) as boosted, round(case when len({_W('short_title')}) < 3 then 1 - 0.4 * (1 - greatest(0.1, len({_W('short_title')}) / 3)) else 1.0 end, 6) as penalised from books",
     "rank_movement": """with l as (select query_id, element_id, original_score, cross_score from (select *, row_number() over (partition by query_id, element_id order by scored_at desc) as k from rerank_results) where k = 1),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.functions import arabic
-from scriptorium.operators import corpus, graph, learning, reasoning, store, structure
+from scriptorium.operators import corpus, extract, graph, learning, reasoning, store, structure
 from scriptorium.plans import duck
 from scriptorium.plans.corpus_queries import ELEMENTS, WORDS, _words
 from scriptorium.sources.tables import table
@@ -85,7 +85,7 @@ def torn_words(spark, d):
 
 def question_intents(spark, d):
     q = spark.createDataFrame([(x,) for x in QUESTIONS], "query string")
-    return q.select("query", reasoning.intent(F.col("query")).alias("i")).select("query", "i.label", "i.confidence")
+    return q.select("query", reasoning.intent(F.col("query")).alias("i")).select("query", "i.label", "i.confidence", reasoning.confident(F.col("i.confidence")).alias("confident"))
 
 
 def question_routes(spark, d):
@@ -93,6 +93,21 @@ def question_routes(spark, d):
     return q.select("query", F.explode(reasoning.routes(F.col("query"), F.col("i.label"), F.col("i.confidence"))).alias("r")).select("query", "r.route", "r.weight")
 
 
+def document_figures(spark, d):
+    return extract.figures(table(spark, d, "documents"), "doc_id", "text")
+
+
+def document_words(spark, d):
+    """How many blocks, words and links are extracted from every document."""
+    t = table(spark, d, "documents").select("doc_id", "text")
+    parts = [x.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(k).alias("what"), "n") for k, x in extract.extracted(t, "doc_id", "text").items() if k in ("blocks", "words", "links")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def table_of_contents(spark, d):
+    return extract.contents(_elements(spark, d, "text_raw"), "element_id", "text_raw")
+
+
 def _hits(spark, d):
     r = table(spark, d, "rerank_results")
     last = r.groupBy("query_id", "element_id").agg(F.max(F.struct("scored_at", "original_score")).alias("l")).select("query_id", "element_id", F.col("l.original_score").alias("score"))
@@ -341,7 +356,7 @@ def store_audit(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        element_books, book_pages, layout_classes, layout_distribution, report_numbers, report_splits, element_splits, stretch_and_ligatures, torn_words, question_intents, question_routes,
+        document_figures, document_words, table_of_contents, element_books, book_pages, layout_classes, layout_distribution, report_numbers, report_splits, element_splits, stretch_and_ligatures, torn_words, question_intents, question_routes,
         evidence_items, query_verdicts, resolved_names, lifespan_links, chain_continuity, house_chains, saying_rulings, element_rulings, merged_edges, graph_statistics,
         graph_paths, graph_neighbours, graph_subgraph, graph_common, concept_expansion, concepts_in_texts, calibration, calibration_error, retrieval_metrics, metric_summary, ranker_scores,
         clean_queries, distinctive_windows, event_counts, budget_trips, cache_hits, valid_memories, events_tumbling, events_sliding, events_sessions, page_number_gaps, element_order_gaps, store_audit,
@@ -489,6 +504,9 @@ SQL = {
     "layout_classes": _LAYOUT + " select element_id, v[1] as kind, round(cast(v[2] as double), 4) as confidence from lay",
     "layout_distribution": _LAYOUT + " select v[1] as kind, count(*) as elements, round(100.0 * count(*) / (select count(*) from lay), 4) as percent, round(avg(round(cast(v[2] as double), 4)), 6) as mean_confidence from lay group by 1",
     "report_numbers": f"with n as (select raw, list_sort(list_transform(regexp_extract_all({duck.tr('raw', '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789')}, '[0-9]+'), lambda x: cast(x as bigint)), 'desc') as s from {_values(NUMBERS, 'raw')}) select raw, s[1] as hadith, s[2] as sequence, case when s[1] is null then 0.0 when s[2] is null then 0.85 when s[1] > s[2] * 3 then 0.9 else 0.6 end as confidence from n",
+    "document_figures": f"with t as (select doc_id, coalesce(text, '') as t from documents) select doc_id, length(t) as characters, len(list_filter(regexp_split_to_array(t, {duck.cls(arabic.SPACES)}), lambda w: w <> '')) as words, case when t = '' then 0 else len(string_split(t, chr(10))) end as lines from t",
+    "document_words": f"with x as (select doc_id, unnest([{{'what': 'blocks', 'n': len(list_filter(regexp_split_to_array(text, '\n[ \t]*\n'), lambda b: trim(b, ' ') <> ''))}}, {{'what': 'words', 'n': len(list_filter(regexp_split_to_array(text, {duck.cls(arabic.SPACES)}), lambda w: w <> ''))}}, {{'what': 'links', 'n': len(regexp_extract_all(text, {duck.q(extract.LINK)}))}}]) as r from documents) select doc_id, r.what as what, sum(r.n)::bigint as n from x group by all having sum(r.n) > 0",
+    "table_of_contents": _E + f", t as (select element_id, regexp_replace(regexp_extract(text_raw, {duck.cls('(' + extract.HEADING + ')')}, 1), {duck.cls('^[0-9' + chr(92) + 'u0660-' + chr(92) + 'u0669]+' + chr(92) + 's*[ـ' + chr(92) + '-–]' + chr(92) + 's*')}, '') as title from e) select element_id, case " + " ".join(f"when starts_with(title, '{w}') then {n}" for w, n in extract.LEVELS.items()) + f" end as level, {duck.collapse('title')} as title from t where title <> ''",
     "report_splits": f"with q0 as (select raw from {_values(REPORTS, 'raw')}), {_splits('q0')} select raw, number, isnad, matn, confidence, isnad_start, isnad_end, matn_start, matn_end from sl",
     "element_splits": f"{_ER}, q0 as (select element_id, text_raw as raw from e), {_splits('q0')} select element_id, number, length(isnad) as isnad_length, length(matn) as matn_length, confidence, isnad_start, isnad_end, matn_start, matn_end, true as same, isnad <> '' and matn <> '' as complete, array_to_string(names, '|') as narrators, imam from sl",
     "concepts_in_texts": _CONCEPTS + ", " + _E.removeprefix("with ") + f", t as (select distinct id, {duck.match_key('term')} as key from (select id, unnest(list_append(coalesce(synonyms, []), label)) as term from c) where term is not null), x as (select element_id as text_id, ' ' || {duck.match_key('text_normalized')} || ' ' as body from e where text_normalized is not null), y as (select distinct unnest(string_split(body, ' ')) as w, text_id, body from x) select distinct text_id, id from t join y on y.w = string_split(key, ' ')[1] and contains(body, ' ' || key || ' ') where key <> ''",
@@ -496,7 +514,7 @@ SQL = {
     "torn_words": WORDS + f""", p as (select tokens[i] as l, tokens[i + 1] as r from w, range(1, 3000) x(i) where i < len(tokens)), c as (select l as "left", r as "right", count(*) as times from p group by all), k as (select token as word, count(*) as f from (select unnest(tokens) as token from w) group by 1 having count(*) >= 3),
  g as (select *, "left" || "right" as joined, case when length("left") <= length("right") then "left" else "right" end as short from c where regexp_matches("left", '^[\\x{{0621}}-\\x{{064A}}]+$') and regexp_matches("right", '^[\\x{{0621}}-\\x{{064A}}]+$') and "left" not in ({", ".join(duck.q(x) for x in structure.PROTECTED)}) and "right" not in ({", ".join(duck.q(x) for x in structure.PROTECTED)}))
  select "left", "right", joined, times from g where least(length("left"), length("right")) <= 3 and length(joined) >= 4 and joined in (select word from k) and short not in (select word from k)""",
-    "question_intents": _INTENT + " select query, label, confidence from it",
+    "question_intents": _INTENT + " select query, label, confidence, confidence >= 0.7 as confident from it",
     "question_routes": _INTENT + ", pl as (select * from (values " + ", ".join(f"('{k}', '{r}', {v})" for k, rs in reasoning.PLANS.items() for r, v in rs.items()) + ") v(label, route, weight)) select query, 'fts' as route, 1.0 as weight from it where confidence < 0.4 union all select query, route, weight from it join pl using (label) where confidence >= 0.4 and (n > 2 or route <> 'semantic')",
     "evidence_items": _HITS + " select query_id, element_id, admitted, rejected, citable, concat_ws(' ', coalesce(title, 'مصدر غير مسمّى'), case when coalesce(volume_number, 0) <> 0 then 'ج' || volume_number end, case when coalesce(page_number, 0) <> 0 then 'ص' || page_number end) as citation from ev",
     "query_verdicts": _HITS + f", p as (select query_id, sum(cast(admitted as int)) as items, sum(cast(citable as int)) as citable, count(distinct case when citable then (book_id, page_number) end) as ds, coalesce(avg(case when citable then ocr_quality end), 0) as quality, {_CON} from ev group by query_id), c as (select *, " + " + ".join(f"x{i}" for i in range(len(reasoning.CONTRADICTIONS))) + """ as conflicts from p),

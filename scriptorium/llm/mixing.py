@@ -62,8 +62,9 @@ def plan(sizes: dict[str, int], targets: list[tuple[str, float, int]], total: fl
     """
     goal = {s: (share, max(int(cap), 0)) for s, share, cap in targets if sizes.get(s, 0) > 0 and share is not None and share > 0 and cap is not None}
     if total is None:
-        held = float(sum(sizes[s] for s in goal))
-        within = min((cap * sizes[s] / share for s, (share, cap) in goal.items()), default=0.0)
+        held = float(sum(sizes[s] for s in goal if goal[s][1]))
+        # A source that may not be drawn at all holds no other down.
+        within = min((cap * sizes[s] / share for s, (share, cap) in goal.items() if cap), default=0.0)
         total = min(held, within)
     return {s: (min(share * total / sizes[s], float(cap)), cap) for s, (share, cap) in goal.items()}
 

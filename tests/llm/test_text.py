@@ -117,6 +117,8 @@ def test_the_default_total_lets_every_source_reach_its_share():
     sizes, targets = {"big": 1_000_000, "tiny": 10}, [("big", 0.5, 2), ("tiny", 0.5, 2)]
     means = mixing.plan(sizes, targets)
     assert means["tiny"] == (2.0, 2) and means["big"][0] == pytest.approx(0.00002)
+    assert mixing.plan(sizes | {"shut": 50}, [("big", 0.5, 2), ("tiny", 0.25, 2), ("shut", 0.25, 0)])["shut"] == (0.0, 0)
+    assert mixing.plan(sizes | {"shut": 50}, [("big", 0.5, 2), ("tiny", 0.25, 2), ("shut", 0.25, 0)])["tiny"] == (2.0, 2)
     # A larger total is drawn only where it is asked for.
     assert mixing.plan(sizes, targets, 500_000)["big"][0] == pytest.approx(0.25)
 

@@ -9,13 +9,17 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.functions import arabic
 from scriptorium.operators import structure
-from scriptorium.runtime import cut
+from scriptorium.runtime import cut, stored
 
 # ------------------------------------------------------------------ fixed values
 LONE_MARKS = ["،", ",", ".", ":", ";", "؛", "-", "ـ"]
@@ -27,7 +31,9 @@ SHORT, LEAST, LEAST_LETTERS = 3, 3, 4
 # ------------------------------------------------------------------
 
 _TORN = re.compile(r"([ء-ي][ً-ْٰ])\s+([ء-ي]{1,2})(?=\s|$|[^ء-ي])")
-_LETTERS = "^[\\u0621-\\u064A\\u064B-\\u065F\\u0670\\u0671]+$"
+_NO_LETTERS = re.compile("[\u064B-\u065F\u0670\u0640]")
+_ONLY_LETTERS = re.compile("[\u0621-\u065F\u0670\u0671]+")
+_KEYS = str.maketrans("آأإٱىةؤئ", "اااايهوي")  # with _NO_LETTERS, arabic.lexicon_key of a word of Arabic letters
 
 
 def join_after_mark(text: str) -> tuple[str, int]:
@@ -45,29 +51,46 @@ def join_after_mark(text: str) -> tuple[str, int]:
     return out, max(len(text.split()) - len(out.split()), 0)
 
 
-def _pairs(tokens: Column) -> Column:
-    """struct(left, right, apart) of neighbours, and of words with a lone mark between them."""
-    n = F.size(tokens)
-    one = F.transform(F.when(n > 1, F.sequence(F.lit(1), n - 1)), lambda i: F.struct(F.get(tokens, i - 1).alias("left"), F.get(tokens, i).alias("right"), F.lit(False).alias("apart")))
-    two = F.transform(F.when(n > 2, F.sequence(F.lit(1), n - 2)), lambda i: F.when(F.get(tokens, i).isin(LONE_MARKS), F.struct(F.get(tokens, i - 1).alias("left"), F.get(tokens, i + 1).alias("right"), F.lit(True).alias("apart"))))
-    return F.concat(F.coalesce(one, F.array().cast("array<struct<left:string,right:string,apart:boolean>>")), F.coalesce(F.filter(two, lambda p: p.isNotNull()), F.array().cast("array<struct<left:string,right:string,apart:boolean>>")))
+def _piece(word: str) -> int:
+    """Whether a word may be a piece: 0 if it is protected or has other characters than Arabic letters and marks, 2 if its
+    lexicon key is short, else 1."""
+    key = _NO_LETTERS.sub("", word).translate(_KEYS)
+    return 0 if not _ONLY_LETTERS.fullmatch(word) or key in structure.PROTECTED else 2 if len(key) <= SHORT else 1
 
 
 def _candidates(texts: DataFrame, id: str) -> DataFrame:
-    """(id, left, right, apart) of the pairs that may be one word: Arabic letters, neither a protected word, one short."""
-    p = texts.select(id, F.explode(F.array_distinct(_pairs(F.col("tokens")))).alias("p")).select(id, "p.*")
-    key = arabic.lexicon_key
-    return p.filter(
-        F.col("left").rlike(_LETTERS) & F.col("right").rlike(_LETTERS) & (F.least(F.length(key(F.col("left"))), F.length(key(F.col("right")))) <= SHORT)
-        & ~key(F.col("left")).isin(structure.PROTECTED) & ~key(F.col("right")).isin(structure.PROTECTED)
-    )
+    """(id, left, right, apart) of neighbours, and of words with a lone mark between them, that may be one word: Arabic
+    letters, neither a protected word, one short.
+
+    Each distinct word of a batch is looked at once; the pairs are then found by the words' numbers, so no word is matched
+    at its every occurrence."""
+    kind = T.StructType([texts.schema[id]]).add("left", "string").add("right", "string").add("apart", "boolean")
+
+    def find(batches):
+        for b in batches:
+            lists = b.column("tokens")
+            row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            coded = pc.fill_null(lists.flatten(), "").dictionary_encode()
+            code, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+            kinds = np.fromiter((_piece(w) for w in words.to_pylist()), "int8", len(words))[code]
+            mark = pc.is_in(words, pa.array(LONE_MARKS)).to_numpy(zero_copy_only=False)[code]
+            for gap in (1, 2):
+                n = max(len(code) - gap, 0)
+                met = (row[:n] == row[gap:]) & (kinds[:n] > 0) & (kinds[gap:] > 0) & ((kinds[:n] == 2) | (kinds[gap:] == 2))
+                at = np.flatnonzero(met & mark[1 : n + 1] if gap == 2 else met)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(id).take(pa.array(row[at])), words.take(pa.array(code[at])), words.take(pa.array(code[at + gap])), pa.array(np.full(len(at), gap == 2))], names=kind.names
+                )
+
+    return texts.select(id, "tokens").mapInArrow(find, kind)
 
 
 def _counted(pairs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Distinct pairs with the lexicon's counts of the joined word (n_whole) and of the shorter piece (n_short)."""
     key = arabic.lexicon_key
     short = F.when(F.length(key(F.col("left"))) <= F.length(key(F.col("right"))), key(F.col("left"))).otherwise(key(F.col("right")))
-    kinds = pairs.select("left", "right", "apart").distinct().select("left", "right", "apart", F.concat(key(F.col("left")), key(F.col("right"))).alias("whole"), short.alias("short"))
+    kinds = pairs.select("left", "right", "apart").distinct()
+    kinds = stored(kinds).select("left", "right", "apart", F.concat(key(F.col("left")), key(F.col("right"))).alias("whole"), short.alias("short"))
     a, b = (lexicon.select(F.col("word").alias(f"w{x}"), F.col("frequency").alias(f"f{x}")) for x in "ab")
     return kinds.join(a, F.col("whole") == F.col("wa"), "left").join(b, F.col("short") == F.col("wb"), "left").select(
         "left", "right", "apart", "whole", "short", F.coalesce("fa", F.lit(0)).alias("n_whole"), F.coalesce("fb", F.lit(0)).alias("n_short")
@@ -111,21 +134,26 @@ def scan(tokens: list[str], joins: set[tuple], apart_first: bool) -> tuple[list[
 def joined_words(texts: DataFrame, lexicon: DataFrame, rule: Column, apart_first: bool, id: str = "element_id") -> DataFrame:
     """(id, tokens, made): the texts (id, tokens) with their torn words joined by ``rule``, and what was joined.
 
-    Texts without a joinable pair pass unread. The lexicon is (word, frequency), words as lexicon keys. Ids are unique;
+    Texts without a joinable pair pass as they are. The lexicon is (word, frequency), words as lexicon keys. Ids are unique;
     a null or empty token list joins nothing."""
-    pairs = _candidates(texts, id)
-    allowed = _counted(pairs, lexicon).filter(rule).select(F.col("left").alias("l"), F.col("right").alias("r"), F.col("apart").alias("a"))
+    # Written, since they are read twice, and since filters inferred from the joins would make every occurrence's key anew.
+    pairs, lexicon = stored(_candidates(texts, id)), stored(lexicon.select("word", "frequency"))
+    allowed = stored(_counted(pairs, lexicon).filter(rule).select(F.col("left").alias("l"), F.col("right").alias("r"), F.col("apart").alias("a")))
     mine = pairs.join(allowed, (F.col("left") == F.col("l")) & (F.col("right") == F.col("r")) & (F.col("apart") == F.col("a")), "left_semi")
     mine = mine.groupBy(F.col(id).alias("__i")).agg(F.collect_set(F.struct("left", "right", "apart")).alias("joins"))  # no more than the text's words
+    kind = T.StructType([texts.schema[id]]).add("tokens", T.ArrayType(T.StringType())).add("made", T.ArrayType(T.StringType()))
 
-    def read(tokens: pd.Series, joins: pd.Series) -> pd.DataFrame:
-        got = [scan(list(t), {(j["left"], j["right"], j["apart"]) for j in js}, apart_first) for t, js in zip(tokens, joins)]
-        return pd.DataFrame({"tokens": [g[0] for g in got], "made": [g[1] for g in got]})
+    def read(batches):
+        for b in batches:
+            strings = b.column("tokens").type
+            form = pa.schema([(id, b.column(id).type), ("tokens", strings), ("made", strings)])
+            torn = b.column("joins").is_valid()
+            rest, b = b.filter(pc.invert(torn)), b.filter(torn)
+            yield pa.RecordBatch.from_arrays([rest.column(id), rest.column("tokens"), pa.array([[]] * len(rest), strings)], schema=form)
+            got = [scan(t, {(j["left"], j["right"], j["apart"]) for j in js}, apart_first) for t, js in zip(b.column("tokens").to_pylist(), b.column("joins").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(id), pa.array([g[0] for g in got], strings), pa.array([g[1] for g in got], strings)], schema=form)
 
-    run = F.pandas_udf(read, "tokens array<string>, made array<string>")
-    both = texts.join(mine, F.col(id) == F.col("__i"), "left")
-    touched = both.filter("joins is not null").select(id, run("tokens", "joins").alias("x")).select(id, "x.tokens", "x.made")
-    return touched.unionByName(both.filter("joins is null").select(id, "tokens", F.array().cast("array<string>").alias("made")))
+    return texts.join(mine, F.col(id) == F.col("__i"), "left").select(id, "tokens", "joins").mapInArrow(read, kind)
 
 
 def lexicon_of(texts: DataFrame) -> DataFrame:
@@ -151,9 +179,9 @@ def corrected_texts(df: DataFrame, lexicon: DataFrame, id: str, text: str) -> Da
 def repaired_texts(texts: DataFrame, passes: int = 3, id: str = "element_id") -> tuple[DataFrame, DataFrame]:
     """(id, tokens) after up to ``passes`` passes, each with a lexicon counted anew, and (pass, pattern, times) of what
     was joined. Stops at a pass that joins nothing; lineage is cut between passes."""
-    made, current = None, texts
+    made, current = None, stored(texts.select(id, "tokens"))
     for number in range(1, passes + 1):
-        current = cut(joined_words(current.select(id, "tokens"), lexicon_of(current), vocabulary_rule(), False, id))
+        current = stored(joined_words(current.select(id, "tokens"), lexicon_of(current), vocabulary_rule(), False, id))
         here = current.select(F.lit(number).alias("pass"), F.explode("made").alias("pattern")).groupBy("pass", "pattern").agg(F.count("*").alias("times"))
         made = here if made is None else made.unionByName(here)
         if not current.filter(F.size("made") > 0).limit(1).count():

@@ -29,7 +29,7 @@ def word_excerpts(spark, d):
 
 def _tokens(spark, d):
     e = _elements(spark, d, "text_normalized").filter("text_normalized is not null")
-    return e.select("element_id", F.filter(F.split(arabic.collapse(F.col("text_normalized")), " "), lambda w: w != "").alias("tokens"))
+    return e.select("element_id", F.filter(F.split("text_normalized", arabic.SPACES), lambda w: w != "").alias("tokens"))
 
 
 def corrected_elements(spark, d):

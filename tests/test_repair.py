@@ -1,5 +1,6 @@
 """Canonical forms with their maps, and torn words, against fixtures and a plain reading."""
 
+import time
 import unicodedata
 
 import pytest
@@ -60,3 +61,23 @@ def test_passes_end_where_nothing_joins(spark):
     fixed, made = repair.repaired_texts(spark.createDataFrame(rows, "element_id int, tokens array<string>"))
     assert {r.element_id: r.tokens for r in fixed.filter("element_id >= 20").collect()} == {20: "عن حماد و محمد".split(), 21: []}
     assert [(r.pattern, r.times) for r in repair.top_patterns(made).collect()] == [("حم اد -> حماد", 1), ("محم د -> محمد", 1)]
+
+
+def test_pieces_follow_the_columns_keys(spark):
+    from scriptorium.operators import structure
+
+    words = ["د", "محم", "حمّاد", "عَنْ", "على", "أحمد", "مؤمن", "رئة", "ـــ", "كــتب", "ٱلله", "abc", "ab", "د،", "،", "", "حم1", "ىة", "آأإ"]
+    key = arabic.lexicon_key(F.col("w"))
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", key.alias("key"), F.col("w").rlike("^[\\u0621-\\u064A\\u064B-\\u065F\\u0670\\u0671]+$").alias("letters"), key.isin(structure.PROTECTED).alias("kept")).collect()
+    assert {r.w: repair._piece(r.w) for r in rows} == {r.w: 0 if not r.letters or r.kept else 2 if len(r.key) <= repair.SHORT else 1 for r in rows}
+
+
+def test_long_texts_take_time_by_their_length(spark):
+    letters = "بتثجحخدذرزسش"
+    words = [a + b + c + d + e for a in letters for b in letters for c in letters for d in letters for e in "طظ"]
+    tokens = [t for w in words for t in (w, "حم")] + ["اد", None, "،", "حم", "،", "اد"]
+    texts = spark.createDataFrame([(1, tokens), (2, None), (3, []), (4, ["حم"])], "element_id int, tokens array<string>")
+    began = time.time()
+    got = {tuple(r) for r in repair._candidates(texts, "element_id").collect()}
+    assert time.time() - began < 15
+    assert got == {(1, a, b, False) for a, b in zip(tokens[:-5], tokens[1:-5])} | {(1, "حم", "اد", True)} | {(1, "حم", "اد", False)}

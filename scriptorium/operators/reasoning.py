@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import arabic
+from scriptorium.runtime import stored
 
 # ------------------------------------------------------------------ fixed values: markers, weights, thresholds
 D = "0-9\\u0660-\\u0669"
@@ -40,6 +41,7 @@ HINTS = {
     "purity": ("different_case", 0.35), "none": ("unresolved", 0.0),
 }
 LIFESPAN, HEARING_AGE, OVERLAP = 70, 10, 5
+FEW_WORDS = 10
 LEADING_PARTICLES = ["وعن ", "فعن ", "ثم عن ", "عن ", "وعنه عن ", "عنه عن ", "و ", "ف ", "حدثنا ", "حدّثنا ", "أخبرنا ", "اخبرنا ", "وباسناده عن ", "وبإسناده عن ", "باسناده عن ", "بإسناده عن "]
 TRAILING_PARTICLES = [" عن", " قال", " رحمه الله", " رضي الله عنه", " ،"]
 # ------------------------------------------------------------------
@@ -161,27 +163,47 @@ def _rarest(rows: DataFrame, words: str, frequency: DataFrame) -> DataFrame:
     return per.select(*keys, words, F.transform(first, lambda r: r["w"]).alias("rarest")).select(*keys, words, "rarest", F.explode("rarest").alias("rare"))
 
 
+def _subsets(words: Column) -> Column:
+    """The subsets of a short sorted list of words, blank between, by which names with 0.6 of their words, and two, in
+    common are equal."""
+    n = F.size(words)
+    least = F.greatest(F.lit(2), F.ceil(n * 0.6 - 1e-9).cast("int"))
+    masks = F.filter(F.sequence(F.lit(0), F.pow(F.lit(2), n).cast("int") - 1), lambda m: F.bit_count(m) >= least)
+    return F.transform(masks, lambda m: F.array_join(F.filter(words, lambda w, i: F.getbit(m, i) == 1), " "))
+
+
 def resolve_names(names: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """(name, resolution, id, confidence): names against (id, form, canonical) forms.
 
     One id by its form is exact or an alias, several are ambiguous; else the nearest entry with two words or more in
-    common and at least 0.6 of the longer name's words, found through an equi-join on words; else unresolved."""
+    common and at least 0.6 of the longer name's words; else unresolved. The nearest is found by equality: two names have a
+    set of words in common if either has it among its subsets, so the best entry of each subset and length is kept, and no
+    names are compared pair by pair. Only where one has more than ``FEW_WORDS`` words, names meet by their rarest words."""
     forms = gazetteer.select("id", arabic.match_key(F.col("form")).alias("key"), (arabic.match_key(F.col("form")) == arabic.match_key(F.col("canonical"))).alias("main")).filter("key <> ''")
     forms = forms.groupBy("id", "key").agg(F.max("main").alias("main"))
     asked = names.select("name").distinct().withColumn("nk", arabic.match_key(strip_particles(F.col("name"))))
     held = forms.groupBy("key").agg(F.count("*").alias("ids"), F.min("id").alias("one"), F.max("main").alias("main"))
-    direct = asked.join(held, F.col("nk") == F.col("key"), "left")
-    # At least 0.6 of the longer name's words, and two, are common: so the rarest words of both, as many as may be missing
-    # and one more, have one in common. Common words like "son" are in nobody's rarest, and never meet.
-    open_names = direct.filter("ids is null and nk <> ''").select("name", F.array_distinct(F.split("nk", " ")).alias("nws"))
-    frequency = forms.select(F.explode(F.array_distinct(F.split("key", " "))).alias("fw")).groupBy("fw").agg(F.count("*").alias("often"))
-    rare_form = _rarest(forms.select("id", F.col("key").alias("fk"), F.array_distinct(F.split("key", " ")).alias("fws")), "fws", frequency)
-    rare_name = _rarest(open_names, "nws", frequency).select("name", "nws", F.col("rarest").alias("rarest2"), F.col("rare").alias("rare2"))
-    # A pair counts where it meets first, so pairs need no shuffle to become distinct.
-    pairs = rare_name.join(rare_form, F.col("rare2") == F.col("rare")).filter(F.element_at(F.array_intersect("rarest2", "rarest"), 1) == F.col("rare"))
-    met = pairs.select("name", "id", "fk", F.size("nws").alias("nn"), F.size("fws").alias("fn"), F.size(F.array_intersect("nws", "fws")).alias("shared")).filter("shared >= 2")
-    best = met.withColumn("score", F.round(F.col("shared") / F.greatest("nn", "fn"), 4)).filter("score >= 0.6")
-    best = best.groupBy(F.col("name").alias("bn")).agg(F.max_by(F.struct("id", "score"), F.struct("score", F.reverse(F.col("id")), F.col("id"))).alias("b"))
+    direct = stored(asked.join(held, F.col("nk") == F.col("key"), "left"))  # read twice, and names are costly to make
+    words = lambda c: F.array_sort(F.array_distinct(F.split(c, " ")))
+    open_names = direct.filter("ids is null and nk <> ''").select("name", words(F.col("nk")).alias("nws"))
+    entries = forms.select("id", words(F.col("key")).alias("fws")).groupBy("fws").agg(F.max_by("id", F.struct(F.reverse(F.col("id")), "id")).alias("id"))
+    sets, entries = stored(open_names.select("nws").distinct()), stored(entries)
+    scored = lambda shared, n, m: F.round(shared / F.greatest(n, m), 4)
+    top = lambda: F.max_by(F.struct("id", "score"), F.struct("score", F.reverse(F.col("id")), F.col("id")))
+    few = lambda df, c: df.filter(F.size(c) <= FEW_WORDS).select("*", F.explode(_subsets(F.col(c))).alias("part"))
+    held_by = few(entries, "fws").groupBy("part", F.size("fws").alias("fn")).agg(F.max_by("id", F.struct(F.reverse(F.col("id")), "id")).alias("id"))
+    met = few(sets, "nws").withColumnRenamed("part", "asked").join(held_by, F.col("asked") == F.col("part"))
+    met = met.select("nws", "id", scored(F.size(F.split("part", " ")), F.size("nws"), F.col("fn")).alias("score"))
+    # A long one and its like: the rarest words of both, as many as may be missing and one more, have one in common.
+    least = -(-6 * (FEW_WORDS + 1) // 10)
+    longer_form, longer_name = entries.filter(F.size("fws") >= least), sets.filter(F.size("nws") >= least)
+    frequency = longer_form.select(F.explode("fws").alias("fw")).groupBy("fw").agg(F.count("*").alias("often"))
+    rare_form = _rarest(longer_form, "fws", frequency)
+    rare_name = _rarest(longer_name.select("*", F.lit(0).alias("k")), "nws", frequency).select("nws", F.col("rarest").alias("rarest2"), F.col("rare").alias("rare2"))
+    pairs = rare_name.join(rare_form, F.col("rare2") == F.col("rare")).filter(F.greatest(F.size("nws"), F.size("fws")) > FEW_WORDS)
+    far = pairs.select("nws", "id", scored(F.size(F.array_intersect("nws", "fws")), F.size("nws"), F.size("fws")).alias("score"))
+    found = met.unionByName(far).filter("score >= 0.6").groupBy("nws").agg(top().alias("b"))
+    best = open_names.join(found.withColumnRenamed("nws", "__w"), F.col("nws") == F.col("__w")).select(F.col("name").alias("bn"), "b")
     j = direct.join(best, F.col("name") == F.col("bn"), "left")
     kind = F.when(F.col("ids") == 1, F.when(F.col("main"), "exact").otherwise("alias")).when(F.col("ids") > 1, "ambiguous").when(F.col("b").isNotNull(), "fuzzy").otherwise("unresolved")
     return j.select(

@@ -117,6 +117,11 @@ def report_number(raw: Column) -> Column:
     )
 
 
+def _once(c: Column, use) -> Column:
+    """``use`` of ``c``, which is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def split_report(text: Column) -> Column:
     """struct(number, isnad, matn, confidence, isnad_start, isnad_end, matn_start, matn_end): a report's number, chain and
     body, and where the last two stand in the text, counted from 0; a part that is not there has the span (0, 0).
@@ -125,9 +130,11 @@ def split_report(text: Column) -> Column:
     what follows the number, or else with the first word that opens a body behind a chain; a text without number or
     chain is not divided; a body of less than three words is none.
     """
-    raw = F.coalesce(text, F.lit(""))
-    number = F.regexp_extract(raw, f"({NUMBER})", 1)
-    body = F.substring(raw, F.length(number) + 1, F.length(raw))
+    numbered = lambda raw: _once(F.regexp_extract(raw, f"({NUMBER})", 1), lambda number: _once(F.substring(raw, F.length(number) + 1, F.length(raw)), lambda body: _parts(raw, number, body)))
+    return _once(F.coalesce(text, F.lit("")), numbered)
+
+
+def _parts(raw: Column, number: Column, body: Column) -> Column:
     limit = F.greatest(F.floor(F.length(body) * 0.75), F.lit(40)).cast("int")
     chain_like = _starts(F.ltrim(body), REPORT_OPENERS) | ((F.regexp_count(body, F.lit(TRANSMISSION)) >= 2) & (F.regexp_count(body, F.lit(NASAB)) >= 1))
     # Formulas and the texts between them, in turn: their lengths add up to where each formula begins.
@@ -140,30 +147,39 @@ def split_report(text: Column) -> Column:
         ends = begins + F.coalesce(both["f"], F.lit(0))
         return F.struct(ends.alias("at"), F.when(both["f"].isNotNull() & (begins < limit), ends).otherwise(acc["end"]).alias("end"))
 
-    honour = F.aggregate(F.zip_with(between, formulas, lambda x, y: F.struct(x.alias("b"), y.alias("f"))), start, walk)["end"]
+    honoured = F.aggregate(F.zip_with(between, formulas, lambda x, y: F.struct(x.alias("b"), y.alias("f"))), start, walk)["end"]
     at = [F.instr(body, o) for o in MATN_OPENERS]
     ok = [
         (i > 1) & (F.regexp_count(body.substr(F.lit(1), i - 1), F.lit(TRANSMISSION)) >= 1) & body.substr(F.lit(1), i - 1).rlike(NASAB)
         for i in at
     ]
     opener = F.coalesce(*[F.when(c, i - 1 + len(o)) for c, i, o in zip(ok, at, MATN_OPENERS)])
-    by_honour = honour > 0
-    cut = F.when(by_honour, honour).otherwise(opener)
+    cut = lambda honour: F.when(honour > 0, honour).otherwise(opener)
+    divided = _once(honoured, lambda honour: _once(cut(honour), lambda c: _divided(raw, number, body, chain_like, honour > 0, c)))
+    return (
+        F.when((_trim(raw) == "") | (_trim(body) == ""), _part(raw, number, F.lit(""), F.lit(""), 0.0))
+        .when((number == "") & ~chain_like, _part(raw, number, F.lit(""), _trim(body), 0.3, m=(F.length(number), F.length(raw))))
+        .otherwise(divided)
+    )
+
+
+def _part(raw: Column, number: Column, isnad: Column, matn: Column, c, i=None, m=None) -> Column:
+    zero = (F.lit(0), F.lit(0))
+    spans = [x.alias(n) for x, n in zip((*(i or zero), *(m or zero)), ("isnad_start", "isnad_end", "matn_start", "matn_end"))]
+    return F.struct(_trim(number).alias("number"), isnad.alias("isnad"), matn.alias("matn"), (c if isinstance(c, Column) else F.lit(c)).alias("confidence"), *spans)
+
+
+def _divided(raw: Column, number: Column, body: Column, chain_like: Column, by_honour: Column, cut: Column) -> Column:
+    """The parts of a text with a number or a chain, whose chain ends at ``cut``."""
     head = body.substr(F.lit(1), cut)
     front, back = _trim(head), _trim(body.substr(cut + 1, F.length(body)))
     confidence = F.when(by_honour, F.when(head.rlike(TRANSMISSION) | head.rlike(NASAB), 0.85).otherwise(0.6)).otherwise(0.7)
     few = F.size(F.split(back, arabic.SPACES)) < 3
-    zero, begin, whole = F.lit(0), F.length(number), F.length(raw)
-
-    def parts(isnad, matn, c, i=(zero, zero), m=(zero, zero)) -> Column:
-        spans = [x.alias(n) for x, n in zip((*i, *m), ("isnad_start", "isnad_end", "matn_start", "matn_end"))]
-        return F.struct(_trim(number).alias("number"), isnad.alias("isnad"), matn.alias("matn"), (c if isinstance(c, Column) else F.lit(c)).alias("confidence"), *spans)
-
+    begin, whole = F.length(number), F.length(raw)
     none, rest = F.lit(""), (begin, whole)
+    parts = lambda *a, **k: _part(raw, number, *a, **k)
     return (
-        F.when((_trim(raw) == "") | (_trim(body) == ""), parts(none, none, 0.0))
-        .when((number == "") & ~chain_like, parts(none, _trim(body), 0.3, m=rest))
-        .when(cut.isNull(), F.when(chain_like, parts(_trim(body), none, 0.55, i=rest)).otherwise(parts(none, _trim(body), 0.5, m=rest)))
+        F.when(cut.isNull(), F.when(chain_like, parts(_trim(body), none, 0.55, i=rest)).otherwise(parts(none, _trim(body), 0.5, m=rest)))
         .when(back == "", parts(front, none, 0.55, i=rest))
         .when(few, parts(front, none, 0.5, i=rest))
         .otherwise(parts(front, back, confidence, (begin, begin + cut), (begin + cut, whole)))

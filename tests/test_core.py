@@ -105,6 +105,19 @@ def test_names_are_resolved(spark):
     assert got == {"وعن احمد بن محمد": ("exact", "n1"), "أبو جعفر": ("ambiguous", None), "محمد بن عيسى الأشعري سعد": ("fuzzy", "n3"), "زيد": ("unresolved", None), "": ("unresolved", None)}
 
 
+def test_names_of_hot_words_are_not_compared_pair_by_pair(spark):
+    import time
+
+    ids = [f"n{i}" for i in range(20000)]
+    forms = spark.createDataFrame([(i, f"محمد علي س{i}", f"محمد علي س{i}") for i in ids] + [("far", " ".join(f"ط{k}" for k in range(13)), "")], "id string, form string, canonical string")
+    names = spark.createDataFrame([(f"محمد علي ص{i}",) for i in ids] + [(" ".join(f"ط{k}" for k in range(8)),), ("محمد زيد ص",)], "name string")
+    began = time.time()
+    got = {r.name: (r.resolution, r.id, r.confidence) for r in reasoning.resolve_names(names, forms).collect()}
+    assert time.time() - began < 40
+    best = ("fuzzy", max(ids, key=lambda i: (i[::-1], i)), 0.6667)
+    assert got == {f"محمد علي ص{i}": best for i in ids} | {" ".join(f"ط{k}" for k in range(8)): ("fuzzy", "far", 0.6154), "محمد زيد ص": ("unresolved", None, 0.0)}
+
+
 def test_conflicts_of_sayings(spark):
     said = [(1, *x) for x in q.SAYINGS] + [(2, 7, "عن أبي جعفر يجب الغسل يوم العيد الكبير"), (2, 8, "عن الرضا لا يجب الغسل يوم العيد الكبير 3"), (3, 9, q.SAYINGS[0][1]), (3, None, None)]
     found = reasoning.conflicts(spark.createDataFrame(said, "query_id int, id int, text string"))
